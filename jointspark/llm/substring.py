@@ -86,7 +86,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 def _listed(column, row: int) -> np.ndarray:
     value = column[row]
-    return np.sort(np.asarray(value.values.to_numpy(zero_copy_only=False))).view(np.uint64) if value.is_valid else np.zeros(0, np.uint64)
+    return np.sort(np.array(value.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)) if value.is_valid else np.zeros(0, np.uint64)
 
 
 def _slices(batch):
