@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, minhash, quality, substring, urls, warc
+from . import bpe, lm, media, minhash, packing, quality, substring, urls, warc
 from .sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -27,6 +27,10 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(_table(spark, sf_dir, "pages"))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(_table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -35,6 +39,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_texts(_table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_table(spark, sf_dir, "pages"))
 
@@ -47,8 +55,10 @@ QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_quality": op2_quality,
     "op3_urls": op3_urls,
+    "op4_lm": op4_lm,
     "op5_bpe": op5_bpe,
     "op6_media": op6_media,
+    "op7_packing": op7_packing,
     "op8_warc": op8_warc,
     "op10_substring": op10_substring,
 }
