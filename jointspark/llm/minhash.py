@@ -166,8 +166,9 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 def _confirmed(percent: int):
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")  # roots are smallest ids, the same in every pair of blocks
         ids = table.column("id").to_numpy()
-        sets = [np.asarray(s.values.to_numpy()) for s in table.column("shingles")]
+        sets = [np.asarray(s.values.to_numpy()) for s in table.column("shingles").combine_chunks()]
         sizes = np.array([len(s) for s in sets], np.int64)
         common = intersections(sets)
         linked = np.triu(100 * common >= percent * (sizes[:, None] + sizes[None, :] - common), 1)
@@ -200,9 +201,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     posted = ws.save(ranked.select("rep", F.explode(F.expr(f"slice(ranked, 1, size(ranked) - {T - 1})").getField("token")).alias("token")), "posted")
     lists = posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token", F.expr(f"cast(ceil(n / {_BLOCK.format(n='n')}) as int)").alias("blocks"))
     dealt = posted.join(lists, "token").join(nodes.select("rep", "signature"), "rep")
-    dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(rep, token), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("token", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "rep", "signature")
-    dealt = dealt.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
+    dealt = dealt.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "rep")
     grouped = components(dealt.mapInArrow(_matches, "a long, b long"), ws)
 
     members = grouped.join(nodes.select(F.col("rep").alias("id"), "n"), "id")
