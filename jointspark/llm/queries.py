@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lm, media, minhash, packing, quality, substring, urls, warc
+from . import bpe, lm, media, minhash, packing, pii, quality, substring, urls, warc
 from .sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -47,6 +47,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_table(spark, sf_dir, "pages"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detected(_table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(_table(spark, sf_dir, "documents"))
 
@@ -60,5 +70,7 @@ QUERIES = {
     "op6_media": op6_media,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
+    "op9_pii": op9_pii,
     "op10_substring": op10_substring,
+    "pipeline": pipeline,
 }

@@ -255,13 +255,22 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return paths.select(F.col("id").alias(id_column), "start", "windows", "source", "source_start")
 
 
-def removed_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, text without repeated words) of the rows that lose words."""
+def with_text_replaced(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` where a text that loses words is its kept words joined by one blank; other rows and columns are untouched."""
 
     def run(batches):
         for batch, _, removed, kept in _kept(batches):
             which = [i for i, n in enumerate(removed) if n]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(which, pa.int64())), pa.array([kept[i].decode("utf-8", "replace") for i in which], pa.string())], names=["id", "text"])
+            digests = [hashlib.sha256(t or b"").digest() for t in batch.column("text").take(pa.array(which, pa.int64())).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(which, pa.int64())), pa.array(digests, pa.binary()), pa.array([kept[i].decode("utf-8", "replace") for i in which], pa.string())],
+                names=["id", "digest", "text"],
+            )
 
     found = _located(_Search(docs, id_column, text_column)).where("chunks is not null or singles is not null")
-    return found.mapInArrow(run, "id long, text string")
+    # Rows that share an id keep their own texts: the digest of the given text tells them apart.
+    new = found.mapInArrow(run, "id long, digest binary, text string").distinct()
+    new = new.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("text").alias("_text"))
+    given = docs.withColumn("_own", F.unhex(F.sha2(F.coalesce(F.col(text_column), F.lit("")), 256)))
+    joined = given.join(new, (F.col(id_column) == F.col("_id")) & (F.col("_own") == F.col("_digest")), "left")
+    return joined.withColumn(text_column, F.coalesce("_text", text_column)).select(*docs.columns)
