@@ -36,7 +36,7 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._jointspark_path = path
         return out

@@ -166,7 +166,7 @@ class _Search:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         name = f"texts_{uuid.uuid4().hex}"
         filled = source.where("id is not null")
-        filled.repartition(n, "id").write.bucketBy(n, "id").sortBy("id").option("path", f"{ws.base}/texts").saveAsTable(name)
+        filled.repartition(n, "id").write.bucketBy(n, "id").sortBy("id").option("compression", "zstd").option("path", f"{ws.base}/texts").saveAsTable(name)
         texts = spark.table(name)
         self.unnamed, self.texts = source.where("id is null"), texts
 

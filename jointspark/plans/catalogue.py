@@ -1,6 +1,8 @@
-"""Named queries and their SQL counterparts."""
+"""Named queries over the driver's tables and their SQL counterparts."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import interval_queries, site_queries
+
+QUERIES = {**interval_queries.QUERIES, **site_queries.QUERIES}
+SQL = {**interval_queries.SQL, **site_queries.SQL}
