@@ -1,7 +1,7 @@
 """URL filters: host and path rules first, gradient-boosted trees on lexical features for the rest.
 
 The labelled URLs are those that a rule decides.  The trees are fitted on the driver from at most
-``SAMPLE_ROWS`` of them, the ones with the smallest hashes, and become one column expression, so every
+2 * ``SAMPLE_ROWS`` of them, drawn by hash, and become one column expression, so every
 URL is judged in the scan's own stage.  A URL without ``://``, or null, has an empty host and path
 and zero counts and is judged by the trees like any other.  Repeated rows are judged alike.
 """
@@ -22,7 +22,7 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-#: Labelled rows that the trees are fitted on, at most; also bounds the suffix table.
+#: Labelled rows that the trees are fitted on, about, and at most twice as many; also bounds the suffix table.
 SAMPLE_ROWS = 20_000
 FEATURES = ("length", "host_length", "depth", "digit_ratio", "entropy", "parameters", "labels", "suffix_rate")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -140,7 +140,11 @@ def judged(pages: DataFrame, id_column: str = "page_id", url_column: str = "url"
     parts = parts.withColumn("_suffix", F.substring_index("_host", ".", -1))
 
     plain = [f for f in FEATURES if f != "suffix_rate"]
-    sample = parts.where("_said is not null").orderBy(F.xxhash64("_url"), "_url").limit(sample_rows).select(*plain, "_suffix", (F.col("_said") == "block").cast("double").alias("y")).collect()
+    # Rows are drawn by hash with the share that gives about ``sample_rows``; the limit guards against one url that many rows repeat.
+    ruled_rows = parts.where("_said is not null")
+    share = min(1.0, sample_rows / max(ruled_rows.count(), 1))
+    drawn = ruled_rows.where(F.pmod(F.xxhash64("_url", "_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
+    sample = drawn.select(*plain, "_suffix", (F.col("_said") == "block").cast("double").alias("y")).limit(2 * sample_rows).collect()
     x = np.array([[r[f] for f in plain] for r in sample]).reshape(len(sample), len(plain))
     y = np.array([r["y"] for r in sample])
     average = float(y.mean()) if len(y) else 0.0
