@@ -127,52 +127,6 @@ def heterozygosity_prior(theta: float, copies: int) -> np.ndarray:
     return np.concatenate([[math.log10(rest)], math.log10(theta) - np.log10(i)])
 
 
-def allele_frequency_em(gl: np.ndarray, most: int = 100) -> tuple[float, int]:
-    """(frequency, rounds) of the maximum-likelihood allele frequency of diploid samples' log10 likelihoods."""
-    n, af = len(gl), 0.5
-    linear = 10.0 ** (gl - gl.max(axis=1, keepdims=True))
-    for step in range(1, most + 1):
-        weight = linear * np.array([(1 - af) ** 2, 2 * af * (1 - af), af * af])
-        share = weight / weight.sum(axis=1, keepdims=True)
-        new = float((share[:, 1] + 2 * share[:, 2]).sum() / (2 * n))
-        moved, af = abs(new - af), new
-        if moved < 1 / (100 * 2 * n) or af < 1 / (5 * 2 * n):
-            break
-    return af, step
-
-
-def exact_count_likelihoods(gl: np.ndarray) -> np.ndarray:
-    """log10 likelihood of every alternate allele count, by a convolution over samples of genotype likelihoods."""
-    total = np.array([1.0])
-    scale = 0.0
-    for row in gl:
-        top = row.max()
-        total = np.convolve(total, 10.0 ** (row - top) * np.array([1.0, 2.0, 1.0]))
-        most = total.max()
-        scale += top + math.log10(most)
-        total = total / most
-    n = 2 * len(gl)
-    lg = _lgamma(n)
-    k = np.arange(n + 1)
-    with np.errstate(divide="ignore"):
-        return np.log10(total) + scale - (lg[n] - lg[k] - lg[n - k]) / LN10
-
-
-def exact_quality(gl: np.ndarray, theta: float) -> tuple[float, int]:
-    """(phred probability of no alternate allele, likeliest count).
-
-    The likelihoods of no and of any alternate copy are each weighed by their whole prior mass.
-    """
-    likelihood = exact_count_likelihoods(gl)
-    prior = heterozygosity_prior(theta, len(likelihood) - 1)
-    top = likelihood.max()
-    none = likelihood[0] - top + prior[0]
-    some = math.log10(np.sum(10.0 ** (likelihood[1:] - top))) + math.log10(np.sum(10.0 ** prior[1:]))
-    most = max(none, some)
-    both = most + math.log10(10.0 ** (none - most) + 10.0 ** (some - most))
-    return float(-10 * (none - both)), int(likelihood.argmax())
-
-
 def _digamma(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, float).copy()
     out = np.zeros_like(x)
@@ -181,38 +135,3 @@ def _digamma(x: np.ndarray) -> np.ndarray:
         out[low] -= 1 / x[low]
         x[low] += 1
     return out + np.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
-
-
-def dirichlet_frequencies(gl: np.ndarray, pseudo: np.ndarray, most: int = 50) -> tuple[np.ndarray, float]:
-    """(posterior allele counts, phred probability that all samples are homozygous for the reference).
-
-    ``gl`` is (samples, genotypes) log10 likelihoods of unordered diploid genotypes over len(pseudo) alleles.
-    """
-    pairs = [(j, k) for k in range(len(pseudo)) for j in range(k + 1)]
-    first, second = (np.array(x) for x in zip(*pairs, strict=True))
-    double = np.where(first == second, 0.0, math.log10(2))
-    counts = np.zeros(len(pseudo))
-    for _ in range(most):
-        weights = (_digamma(pseudo + counts) - _digamma(np.array([(pseudo + counts).sum()]))) / LN10
-        post = gl + double + weights[first] + weights[second]
-        post = 10.0 ** (post - post.max(axis=1, keepdims=True))
-        post /= post.sum(axis=1, keepdims=True)
-        new = np.bincount(first, post.sum(axis=0), len(pseudo)) + np.bincount(second, post.sum(axis=0), len(pseudo))
-        moved, counts = np.abs(new - counts).max(), new
-        if moved <= 0.1:
-            break
-    return counts, float(-10 * np.log10(np.maximum(post[:, 0], 1e-300)).sum())
-
-
-def rank_sum_z(first: np.ndarray, second: np.ndarray) -> float:
-    """Mann-Whitney z with tie and continuity correction; 0 where a side is empty."""
-    n, m = len(first), len(second)
-    if not n or not m:
-        return 0.0
-    both = np.concatenate([first, second])
-    _, inverse, often = np.unique(both, return_inverse=True, return_counts=True)
-    ranks = (np.cumsum(often) - (often - 1) / 2)[inverse]
-    u = ranks[:n].sum() - n * (n + 1) / 2
-    tie = (often**3 - often).sum()
-    var = n * m / 12 * (n + m + 1 - tie / ((n + m) * (n + m - 1)))
-    return float((u - n * m / 2 - math.copysign(0.5, u - n * m / 2) * (u != n * m / 2)) / math.sqrt(var)) if var > 0 else 0.0

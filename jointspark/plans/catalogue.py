@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import interval_queries, site_queries
+from . import allele_queries, genotype_queries, interval_queries  # noqa: F401  they register themselves
+from .registry import QUERIES, SQL
 
-QUERIES = {**interval_queries.QUERIES, **site_queries.QUERIES}
-SQL = {**interval_queries.SQL, **site_queries.SQL}
+__all__ = ["QUERIES", "SQL"]

@@ -6,34 +6,18 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
 from ..operators import sites
+from .registry import query
 from .views import LENGTH, REC, REG, records, regions, rounded, table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 #: Maximal runs of the positions in a table p(contig, pos).
 ISLANDS = "SELECT contig, min(pos) AS \"start\", max(pos) AS \"end\" FROM (SELECT contig, pos, pos - row_number() OVER (PARTITION BY contig ORDER BY pos) AS g FROM p) GROUP BY contig, g"
 BASES_A = "a AS (SELECT DISTINCT contig, unnest(range(start, stop + 1)) AS pos FROM reg WHERE priority < '3')"
-BASES_B = "b AS (SELECT DISTINCT contig, unnest(range(start, stop + 1)) AS pos FROM reg WHERE priority >= '3' AND key % 20 = 0)"
+BASES_B = "b AS (SELECT DISTINCT contig, unnest(range(start, stop + 1)) AS pos FROM reg WHERE priority >= '3')"
 
 
 def _sides(spark, d):
     r = regions(spark, d)
-    return r.where("priority < '3' and key % 10 = 0"), r.where("priority >= '3' and key % 20 = 0")
-
-
-BASES_A = BASES_A.replace("priority < '3'", "priority < '3' AND key % 10 = 0")
+    return r.where("priority < '3'"), r.where("priority >= '3'")
 
 
 @query("q01_site_set", f"WITH {REC}, p AS (SELECT DISTINCT contig, unnest(range(start, stop + 1)) AS pos FROM rec WHERE n_allele > 2) SELECT contig, count(*) AS n_sites, CAST(min(pos) AS BIGINT) AS first_site, CAST(max(pos) AS BIGINT) AS last_site FROM p GROUP BY contig")
@@ -42,9 +26,9 @@ def site_set(spark, d):
     return found.groupBy("contig").agg(F.count("*").alias("n_sites"), F.min("pos").alias("first_site"), F.max("pos").alias("last_site"))
 
 
-@query("q01_next_site", f"WITH {REC}, p AS (SELECT DISTINCT contig, unnest(range(start, stop + 1)) AS pos FROM rec WHERE n_allele > 2 AND sample % 10 = 0) SELECT contig, pos, lead(pos) OVER (PARTITION BY contig ORDER BY pos) AS next_site FROM p")
+@query("q01_next_site", f"WITH {REC}, p AS (SELECT DISTINCT contig, unnest(range(start, stop + 1)) AS pos FROM rec WHERE n_allele > 2) SELECT contig, pos, lead(pos) OVER (PARTITION BY contig ORDER BY pos) AS next_site FROM p")
 def next_site(spark, d):
-    return sites.with_next(sites.variant_sites(records(spark, d).where("sample % 10 = 0")))
+    return sites.with_next(sites.variant_sites(records(spark, d)))
 
 
 @query("q01_site_slice", f"WITH {REC}, p AS (SELECT DISTINCT contig, unnest(range(start, stop + 1)) AS pos FROM rec WHERE n_allele > 2) SELECT contig, pos FROM p WHERE contig = 3 AND pos BETWEEN 100 AND 180")
@@ -52,19 +36,19 @@ def site_slice(spark, d):
     return sites.variant_sites(records(spark, d).where("contig = 3"), 100, 180)
 
 
-@query("q02_merge_all", f"WITH {REG}, p AS (SELECT DISTINCT contig, unnest(range(start, stop + 1)) AS pos FROM reg WHERE key % 20 = 0) {ISLANDS}")
+@query("q02_merge_all", f"WITH {REG}, p AS (SELECT DISTINCT contig, unnest(range(start, stop + 1)) AS pos FROM reg) {ISLANDS}")
 def merge_all(spark, d):
-    return iv.merged(regions(spark, d).where("key % 20 = 0"))
+    return iv.merged(regions(spark, d))
 
 
 @query(
     "q02_merge_overlap",
-    f"""WITH {REG}, m AS (SELECT *, max(stop) OVER (PARTITION BY contig ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM reg WHERE key % 20 = 0),
+    f"""WITH {REG}, m AS (SELECT *, max(stop) OVER (PARTITION BY contig ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM reg),
   g AS (SELECT *, sum(CASE WHEN before >= start THEN 0 ELSE 1 END) OVER (PARTITION BY contig ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM m)
 SELECT contig, min(start) AS "start", max(stop) AS "end" FROM g GROUP BY contig, island""",
 )
 def merge_overlap(spark, d):
-    return iv.merged(regions(spark, d).where("key % 20 = 0"), abutting=False)
+    return iv.merged(regions(spark, d), abutting=False)
 
 
 @query("q03_union", f"WITH {REG}, {BASES_A}, {BASES_B}, p AS (SELECT * FROM a UNION SELECT * FROM b) {ISLANDS}")
@@ -87,14 +71,14 @@ def covered_size(spark, d):
     return iv.covered_size(_sides(spark, d)[0])
 
 
-@query("q04_segments", f"WITH {REG}, e AS (SELECT contig, start AS pos FROM reg WHERE key % 20 = 0 UNION SELECT contig, stop + 1 FROM reg WHERE key % 20 = 0), s AS (SELECT contig, pos AS \"start\", lead(pos) OVER (PARTITION BY contig ORDER BY pos) - 1 AS \"end\" FROM e) SELECT * FROM s WHERE \"end\" IS NOT NULL")
+@query("q04_segments", f"WITH {REG}, e AS (SELECT contig, start AS pos FROM reg UNION SELECT contig, stop + 1 FROM reg), s AS (SELECT contig, pos AS \"start\", lead(pos) OVER (PARTITION BY contig ORDER BY pos) - 1 AS \"end\" FROM e) SELECT * FROM s WHERE \"end\" IS NOT NULL")
 def segments(spark, d):
-    return iv.segments(regions(spark, d).where("key % 20 = 0"))
+    return iv.segments(regions(spark, d))
 
 
-@query("q05_pad_merge", f"WITH {REG}, p AS (SELECT DISTINCT contig, unnest(range(greatest(start - 5, 1), least(stop + 5, {LENGTH}) + 1)) AS pos FROM reg WHERE key % 40 = 0 AND start > 0) {ISLANDS}")
+@query("q05_pad_merge", f"WITH {REG}, p AS (SELECT DISTINCT contig, unnest(range(greatest(start - 5, 1), least(stop + 5, {LENGTH}) + 1)) AS pos FROM reg WHERE start > 0) {ISLANDS}")
 def pad_merge(spark, d):
-    return iv.padded(regions(spark, d).where("key % 40 = 0 and start > 0"), 5, LENGTH)
+    return iv.padded(regions(spark, d).where("start > 0"), 5, LENGTH)
 
 
 @query("q06_split_by_size", "SELECT c.c AS contig, s.s AS \"start\", least(s.s + 99, 2550) AS \"end\" FROM range(8) c(c), range(1, 2551, 100) s(s)")
@@ -111,72 +95,73 @@ def split_by_count(spark, d):
 
 @query(
     "q07_split_balanced",
-    f"""WITH {REC}, p AS (SELECT DISTINCT contig, unnest(range(start, stop + 1)) AS pos FROM rec WHERE n_allele > 2 AND start BETWEEN 1 AND 2500 AND sample % 10 = 0),
+    f"""WITH {REC}, p AS (SELECT DISTINCT contig, unnest(range(start, stop + 1)) AS pos FROM rec WHERE n_allele > 2 AND start BETWEEN 1 AND 2500),
   r AS (SELECT contig, pos, row_number() OVER (PARTITION BY contig ORDER BY pos) AS k, count(*) OVER (PARTITION BY contig) AS total FROM p),
   n AS (SELECT *, greatest(CAST(floor(total / (0.98 * 6)) AS BIGINT), 10) AS n FROM r),
   c AS (SELECT contig, pos, CASE WHEN k % n = 0 THEN pos ELSE least(pos + 1, {LENGTH}) END AS stop FROM n WHERE k % n = 0 OR k = total)
 SELECT contig, coalesce(lag(stop) OVER (PARTITION BY contig ORDER BY pos) + 1, 1) AS "start", stop AS "end" FROM c""",
 )
 def split_balanced(spark, d):
-    found = sites.variant_sites(records(spark, d).where("start between 1 and 2500 and sample % 10 = 0"))
+    found = sites.variant_sites(records(spark, d).where("start between 1 and 2500"))
     return iv.split_balanced(found, 6, 10, 1, LENGTH)
 
 
 @query(
     "q08_overlap_join",
-    f"""WITH {REC}, p AS (SELECT DISTINCT contig, unnest(range(start, stop + 1)) AS pos FROM rec WHERE n_allele > 2 AND sample % 10 = 0),
+    f"""WITH {REC}, p AS (SELECT DISTINCT contig, unnest(range(start, stop + 1)) AS pos FROM rec WHERE n_allele > 2),
   c AS (SELECT contig, unnest(range(start, stop + 1)) AS pos, dp FROM rec)
 SELECT p.contig, count(*) AS n_pairs, CAST(sum(dp) AS BIGINT) AS sum_dp, count(DISTINCT pos) AS n_sites FROM p JOIN c USING (contig, pos) GROUP BY p.contig""",
 )
 def overlap_join(spark, d):
     rec = records(spark, d)
-    found = sites.variant_sites(rec.where("sample % 10 = 0")).select("contig", F.col("pos").alias("start"), F.col("pos").alias("end"))
+    found = sites.variant_sites(rec).select("contig", F.col("pos").alias("start"), F.col("pos").alias("end"))
     pairs = iv.overlap_join(rec.select("contig", "start", "end", "dp"), found, 64)
     per_site = pairs.groupBy("contig", "start_r").agg(F.count("*").alias("n"), F.sum("dp").alias("dp"))
     return per_site.groupBy("contig").agg(F.sum("n").alias("n_pairs"), F.sum("dp").alias("sum_dp"), F.count("*").alias("n_sites"))
 
 
-@query("q08_overlapping", f"WITH {REG} SELECT key, contig, start AS \"start\", stop AS \"end\" FROM reg r WHERE key % 10 = 1 AND EXISTS (SELECT 1 FROM reg s WHERE s.key % 200 = 0 AND s.contig = r.contig AND s.start <= r.stop AND r.start <= s.stop)")
+@query("q08_overlapping", f"WITH {REG} SELECT key, contig, start AS \"start\", stop AS \"end\" FROM reg r WHERE priority < '2' AND EXISTS (SELECT 1 FROM reg s WHERE s.priority >= '5' AND s.contig = r.contig AND s.start <= r.stop AND r.start <= s.stop)")
 def overlapping(spark, d):
     r = regions(spark, d)
-    return iv.overlapping(r.where("key % 10 = 1").select("key", "contig", "start", "end"), r.where("key % 200 = 0"))
+    return iv.overlapping(r.where("priority < '2'").select("key", "contig", "start", "end"), r.where("priority >= '5'"))
 
 
-@query("q09_reciprocal_overlap", f"WITH {REG} SELECT a.key AS key_a, b.key AS key_b FROM reg a JOIN reg b ON a.contig = b.contig AND a.key % 10 = 1 AND b.key % 10 = 2 AND least(a.stop, b.stop) - greatest(a.start, b.start) + 1 >= 0.5 * greatest(a.stop - a.start + 1, b.stop - b.start + 1)")
+@query("q09_reciprocal_overlap", f"WITH {REG} SELECT a.key AS key, count(*) AS n_partners, min(b.key) AS least_partner FROM reg a JOIN reg b ON a.contig = b.contig AND a.priority < '2' AND b.priority >= '5' AND least(a.stop, b.stop) - greatest(a.start, b.start) + 1 >= 0.5 * greatest(a.stop - a.start + 1, b.stop - b.start + 1) GROUP BY a.key")
 def reciprocal(spark, d):
     r = regions(spark, d)
-    return iv.reciprocal(r.where("key % 10 = 1"), r.where("key % 10 = 2"), 0.5).select(F.col("key").alias("key_a"), F.col("key_r").alias("key_b"))
+    pairs = iv.reciprocal(r.where("priority < '2'"), r.where("priority >= '5'"), 0.5)
+    return pairs.groupBy("key").agg(F.count("*").alias("n_partners"), F.min("key_r").alias("least_partner"))
 
 
 @query(
     "q10_overlap_map",
-    f"""WITH {REG}, k AS (SELECT DISTINCT contig, start, stop FROM reg WHERE key % 50 = 0), v AS (SELECT DISTINCT contig, start, stop FROM reg WHERE key % 20 = 3)
+    f"""WITH {REG}, k AS (SELECT DISTINCT contig, start, stop FROM reg WHERE priority < '2'), v AS (SELECT DISTINCT contig, start, stop FROM reg WHERE priority >= '5')
 SELECT k.contig, k.start AS "start", k.stop AS "end", string_agg(v.start || '-' || v.stop, ',' ORDER BY v.start, v.stop) AS hits
 FROM k JOIN v ON v.contig = k.contig AND v.start <= k.stop AND k.start <= v.stop GROUP BY ALL""",
 )
 def overlap_map(spark, d):
     r = regions(spark, d)
-    found = iv.overlap_map(r.where("key % 50 = 0"), r.where("key % 20 = 3"))
+    found = iv.overlap_map(r.where("priority < '2'"), r.where("priority >= '5'"))
     return found.withColumn("hits", F.array_join(F.transform("hits", lambda h: F.concat_ws("-", h["start_r"].cast("string"), h["end_r"].cast("string"))), ","))
 
 
 @query(
     "q11_latest_record",
-    f"""WITH {REC}, s AS (SELECT DISTINCT contig, unnest(range(start, stop + 1)) AS pos FROM rec WHERE n_allele > 2 AND sample % 10 = 0 AND orderkey % 7 = 0),
+    f"""WITH {REC}, s AS (SELECT DISTINCT contig, unnest(range(start, stop + 1)) AS pos FROM rec WHERE n_allele > 2),
   o AS (SELECT s.contig, s.pos, r.sample, r.start, r.dp, row_number() OVER (PARTITION BY s.contig, s.pos, r.sample ORDER BY r.start DESC, r.orderkey DESC, r.line DESC, r.dp DESC) AS k
     FROM s JOIN rec r ON r.contig = s.contig AND s.pos BETWEEN r.start AND r.stop)
 SELECT contig, pos, count(*) AS n_samples, CAST(sum(dp) AS BIGINT) AS sum_dp, CAST(sum(start) AS BIGINT) AS sum_start FROM o WHERE k = 1 GROUP BY contig, pos""",
 )
 def latest_record(spark, d):
     rec = records(spark, d)
-    found = sites.variant_sites(rec.where("sample % 10 = 0 and orderkey % 7 = 0"))
+    found = sites.variant_sites(rec)
     latest = sites.latest_per_sample(sites.at_sites(rec, found, 64), ["orderkey", "line", "dp"])
     return latest.groupBy("contig", "pos").agg(F.count("*").alias("n_samples"), F.sum("dp").alias("sum_dp"), F.sum("start").alias("sum_start"))
 
 
-@query("q35_upstream_deletion", f"WITH {REC}, v AS (SELECT contig, start, orderkey, line, CASE WHEN line >= 6 THEN dp // 5 ELSE 0 END AS deleted, dp FROM rec WHERE sample % 10 = 0), w AS (SELECT *, max(CASE WHEN deleted > 0 THEN start + deleted END) OVER (PARTITION BY contig ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v) SELECT contig, start AS \"start\", count(*) AS n, CAST(sum(CAST(coalesce(reach >= start, false) AS INT)) AS BIGINT) AS n_covered FROM w GROUP BY contig, start")
+@query("q35_upstream_deletion", f"WITH {REC}, v AS (SELECT contig, start, orderkey, line, CASE WHEN line >= 6 THEN dp // 5 ELSE 0 END AS deleted, dp FROM rec), w AS (SELECT *, max(CASE WHEN deleted > 0 THEN start + deleted END) OVER (PARTITION BY contig ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v) SELECT contig, start AS \"start\", count(*) AS n, CAST(sum(CAST(coalesce(reach >= start, false) AS INT)) AS BIGINT) AS n_covered FROM w GROUP BY contig, start")
 def upstream_deletion(spark, d):
-    v = records(spark, d).where("sample % 10 = 0").withColumn("deleted", F.when(F.col("line") >= 6, F.floor(F.col("dp") / 5)).otherwise(0))
+    v = records(spark, d).withColumn("deleted", F.when(F.col("line") >= 6, F.floor(F.col("dp") / 5)).otherwise(0))
     return iv.covered_upstream(v).groupBy("contig", "start").agg(F.count("*").alias("n"), F.sum(F.col("covered").cast("long")).alias("n_covered"))
 
 
@@ -192,20 +177,20 @@ def banding(spark, d):
     return runs.select("user_id", F.col("band").cast("long").alias("band"), F.col("run").cast("long").alias("run"), "n", rounded(F.col("least")).alias("least"))
 
 
-@query("q38_break_bands", f"WITH {REG} SELECT key, unnest(range(((start + 1) // 4 + 1) * 4 - 1, stop + 1, 4)) AS stop FROM reg WHERE key % 10 = 0 AND start >= 0")
+@query("q38_break_bands", f"WITH {REG} SELECT key, unnest(range(((start + 1) // 4 + 1) * 4 - 1, stop + 1, 4)) AS stop FROM reg WHERE start >= 0")
 def break_bands(spark, d):
-    return iv.break_points(regions(spark, d).where("key % 10 = 0 and start >= 0"), 4).select("key", "stop")
+    return iv.break_points(regions(spark, d).where("start >= 0"), 4).select("key", "stop")
 
 
-@query("q44_validate_order", f"WITH {REG}, w AS (SELECT *, max(stop) OVER (PARTITION BY contig ORDER BY start, stop, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM reg WHERE key % 100 = 0) SELECT contig, count(*) AS n_overlapping FROM w WHERE before >= start GROUP BY contig")
+@query("q44_validate_order", f"WITH {REG}, w AS (SELECT *, max(stop) OVER (PARTITION BY contig ORDER BY start, stop, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM reg) SELECT contig, count(*) AS n_overlapping FROM w WHERE before >= start GROUP BY contig")
 def validate_order(spark, d):
-    return iv.disorder(regions(spark, d).where("key % 100 = 0")).groupBy("contig").agg(F.count("*").alias("n_overlapping"))
+    return iv.disorder(regions(spark, d)).groupBy("contig").agg(F.count("*").alias("n_overlapping"))
 
 
 @query(
     "q48_sorted_merge",
     f"""WITH {REG}, names AS (SELECT n_nationkey % 8 AS contig, min(n_nationkey) AS idx FROM nation WHERE n_nationkey < 8 GROUP BY 1),
-  u AS (SELECT contig, start, stop, key, 0 AS file FROM reg WHERE priority < '3' AND key % 10 = 0 UNION ALL SELECT contig, start, stop, key, 1 FROM reg WHERE priority >= '3' AND key % 20 = 0)
+  u AS (SELECT contig, start, stop, key, 0 AS file FROM reg WHERE priority < '3' UNION ALL SELECT contig, start, stop, key, 1 FROM reg WHERE priority >= '3')
 SELECT row_number() OVER (ORDER BY 7 - idx, start, file, key) AS rank, u.contig, start AS "start", key, CAST(file AS BIGINT) AS file FROM u JOIN names USING (contig)""",
 )
 def sorted_merge(spark, d):
