@@ -20,8 +20,8 @@ from .store import Workspace
 
 _WHITE = "\t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Rows of the sample on which rules are timed.
-SAMPLE_ROWS = 2000
+#: Rows of the sample on which rules are timed, at most; their texts pass through the driver.
+SAMPLE_ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -85,11 +85,21 @@ def default_rules(c: dict[str, Column]) -> list[Rule]:
     ]
 
 
-def ordered(featured: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, share rejected, seconds a row) in the order of rejections per cost on at most ``sample_rows`` rows."""
-    ws = Workspace(featured.sparkSession)
-    # Rows are drawn with their counts, as a rule meets them in the cascade.
-    sample = ws.save(featured.limit(sample_rows), "sample")
+def sampled(docs: DataFrame, text: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most ``rows`` texts as a column ``_given``.
+
+    They are taken from the first partitions only; a limit inside a plan would instead shuffle as many
+    rows of every partition into one task.
+    """
+    drawn = docs.select(text).limit(rows).collect()
+    return docs.sparkSession.createDataFrame([(r[0],) for r in drawn], "_given string")
+
+
+def ordered(sample: DataFrame, rules: list[Rule]) -> list[tuple[Rule, float, float]]:
+    """(rule, share rejected, seconds a row) in the order of rejections per cost on the rows of ``sample``."""
+    ws = Workspace(sample.sparkSession)
+    # Rows are written with their counts, as a rule meets them in the cascade.
+    sample = ws.save(sample, "sample")
     measured = []
     rows = 0
     for rule in [Rule("nothing", F.lit(False)), *rules]:
@@ -102,30 +112,37 @@ def ordered(featured: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_RO
     return sorted(costed, key=lambda x: -x[1] / x[2])
 
 
-def cascade(featured: DataFrame, rules: list[Rule], output: str = "rejected_by") -> DataFrame:
+def cascade(featured: DataFrame, sample: DataFrame, rules: list[Rule], output: str = "rejected_by") -> DataFrame:
     """Adds the name of the first rule in the cascade that rejects a text, null if none does.
 
+    The cascade's order is measured on ``sample``, rows with the columns of ``featured`` that rules read.
+
     The partition id in the outermost condition is always there; being nondeterministic, it keeps a
     later filter from being pushed below the counts and evaluating them again for each use.
     """
     verdict = F.lit(None).cast("string")
-    for rule, _, _ in reversed(ordered(featured, rules)):
+    for rule, _, _ in reversed(ordered(sample, rules)):
         verdict = F.when(rule.rejects, F.lit(rule.name)).otherwise(verdict)
     return featured.withColumn(output, F.when(F.spark_partition_id() >= 0, verdict))
 
 
 def judged(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of every row."""
-    featured = with_words(docs.select(F.col(id_column), F.col(text_column).alias("_given")), F.col("_given"))
-    featured = featured.select("*", *(column.alias(name) for name, column in counts().items()))
-    featured = featured.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    out = cascade(featured, default_rules({name: F.col(name) for name in counts()}))
+    def featured(rows: DataFrame) -> DataFrame:
+        rows = with_words(rows, F.col("_given"))
+        rows = rows.select("*", *(column.alias(name) for name, column in counts().items()))
+        return rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+
+    sample = featured(sampled(docs, F.col(text_column)))
+    all_rows = featured(docs.select(F.col(id_column), F.col(text_column).alias("_given")))
+    out = cascade(all_rows, sample, default_rules({name: F.col(name) for name in counts()}))
     kept = ~F.col("base_failed") & F.col("rejected_by").isNull()
     return out.select(id_column, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows whose text no rule rejects, with their own columns only."""
+    sample = with_words(sampled(docs, F.col(text_column)), F.col("_given"))
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     featured = with_words(inner, F.col("_row").getField(text_column))
-    return cascade(featured, default_rules(counts())).where(F.col("rejected_by").isNull()).select("_row.*")
+    return cascade(featured, sample, default_rules(counts())).where(F.col("rejected_by").isNull()).select("_row.*")
