@@ -13,7 +13,7 @@ A null or empty text is its end id alone.  Repeated rows are packed each on thei
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from dataclasses import dataclass
 
@@ -29,36 +29,48 @@ CAPACITY = 1024
 #: Lengths are rounded up to so many ids in the linear program.
 UNIT = 8
 END = 0
-#: Byte patterns of white space beyond ASCII, and of what some libraries take for it.
-_ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
-#: As the byte-level rule cuts at ASCII white space: a blank joins the word after it.
-_CUT = re.compile(rb" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
-REMEMBERED = 400_000
+#: The byte-level splitting rule.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class ByteLevelIds:
-    """Ids of texts under a byte-level BPE file; each distinct piece is encoded once."""
+    """Ids of texts under a byte-level BPE file of the tokenizers library.
+
+    A file whose tokens are numbered in the order of their merges, with no other step, is the same as a
+    table of ranks; such a file is encoded from the table by tiktoken, which needs no memory between
+    texts.  Any other file is left to the library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.library, self.known = Tokenizer.from_file(path), {}
-        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+        self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.fast = None
+        if self._is_table(spec):
+            import tiktoken
+
+            printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            byte = {chr(b): b for b in printed} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printed)}
+            ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+            self.fast = tiktoken.Encoding("byte-level", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens=special)
+
+    @staticmethod
+    def _is_table(spec: dict) -> bool:
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        plain = plain and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        plain = plain and not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        return bool(plain) and merged == sorted(set(merged)) and merged[:1] >= [256]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        whole = {i for i, t in enumerate(texts) if _ODD.search(t) or any(s in t for s in self.special)}
-        cut = [[] if i in whole else _CUT.findall(t) for i, t in enumerate(texts)]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({p for parts in cut for p in parts if p not in self.known})
-        for piece, found in zip(new, self.library.encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(found.ids, "<u4").tobytes()
-        known = self.known
-        out = [b"".join([known[p] for p in parts]) for parts in cut]
-        for i in whole:
-            out[i] = np.array(self.library.encode(texts[i].decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+        if self.fast is None:
+            return [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        return [self.fast.encode_to_numpy(t, allowed_special="all").astype("<u4", copy=False).tobytes() for t in texts]
 
 
 _workers: dict[str, ByteLevelIds] = {}
@@ -154,10 +166,10 @@ def _piece_rows(vocabulary: str, capacity: int, unit: int):
         seen = np.zeros(capacity // unit + 1, np.int64)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            texts, ids = batch.column(1).cast(pa.binary()), batch.column(0).to_pylist()
+            texts, ids = batch.column(1), batch.column(0).to_pylist()
             for at in range(0, len(ids), 256):
                 rows = []
-                for source, tokens in zip(ids[at : at + 256], worker.encode([t or b"" for t in texts[at : at + 256].to_pylist()]), strict=True):
+                for source, tokens in zip(ids[at : at + 256], worker.encode([t or "" for t in texts[at : at + 256].to_pylist()]), strict=True):
                     tokens += end
                     total = len(tokens) // 4
                     for start in range(0, total, capacity):

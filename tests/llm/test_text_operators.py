@@ -390,3 +390,14 @@ def test_clashing_columns_are_ignored(spark):
 
 def test_registry():
     assert {q.split("_")[0] for q in QUERIES} == {*(f"op{k}" for k in range(1, 11)), "pipeline"} and set(SQL) <= set(QUERIES)
+
+
+def test_byte_level_ids_equal_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    worker, library = packing.ByteLevelIds(path), Tokenizer.from_file(path)
+    assert worker.fast is not None
+    rng = np.random.default_rng(6)
+    letters = list("abcdefgst' \n\t\r\x1c\x85 　​09.,-é日本кЖα한\U0001f600") + ["<|endoftext|>", "the", "ing"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 80))) for _ in range(3000)] + ["x" * 200_000, " " * 200_000]
+    for t, ids in zip(texts, worker.encode(texts), strict=True):
+        assert ids == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
