@@ -1,10 +1,10 @@
 """BPE encoding and decoding with a pair occurrence index.
 
 A text is cut at ASCII white space, across which the tokenizer's rules never reach, so each distinct
-piece is encoded once per partition.  The new pieces of a batch are encoded together: every adjacent
-symbol pair that has a rank is listed with all its positions; the least active rank is taken from a
-heap, applied at its positions from left to right, and the lists of the neighbouring pairs are
-extended.  Positions whose symbols have changed meanwhile are skipped when their list comes up.
+piece is encoded once per partition.  The new pieces of a batch are encoded together: an index holds the
+rank of the pair at every position.  Pieces do not touch, so ascending order within each of them is
+ascending order over all: in one pass the least active rank of every piece is applied at all its
+positions, from left to right, and the entries of the positions beside them are updated.
 
 The vocabulary file's normaliser, splitting rule and special tokens are honoured by the tokenizers
 library; merging and decoding are done here.  A null text is empty; repeated rows give equal rows.
@@ -13,7 +13,6 @@ library; merging and decoding are done here.  A null text is empty; repeated row
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 
@@ -24,6 +23,9 @@ from pyspark.sql import functions as F
 
 #: Pieces remembered by one worker; beyond that it starts afresh (only a cache).
 REMEMBERED = 400_000
+_BITS, _NONE = 32, np.int64(1) << 40
+#: Printable ASCII and Latin letters: nothing that a library may take for a blank.
+_PLAIN = re.compile("[!-~\u00c0-\u024f]+")
 
 
 class PairIndexEncoder:
@@ -38,10 +40,10 @@ class PairIndexEncoder:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.splitter = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, merge in enumerate(model["merges"]):
-            a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self.ranks.setdefault((self.vocabulary[a], self.vocabulary[b]), (rank, self.vocabulary[a + b]))
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        pairs, first = np.unique([self.vocabulary[x] << _BITS | self.vocabulary[y] for x, y in merges] or [-1], return_index=True)
+        self.pairs, self.rank_of = pairs.astype(np.int64), first.astype(np.int64)
+        self.merged = np.array([self.vocabulary[x + y] for x, y in merges] or [0], np.int64)
         self.tokens = {i: t for t, i in {**self.vocabulary, **self.special}.items()}
 
     def symbols(self, text: str) -> list[list[int]]:
@@ -58,57 +60,81 @@ class PairIndexEncoder:
                     out.append([i for i in map(self.vocabulary.get, marks) if i is not None])
         return out
 
+    def plain_symbols(self, texts: list[str]) -> list[list[list[int]]] | None:
+        """As :meth:`symbols` for pieces without blanks or special tokens, in one call of the library; None if that goes wrong."""
+        joined = " ".join(texts)
+        if self.library.normalizer is not None:
+            joined = self.library.normalizer.normalize_str(joined)
+        ends = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), np.uint32) == 32)
+        if len(ends) != len(texts) - 1:
+            return None
+        parts = self.library.pre_tokenizer.pre_tokenize_str(joined)
+        if any("\u0120" in part or " " in part for part, _ in parts):  # U+0120 is a byte-level blank
+            return None
+        out: list[list[list[int]]] = [[] for _ in texts]
+        known, suffix = self.vocabulary.get, self.suffix
+        for n, (part, _) in zip(np.searchsorted(ends, [at for _, (at, _) in parts]).tolist(), parts, strict=True):
+            if part:
+                out[n].append([i for i in map(known, [*part[:-1], part[-1] + suffix]) if i is not None])
+        return out
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << _BITS | right
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == keys, self.rank_of[at], _NONE)
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; all texts share one pair index."""
-        ids: list[int] = []
-        owner: list[int] = []
-        after: list[int] = []
+        """Ids of each text; all texts share one pair index, the rank of the pair that starts at each position."""
+        plain = [k for k, t in enumerate(texts) if _PLAIN.fullmatch(t) and not (self.splitter and self.splitter.search(t))]
+        quick = self.plain_symbols([texts[k] for k in plain]) if plain else []
+        found = dict(zip(plain, quick, strict=True)) if quick is not None else {}
+        parts, owners = [], []
         for n, text in enumerate(texts):
-            for part in self.symbols(text):
-                ids += part
-                owner += [n] * len(part)
-                after += [*range(len(after) + 1, len(after) + len(part)), -1] if part else []
-        before = [-1] * len(ids)
-        for i, j in enumerate(after):
-            if j >= 0:
-                before[j] = i
-        ranks, where = self.ranks, {}
-        for i, j in enumerate(after):
-            if j >= 0 and (found := ranks.get((ids[i], ids[j]))) is not None:
-                where.setdefault(found[0], []).append(i)
-        pairs: dict[int, tuple[int, int, int]] = {}
-        active = list(where)
-        heapq.heapify(active)
-        while active:
-            rank = heapq.heappop(active)
-            positions = where.pop(rank, None)
-            if positions is None:
-                continue
-            positions.sort()
-            for i in positions:
-                j = after[i]
-                if j < 0 or ids[i] < 0 or (found := ranks.get((ids[i], ids[j]))) is None or found[0] != rank:
-                    continue
-                ids[i], ids[j] = found[1], -1
-                after[i] = k = after[j]
-                if k >= 0:
-                    before[k] = i
-                    if (new := ranks.get((ids[i], ids[k]))) is not None:
-                        if new[0] not in where:
-                            where[new[0]] = []
-                            heapq.heappush(active, new[0])
-                        where[new[0]].append(i)
-                h = before[i]
-                if h >= 0 and (new := ranks.get((ids[h], ids[i]))) is not None:
-                    if new[0] not in where:
-                        where[new[0]] = []
-                        heapq.heappush(active, new[0])
-                    where[new[0]].append(h)
-        out: list[list[int]] = [[] for _ in texts]
-        for i, n in zip(ids, owner, strict=True):
-            if i >= 0:
-                out[n].append(i)
-        return out
+            for part in found[n] if n in found else self.symbols(text):
+                if part:
+                    parts.append(part)
+                    owners.append(n)
+        if not parts:
+            return [[] for _ in texts]
+        part_of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        ids = np.array([i for p in parts for i in p], np.int64)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def index(at: np.ndarray) -> np.ndarray:
+            """Ranks of the pairs that start at the given positions; none across a part's end."""
+            after = np.minimum(at + 1, len(ids) - 1)
+            inside = (at + 1 < len(ids)) & (part_of[after] == part_of[at])
+            return np.where(inside, self._ranks(ids[at], ids[after]), _NONE)
+
+        ranks = index(np.arange(len(ids)))
+        while len(ids):
+            begin = np.flatnonzero(np.concatenate([[True], part_of[1:] != part_of[:-1]]))
+            least = np.repeat(np.minimum.reduceat(ranks, begin), np.diff(np.append(begin, len(ids))))
+            over = least == _NONE
+            if over.any():
+                done.append((part_of[over], ids[over]))
+                keep = ~over
+                ids, part_of, ranks, least = ids[keep], part_of[keep], ranks[keep], least[keep]
+                if not len(ids):
+                    break
+            hit = np.flatnonzero(ranks == least)
+            # Positions that follow one another overlap: from the left, every second one of such a run applies.
+            run = np.cumsum(np.concatenate([[True], np.diff(hit) != 1])) - 1
+            first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            hit = hit[(np.arange(len(hit)) - first[run]) % 2 == 0]
+            ids[hit] = self.merged[ranks[hit]]
+            keep = np.ones(len(ids), bool)
+            keep[hit + 1] = False
+            moved = np.cumsum(keep) - 1
+            ids, part_of, ranks = ids[keep], part_of[keep], ranks[keep]
+            at = moved[hit]
+            changed = np.unique(np.concatenate([at, np.maximum(at - 1, 0)]))
+            ranks[changed] = index(changed)
+        part_of, ids = (np.concatenate([d[k] for d in done]) for k in range(2))
+        order = np.argsort(part_of, kind="stable")
+        cuts = np.searchsorted(np.array(owners)[part_of[order]], np.arange(len(texts) + 1)).tolist()
+        flat = ids[order].tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def decode(self, ids: list[int]) -> str:
         """As the library does for a file without a decoder: the tokens' strings joined by spaces."""
