@@ -1,15 +1,17 @@
 """Text scoring by a probabilistic suffix tree over words.
 
-Symbols are lower-cased words, one end per text, and one unknown symbol.  The root is the discounted
-distribution of all symbols.  A context of up to ``DEPTH`` symbols is a candidate if its share of the
-training tokens is at least ``P_MIN`` (Ron, Singer and Tishby 1996), and is retained if its next-symbol
-counts diverge from those that its longest retained suffix predicts, by a likelihood-ratio test.  A
-token is scored in the state of its longest retained suffix, whose distribution is smoothed by that
-of the next shorter one.
-
-The tree is bounded by its own definition (DEPTH / P_MIN contexts, DEPTH / Q_MIN next symbols), so it
-travels in the tasks' closure.  Word counts are not bounded and never do: texts are dealt into blocks
-by id, each block asks for its distinct words, and a join with the counts answers it.
+Symbols are lower-cased words and one end per text.  The root is the discounted distribution of all
+symbols.  A context of up to ``DEPTH`` symbols is a candidate if the training texts hold it ``least``
+times, an absolute number from a small corpus on, so that the tree grows with the corpus.  It is
+retained if its next-symbol counts diverge from those that its longest retained suffix predicts, by a
+likelihood-ratio test.  A token is scored in the state of its longest retained suffix, whose
+distribution is smoothed by that of the next shorter one.
+
+Neither words nor tree are bounded, so no task and no driver holds them.  Contexts and their next
+symbols are hashes of one to DEPTH + 1 symbols: a context of d symbols with its next is also a context
+of d + 1.  Level by level, these are counted, joined with what their suffix predicts and tested per
+context.  For scoring, texts are dealt into blocks by id, each block asks for its distinct hashes, and
+a join with the words, contexts and nexts answers it.
 
 A null text is empty: its one token is the end.  Rows with a null id are training rows.  Repeated
 rows count and are scored each on their own.
@@ -25,13 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Workspace
-from .words import U64, pieces, word_hashes
+from .words import U64, pieces, window_hashes, word_hashes
 
 DEPTH = 3
-#: Least share of the training tokens that a context, or a symbol inside one, has.
+#: Least share of the training tokens that a context has in a corpus too small for LEAST.
 P_MIN = 1e-4
-#: Least share of the training tokens that a next symbol listed under a context has.
+#: Least share of the training tokens that a next symbol has in a corpus too small for LISTED.
 Q_MIN = 1e-6
+#: Occurrences that admit a context at any size of corpus.
+LEAST = 8
+#: Occurrences that list a next symbol under a context at any size of corpus.
+LISTED = 2
 #: Strength of smoothing: tokens' worth of the shorter context's distribution.
 STRENGTH = 4.0
 #: Bytes of text in a block.
@@ -52,6 +58,17 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, first + np.arange(rows + 1)
 
 
+def _grams(tokens: np.ndarray, begin: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For 1 to DEPTH + 1 symbols: the hash of those that end at each token, and whether they lie inside its text."""
+    out, at = [(tokens, np.ones(len(tokens), bool))], np.arange(len(tokens))
+    for length in range(2, DEPTH + 2):
+        hashes = np.zeros(len(tokens), np.uint64)
+        if len(tokens) >= length:
+            hashes[length - 1 :] = window_hashes(tokens, at[: len(tokens) - length + 1], length)
+        out.append((hashes, at - begin >= length - 1))
+    return out
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64), pa.int64())
 
@@ -80,7 +97,10 @@ def _counted(batches):
 
 @dataclass
 class Tree:
-    """Symbols inside contexts, and for each depth the retained contexts with their listed next symbols."""
+    """Totals of the training tokens and the root's distribution.
+
+    ``symbols`` and ``levels`` hold a small tree in memory by ids; a corpus' levels are tables (:func:`learned`).
+    """
 
     tokens: int = 0
     types: int = 0
@@ -161,27 +181,25 @@ class Tree:
         assert depth == len(self.levels)
 
 
-def _pairs(tree: Tree, depth: int, candidates: np.ndarray):
-    """(context, next, n) of the training tokens whose context is a candidate."""
+def _pairs(length: int):
+    """(hash, context, suffix, n) of the training tokens' last ``length`` symbols."""
 
     def run(batches):
         held, size = [], 0
 
         def out():
-            key, inverse = np.unique(np.concatenate(held), return_inverse=True)
-            n = np.bincount(inverse)
-            return pa.RecordBatch.from_arrays([_long(key >> _BITS), _long(key & ((1 << _BITS) - 1)), _long(n)], names=["at", "next", "n"])
+            hashes, contexts, suffixes = (np.concatenate(x) for x in zip(*held, strict=True))
+            unique, at, n = np.unique(hashes, return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([_long(unique), _long(contexts[at]), _long(suffixes[at]), _long(n)], names=["hash", "context", "suffix", "n"])
 
         for batch in batches:
             train = ~np.asarray(batch.column("held_out").to_numpy(zero_copy_only=False), bool)
             for lo, hi, data, offsets in pieces(batch.column("text")):
-                hashes, first = _tokens(data, offsets)
-                ids = tree.ids(hashes)
-                context = tree.contexts(ids, np.repeat(first[:-1], np.diff(first)), depth)
-                context[~np.repeat(train[lo:hi], np.diff(first))] = -1
-                at = np.minimum(np.searchsorted(candidates, context), len(candidates) - 1)
-                rows = np.flatnonzero(candidates[at] == context)
-                held.append((at[rows] << _BITS) | ids[rows])
+                tokens, first = _tokens(data, offsets)
+                grams = _grams(tokens, np.repeat(first[:-1], np.diff(first)))
+                (hashes, inside), (shorter, _) = grams[length - 1], grams[length - 2]
+                rows = np.flatnonzero(inside & np.repeat(train[lo:hi], np.diff(first)))
+                held.append((hashes[rows], shorter[rows - 1], shorter[rows]))
                 size += len(data)
                 if size >= _GATHER:
                     yield out()
@@ -192,33 +210,38 @@ def _pairs(tree: Tree, depth: int, candidates: np.ndarray):
     return run
 
 
-def learned(source: DataFrame, counts: DataFrame) -> Tree:
-    """The tree of ``source(text, held_out)``'s training rows; ``counts(hash, n)`` are their symbol counts."""
+def learned(source: DataFrame, counts: DataFrame, ws: Workspace) -> tuple[Tree, DataFrame]:
+    """Totals of ``source(text, held_out)``'s training rows, and (hash, n, total, rest) of the tree they make.
+
+    ``counts(hash, n)`` are the symbol counts.  A row has the count of a symbol or listed next symbol, or the
+    total and unlisted count of a retained context.
+    """
     tokens, types, once, twice = counts.agg(*(F.coalesce(c, F.lit(0)) for c in (F.sum("n"), F.expr("count_if(n > 0)"), F.expr("count_if(n = 1)"), F.expr("count_if(n = 2)")))).first()
     discount = min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9)
     tree = Tree(int(tokens), int(types), discount)
+    none = [F.lit(None).cast("long").alias(c) for c in ("total", "rest")]
+    table = counts.select("hash", "n", *none)
     if not tokens:
-        return tree
-    frequent = counts.where(F.col("n") >= max(2, P_MIN * tokens)).collect()  # at most 1 / P_MIN rows
-    symbols = np.array([r["hash"] for r in frequent], np.int64).view(np.uint64)
-    order = np.argsort(symbols)
-    tree.symbols, symbol_counts = symbols[order], np.array([r["n"] for r in frequent], np.float64)[order]
-    candidates = np.arange(1, len(symbols) + 1)
-    for depth in range(1, DEPTH + 1):
-        if not len(candidates):
-            break
-        found = source.mapInArrow(_pairs(tree, depth, candidates), "at long, next long, n long").groupBy("at", "next").agg(F.sum("n").alias("n"))
-        # Unlisted nexts are one class per context, so at most 1 / Q_MIN + contexts rows come back.
-        listed = F.when(F.col("n") >= max(1, Q_MIN * tokens), F.col("next")).otherwise(0)
-        rows = found.groupBy("at", listed.alias("next")).agg(F.sum("n").alias("n")).collect()
-        keys, nexts, n = (np.array([r[c] for r in rows], np.int64) for c in ("at", "next", "n"))
-        if not len(keys):
-            break
-        keys = candidates[keys]
-        tree.extend(keys, nexts, n, symbol_counts)
-        longer = (nexts > 0) & (n >= P_MIN * tokens)
-        candidates = np.unique((keys[longer] << _BITS) | nexts[longer]) if depth < DEPTH else candidates[:0]
-    return tree
+        return tree, table
+    least, listed = min(LEAST, max(2, P_MIN * tokens)), min(LISTED, max(1, Q_MIN * tokens))
+    known = counts.where("n > 0").select("hash", "n", ((F.col("n") - discount) / tokens).alias("p"))
+    for length in range(2, DEPTH + 2):
+        found = source.mapInArrow(_pairs(length), "hash long, context long, suffix long, n long")
+        found = found.groupBy("hash").agg(F.sum("n").alias("n"), F.min("context").alias("context"), F.min("suffix").alias("suffix")).where(F.col("n") >= listed)
+        # A suffix occurs as often at least, so it is among the known ones.
+        found = ws.save(found.join(known.select(F.col("hash").alias("suffix"), "p"), "suffix").drop("suffix"), "nexts")
+        # Each occurrence of a context has a next symbol: its total is its own count.
+        total = known.where(F.col("n") >= least).select(F.col("hash").alias("context"), F.col("n").alias("total"))
+        seen = found.groupBy("context").agg(F.sum("n").alias("seen"), F.count("*").alias("freedom"), F.sum("p").alias("share"), F.sum(F.expr("n * ln(n / p)")).alias("gain"))
+        tested = seen.join(total, "context").withColumn("rest", F.col("total") - F.col("seen"))
+        other = "if(rest > 0, rest * ln(rest / (total * greatest(1 - share, 1e-9))), 0)"
+        kept = ws.save(tested.where(f"2 * (gain - seen * ln(total) + {other}) > freedom + 4 * sqrt(2 * freedom) + 4").select("context", "total", "rest"), "contexts")
+        joined = found.join(kept, "context", "left")
+        p = F.when(F.col("total").isNull(), F.col("p")).otherwise((F.col("n") + (STRENGTH + F.col("rest")) * F.col("p")) / (F.col("total") + STRENGTH))
+        known = ws.save(joined.select("hash", "n", p.alias("p"), F.col("total").isNotNull().alias("state")), "level")
+        ws.drop(found)
+        table = table.union(known.where("state").select("hash", "n", *none)).union(kept.select("context", F.lit(None).cast("long"), "total", "rest"))
+    return tree, table
 
 
 def _asked(batches):
@@ -227,9 +250,28 @@ def _asked(batches):
         for lo, hi, data, offsets in pieces(batch.column("text"), 4 << 20):
             tokens, first = _tokens(data, offsets)
             block = np.repeat(blocks[lo:hi], np.diff(first))
+            grams = _grams(tokens, np.repeat(first[:-1], np.diff(first)))
             for b in np.unique(block):
-                unique = np.unique(tokens[block == b])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unique), b), pa.int64()), _long(unique)], names=["block", "hash"])
+                own = block == b
+                for hashes, inside in grams:
+                    unique = np.unique(hashes[own & inside])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unique), b), pa.int64()), _long(unique)], names=["block", "hash"])
+
+
+class _Lookup:
+    """Values by hash; 0 for a hash that is not known."""
+
+    def __init__(self, hashes: np.ndarray, *values: np.ndarray):
+        order = np.argsort(hashes)
+        keep = order[np.append(True, np.diff(hashes[order]) != 0)] if len(order) else order  # several pieces of a block may ask for one
+        self.hashes, self.values = hashes[keep], [v[keep] for v in values]
+
+    def __call__(self, asked: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        if not len(self.hashes):
+            return np.zeros(len(asked), bool), [np.zeros(len(asked)) for _ in self.values]
+        at = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
+        hit = self.hashes[at] == asked
+        return hit, [np.where(hit, v[at], 0) for v in self.values]
 
 
 def _scored(tree: Tree, id_type: pa.DataType):
@@ -237,13 +279,20 @@ def _scored(tree: Tree, id_type: pa.DataType):
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         known = np.asarray(answers.column("hash").to_numpy()).astype(np.int64).view(np.uint64)
-        order = np.argsort(known)
-        known, n = known[order], np.asarray(answers.column("n").to_numpy())[order]
+        n, total, rest = (answers.column(c).fill_null(-1).to_numpy() for c in ("n", "total", "rest"))
+        state = total >= 0
+        nexts, contexts = _Lookup(known[~state], n[~state]), _Lookup(known[state], total[state], rest[state])
         rows = [[], [], [], []]
-        for lo, hi, data, offsets in pieces(texts.column("text")):
+        for _, _, data, offsets in pieces(texts.column("text")):
             tokens, first = _tokens(data, offsets)
-            counts = n[np.searchsorted(known, tokens)]
-            p = tree.probabilities(tokens, np.repeat(first[:-1], np.diff(first)), counts)
+            grams = _grams(tokens, np.repeat(first[:-1], np.diff(first)))
+            counts = nexts(tokens)[1][0]
+            p = tree.root(counts)
+            for (shorter, _), (hashes, inside) in zip(grams, grams[1:], strict=False):
+                at = np.flatnonzero(inside)
+                hit, (all_, other) = contexts(shorter[at - 1])
+                at, all_, other = at[hit], all_[hit], other[hit]
+                p[at] = (nexts(hashes[at])[1][0] + (STRENGTH + other) * p[at]) / (all_ + STRENGTH)
             at = first[:-1]
             rows[0].append(np.diff(first))
             rows[1].append(np.add.reduceat((counts > 0).astype(np.int64), at))
@@ -263,12 +312,12 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     source = docs.select(F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text"), held_out.alias("held_out"))
     words = source.select("text", "held_out")
     counts = ws.save(words.mapInArrow(_counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "counts")
-    tree = learned(words, counts)
+    tree, table = learned(words, counts, ws)
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(partitions, -(-size // BLOCK_BYTES))
     dealt = source.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).repartition(partitions, "block")
-    answers = dealt.mapInArrow(_asked, "block long, hash long").join(counts, "hash").select("block", "hash", "n")
+    answers = dealt.mapInArrow(_asked, "block long, hash long").join(table, "hash").select("block", "hash", "n", "total", "rest")
     kind = docs.schema[id_column].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -184,6 +184,55 @@ def test_tree_retains_contexts_that_diverge_and_sums_to_one():
     assert not len(plain.levels[0][0])
 
 
+def suffix_tree_scores(train, texts):
+    """Scores of ``texts`` by a tree of ``train`` with least counts 8 and 1 or 2, spelled out."""
+    grams = collections.Counter(tuple(t[k - d : k + 1]) for t in train for k in range(len(t)) for d in range(min(k, 3) + 1))
+    n = sum(len(t) for t in train)
+    once, twice = (sum(1 for g, c in grams.items() if len(g) == 1 and c == k) for k in (1, 2))
+    cut = min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9)
+    types, listed, states = sum(len(g) == 1 for g in grams), min(2, max(1, 1e-6 * n)), {}
+
+    def p(context, word):
+        if not context:
+            return (grams[word,] - cut) / n if grams[word,] else cut * types / n
+        low = p(context[1:], word)
+        if context not in states:
+            return low
+        total, rest = states[context]
+        c = grams[(*context, word)]
+        return ((c if c >= listed else 0) + (4 + rest) * low) / (total + 4)
+
+    for depth in (1, 2, 3):
+        nexts = collections.defaultdict(list)
+        for g, c in grams.items():
+            if len(g) == depth + 1:
+                nexts[g[:-1]].append((g[-1], c))
+        new = {}
+        for context, found in nexts.items():
+            total = sum(c for _, c in found)
+            shown = [(c, p(context[1:], w)) for w, c in found if c >= listed]
+            rest, free = total - sum(c for c, _ in shown), len(shown)
+            gain = sum(c * np.log(c / (total * q)) for c, q in shown)
+            gain += rest * np.log(rest / (total * max(1 - sum(q for _, q in shown), 1e-9))) if rest else 0
+            if total >= min(8, max(2, 1e-4 * n)) and shown and 2 * gain > free + 4 * np.sqrt(2 * free) + 4:
+                new[context] = (total, rest)
+        states.update(new)
+    return [sum(np.log10(p(tuple(t[max(k - 3, 0) : k]), w)) for k, w in enumerate(t)) for t in texts], states
+
+
+def test_tree_grows_with_the_corpus(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in (rng.zipf(1.3, 500) % 3000)) for _ in range(400)]
+    for k in range(14):  # a phrase of words that are otherwise absent, far below 1e-4 of the tokens
+        texts[k * 20] += " rare phrase of seven words follows here"
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    tokens = [[*words(t), None] for t in texts]
+    want, states = suffix_tree_scores([t for t, h in zip(tokens, held, strict=True) if not h], tokens)
+    assert sum(not h for h in held) * 500 > 160_000 and ("rare",) in states and ("rare", "phrase", "of") not in states
+    got = collected(lm.scored(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)))
+    assert [got[i]["score"] for i in range(len(texts))] == pytest.approx(want)
+
+
 def test_bpe_equals_the_library(docs, rows):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
