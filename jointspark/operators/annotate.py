@@ -76,9 +76,15 @@ def coverage_outliers(df: DataFrame, total: str, low: float, high: float) -> Dat
     return df.crossJoin(F.broadcast(bounds)).where((F.col(total) > 0) & (F.col(total) > low * F.col("_median")) & (F.col(total) < high * F.col("_mean"))).drop("_median", "_mean")
 
 
+#: Starts of windows that one piece of a text holds: finding a character takes time in proportion to its place.
+_PIECE = 256
+
+
 def kmers(df: DataFrame, keys: list[str], text: str, k: int, least: int = 1) -> DataFrame:
     """(keys, kmer, n) of every window of ``k`` characters, counts under ``least`` dropped."""
-    n = F.length(text)
-    starts = F.when(n >= k, F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
-    exploded = df.select(*keys, F.explode(F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(k)))).alias("kmer"))
+    at = F.expr(f"if(length(`{text}`) >= {k}, sequence(1, length(`{text}`) - {k - 1}, {_PIECE}), cast(array() as array<int>))")
+    piece = F.transform(at, lambda i: F.substring(F.col(text), i, F.lit(_PIECE + k - 1)))
+    pieces = df.select(*keys, F.explode(piece).alias("_piece"))
+    starts = F.sequence(F.lit(1), F.length("_piece") - k + 1)
+    exploded = pieces.select(*keys, F.explode(F.transform(starts, lambda i: F.substring(F.col("_piece"), i, F.lit(k)))).alias("kmer"))
     return exploded.groupBy(*keys, "kmer").agg(F.count("*").alias("n")).where(F.col("n") >= least)

@@ -98,6 +98,11 @@ def kmer_count(spark, d):
     return an.kmers(table(spark, d, "part"), ["p_brand"], "p_name", 5, 2)
 
 
+@query("q46_kmer_count_documents", "WITH k AS (SELECT lang, substr(text, CAST(i AS INT), 5) AS kmer FROM documents, unnest(range(1, length(text) - 3)) u(i)) SELECT lang, kmer, count(*) AS n FROM k GROUP BY ALL HAVING count(*) >= 2")
+def kmer_count_documents(spark, d):
+    return an.kmers(table(spark, d, "documents"), ["lang"], "text", 5, 2)
+
+
 @query("q47_downsample", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) AS k FROM events) WHERE k <= 5")
 def downsample(spark, d):
     return gt.downsampled(table(spark, d, "events").select("user_id", "event_id"), ["user_id"], 5, ["event_id"])

@@ -48,3 +48,12 @@ def test_query_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
+
+
+def test_kmers_of_whole_documents(spark):
+    import collections
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("lang", "text").collect()
+    want = collections.Counter((r["lang"], r["text"][k : k + 5]) for r in docs for k in range(len(r["text"] or "") - 4))
+    got = {(r["lang"], r["kmer"]): r["n"] for r in QUERIES["q46_kmer_count_documents"](spark, DIR).collect()}
+    assert got == {k: n for k, n in want.items() if n >= 2}
