@@ -55,18 +55,22 @@ def frequencies(df: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).applyInPandas(run, _schema(rows, keys, "n long, af double"))
 
 
-def _times(a: tuple[np.ndarray, float], b: tuple[np.ndarray, float]) -> tuple[np.ndarray, float]:
-    out = np.convolve(a[0], b[0])
-    top = out.max()
-    return out / top, a[1] + b[1] + math.log10(top)
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Convolution of two arrays of natural logarithms; no term underflows, however far from the peak."""
+    if len(a) < len(b):
+        a, b = b, a
+    out = np.full(len(a) + len(b) - 1, -np.inf)
+    for k, x in enumerate(b):
+        part = out[k : k + len(a)]
+        np.logaddexp(part, a + x, out=part)
+    return out
 
 
 def count_likelihoods(gl: np.ndarray, n: np.ndarray) -> np.ndarray:
     """log10 likelihood of every alternate allele count; equal samples are raised to their number by squaring."""
-    level: list[tuple[np.ndarray, float]] = []
+    level: list[np.ndarray] = []
     for row, often in zip(gl, n.astype(int), strict=True):
-        top = row.max()
-        square, power = (10.0 ** (row - top) * np.array([1.0, 2.0, 1.0]), float(top)), None
+        square, power = row * LN10 + np.array([0.0, math.log(2), 0.0]), None
         while often:
             if often & 1:
                 power = square if power is None else _times(power, square)
@@ -76,11 +80,10 @@ def count_likelihoods(gl: np.ndarray, n: np.ndarray) -> np.ndarray:
         level.append(power)
     while len(level) > 1:
         level = [_times(*level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-    values, scale = level[0]
+    values = level[0]
     copies = len(values) - 1
     lg, k = _lgamma(copies), np.arange(copies + 1)
-    with np.errstate(divide="ignore"):
-        return np.log10(values) + scale - (lg[copies] - lg[k] - lg[copies - k]) / LN10
+    return (values - (lg[copies] - lg[k] - lg[copies - k])) / LN10
 
 
 def exact(df: DataFrame, keys: list[str], theta: float) -> DataFrame:
@@ -91,12 +94,12 @@ def exact(df: DataFrame, keys: list[str], theta: float) -> DataFrame:
         gl, n = _parts(pdf)
         likelihood = count_likelihoods(gl, n)
         prior = heterozygosity_prior(theta, len(likelihood) - 1)
-        top = likelihood.max()
-        none = likelihood[0] - top + prior[0]
-        some = math.log10(np.sum(10.0 ** (likelihood[1:] - top))) + math.log10(np.sum(10.0 ** prior[1:]))
+        top = likelihood[1:].max()
+        none = likelihood[0] + prior[0]
+        some = top + math.log10(np.sum(10.0 ** (likelihood[1:] - top))) + math.log10(np.sum(10.0 ** prior[1:]))
         most = max(none, some)
         both = most + math.log10(10.0 ** (none - most) + 10.0 ** (some - most))
-        return pd.DataFrame([(*key, int(n.sum()), min(-10 * (none - both), 1e6), int(likelihood.argmax()))])
+        return pd.DataFrame([(*key, int(n.sum()), -10 * (none - both), int(likelihood.argmax()))])
 
     return rows.groupBy(*keys).applyInPandas(run, _schema(rows, keys, "n long, qual double, mle_ac long"))
 
