@@ -145,6 +145,29 @@ def overlap_map(spark, d):
     return found.withColumn("hits", F.array_join(F.transform("hits", lambda h: F.concat_ws("-", h["start_r"].cast("string"), h["end_r"].cast("string"))), ","))
 
 
+@query("q08_overlapping_sides", f"WITH {REG} SELECT key, contig, start AS \"start\", stop AS \"end\" FROM reg r WHERE priority < '3' AND EXISTS (SELECT 1 FROM reg s WHERE s.priority >= '3' AND s.contig = r.contig AND s.start <= r.stop AND r.start <= s.stop)")
+def overlapping_sides(spark, d):
+    left, right = _sides(spark, d)
+    return iv.overlapping(left.select("key", "contig", "start", "end"), right)
+
+
+@query("q09_reciprocal_overlap_all", f"WITH {REG} SELECT a.key AS key, count(*) AS n_partners, min(b.key) AS least_partner FROM reg a JOIN reg b ON a.contig = b.contig AND least(a.stop, b.stop) - greatest(a.start, b.start) + 1 >= 0.5 * greatest(a.stop - a.start + 1, b.stop - b.start + 1) GROUP BY a.key")
+def reciprocal_all(spark, d):
+    pairs = iv.reciprocal(regions(spark, d), regions(spark, d), 0.5)
+    return pairs.groupBy("key").agg(F.count("*").alias("n_partners"), F.min("key_r").alias("least_partner"))
+
+
+@query(
+    "q10_overlap_map_sides",
+    f"""WITH {REG}, k AS (SELECT DISTINCT contig, start, stop FROM reg WHERE priority < '3'), v AS (SELECT DISTINCT contig, start, stop FROM reg WHERE priority >= '3')
+SELECT k.contig, k.start AS "start", k.stop AS "end", string_agg(v.start || '-' || v.stop, ',' ORDER BY v.start, v.stop) AS hits
+FROM k JOIN v ON v.contig = k.contig AND v.start <= k.stop AND k.start <= v.stop GROUP BY ALL""",
+)
+def overlap_map_sides(spark, d):
+    found = iv.overlap_map(*_sides(spark, d))
+    return found.withColumn("hits", F.array_join(F.transform("hits", lambda h: F.concat_ws("-", h["start_r"].cast("string"), h["end_r"].cast("string"))), ","))
+
+
 @query(
     "q11_latest_record",
     f"""WITH {REC}, s AS (SELECT DISTINCT contig, unnest(range(start, stop + 1)) AS pos FROM rec WHERE n_allele > 2),

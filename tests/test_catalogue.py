@@ -57,3 +57,9 @@ def test_kmers_of_whole_documents(spark):
     want = collections.Counter((r["lang"], r["text"][k : k + 5]) for r in docs for k in range(len(r["text"] or "") - 4))
     got = {(r["lang"], r["kmer"]): r["n"] for r in QUERIES["q46_kmer_count_documents"](spark, DIR).collect()}
     assert got == {k: n for k, n in want.items() if n >= 2}
+
+
+def test_every_region_is_joined_with_every_region(spark, duck):
+    keys = {k for (k,) in duck.execute("SELECT o_orderkey FROM orders").fetchall()}
+    found = QUERIES["q09_reciprocal_overlap_all"](spark, DIR).collect()
+    assert {r["key"] for r in found} == keys and all(r["least_partner"] <= r["key"] for r in found)
