@@ -3,8 +3,8 @@
 1. Each text becomes a set of word shingles, a set digest and a signature of ``K`` minima.  Texts
    with one set are one node from here on.
 2. Nodes are posted under their signature's coordinate values.  A pair at the similarity sought
-   agrees in at least ``T`` coordinates except with probability below 1e-6 (binomial tail of K=32,
-   p=0.85, T=16); such a pair shares one of each node's ``K-T+1`` rarest values, so only these are
+   agrees in at least T coordinates except with probability up to ``MISS`` (binomial tail of K=32;
+   T=16 for 85 percent); such a pair shares one of each node's ``K-T+1`` rarest values, so only these are
    posted (prefix), values held by one node are skipped, and so are nodes with under T shared values.
 3. Collisions are counted inside a posting list by comparing signatures; lists beyond a block's rows
    are dealt out as pairs of blocks, so no task holds a hot list.  What leaves a block is a spanning
@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,8 @@ from .store import Workspace
 from .words import U64, mix, pieces, window_hashes, window_starts, word_hashes
 
 K = 32
-T = 16
+#: Most probable loss of a pair at the similarity sought.
+MISS = 1e-6
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(85)).integers(1, 1 << 62, K, dtype=np.uint64) * U64(2) + U64(1)
 #: Rows of a block, as a function of a group's rows: bounds a task's memory at any size of group.
 _BLOCK = "least(4096, greatest(128, {n} / 16))"
@@ -35,6 +37,19 @@ _BLOCK = "least(4096, greatest(128, {n} / 16))"
 _WEIGHT = 200_000
 
 
+def agreeing(percent: int) -> int:
+    """The most coordinates of K that a pair of ``percent`` similarity agrees in, except with probability up to MISS."""
+    p, missed, t = percent / 100, 0.0, 0
+    while t < K:
+        missed += math.comb(K, t) * p**t * (1 - p) ** (K - t)
+        if missed > MISS:
+            break
+        t += 1
+    if not t or not 0 < percent <= 100:
+        raise ValueError(f"{K} minima do not find pairs of {percent} percent similarity")
+    return t
+
+
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes); a text of fewer words is one shingle, one without words none."""
     for lo, hi, data, offsets in pieces(texts):
@@ -80,56 +95,60 @@ def _signed(width: int):
     return run
 
 
-def _matches(batches):
-    """Rows (token, bi, bj, rep, signature), equal keys adjacent: a spanning forest of each list's matches."""
-    held: list[pa.Table] = []
-
-    def forest(table: pa.Table):
-        table = table.combine_chunks()
-        n = table.num_rows
-        key = [table.column(c).to_numpy() for c in ("token", "bi", "bj")]
-        rep = table.column("rep").to_numpy()
-        signature = np.asarray(table.column("signature").combine_chunks().flatten().to_numpy()).reshape(n, K)
-        change = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in key], axis=0)]))
-        end = np.repeat(np.append(change[1:], n), np.diff(np.append(change, n)))
-        rows, left, right, d = np.arange(n), [], [], 1
-        while True:
-            rows = rows[rows + d < end[rows]]
-            if not len(rows):
-                break
-            for at in range(0, len(rows), 16384):
-                part = rows[at : at + 16384]
-                hit = part[(signature[part] == signature[part + d]).sum(axis=1) >= T]
-                left.append(hit)
-                right.append(hit + d)
-            d += 1
-        if not left:
-            return None
-        label = block_components(n, np.concatenate(left), np.concatenate(right))
-        tied = np.flatnonzero(rep[label] != rep)
-        return pa.RecordBatch.from_arrays([pa.array(rep[tied]), pa.array(rep[label[tied]])], names=["a", "b"]) if len(tied) else None
-
-    def same(t: pa.Table, i: int, u: pa.Table, j: int) -> bool:
-        return all(t.column(c)[i].as_py() == u.column(c)[j].as_py() for c in ("token", "bi", "bj"))
-
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if not table.num_rows:
-            continue
-        key = [table.column(c).to_numpy() for c in ("token", "bi", "bj")]
-        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
-        cut = int(change[-1]) if len(change) else 0
-        if held and not same(held[0], 0, table, 0):
-            ready, held = pa.concat_tables(held + ([table.slice(0, cut)] if cut else [])), []
-        elif cut:
-            ready, held = pa.concat_tables([*held, table.slice(0, cut)]), []
-        else:
-            ready = None
-        held.append(table.slice(cut))
-        if ready is not None and (out := forest(ready)) is not None:
+def _matches(least: int):
+    """Of rows (token, bi, bj, rep, signature), equal keys adjacent: a spanning forest of each list's matches, which agree in ``least`` coordinates."""
+
+    def run(batches):
+        held: list[pa.Table] = []
+
+        def forest(table: pa.Table):
+            table = table.combine_chunks()
+            n = table.num_rows
+            key = [table.column(c).to_numpy() for c in ("token", "bi", "bj")]
+            rep = table.column("rep").to_numpy()
+            signature = np.asarray(table.column("signature").combine_chunks().flatten().to_numpy()).reshape(n, K)
+            change = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in key], axis=0)]))
+            end = np.repeat(np.append(change[1:], n), np.diff(np.append(change, n)))
+            rows, left, right, d = np.arange(n), [], [], 1
+            while True:
+                rows = rows[rows + d < end[rows]]
+                if not len(rows):
+                    break
+                for at in range(0, len(rows), 16384):
+                    part = rows[at : at + 16384]
+                    hit = part[(signature[part] == signature[part + d]).sum(axis=1) >= least]
+                    left.append(hit)
+                    right.append(hit + d)
+                d += 1
+            if not left:
+                return None
+            label = block_components(n, np.concatenate(left), np.concatenate(right))
+            tied = np.flatnonzero(rep[label] != rep)
+            return pa.RecordBatch.from_arrays([pa.array(rep[tied]), pa.array(rep[label[tied]])], names=["a", "b"]) if len(tied) else None
+
+        def same(t: pa.Table, i: int, u: pa.Table, j: int) -> bool:
+            return all(t.column(c)[i].as_py() == u.column(c)[j].as_py() for c in ("token", "bi", "bj"))
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
+            key = [table.column(c).to_numpy() for c in ("token", "bi", "bj")]
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+            cut = int(change[-1]) if len(change) else 0
+            if held and not same(held[0], 0, table, 0):
+                ready, held = pa.concat_tables(held + ([table.slice(0, cut)] if cut else [])), []
+            elif cut:
+                ready, held = pa.concat_tables([*held, table.slice(0, cut)]), []
+            else:
+                ready = None
+            held.append(table.slice(cut))
+            if ready is not None and (out := forest(ready)) is not None:
+                yield out
+        if held and (out := forest(pa.concat_tables(held))) is not None:
             yield out
-    if held and (out := forest(pa.concat_tables(held))) is not None:
-        yield out
+
+    return run
 
 
 def _sets(width: int):
@@ -186,8 +205,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     component's id is its smallest member.  Null and wordless texts have no shingles and no link.
     Rows that repeat an id count as one document with several texts, linked by their id.  Rows with
     a null id are returned unlinked, with a null component and kept.  Other columns are ignored.
+    A ``percent`` that K minima cannot serve within MISS (under 36) is rejected.
     """
-    spark = docs.sparkSession
+    spark, least = docs.sparkSession, agreeing(percent)
     ws = Workspace(spark)
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     signed = ws.save(source.mapInArrow(_signed(width), "id long, n_shingles long, digest binary, signature array<long>"), "signed")
@@ -197,14 +217,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
     tokens = nodes.select("rep", F.explode("signature").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
-    ranked = tokens.join(often, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("ranked")).where(F.size("ranked") >= T)
-    posted = ws.save(ranked.select("rep", F.explode(F.expr(f"slice(ranked, 1, size(ranked) - {T - 1})").getField("token")).alias("token")), "posted")
+    ranked = tokens.join(often, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("ranked")).where(F.size("ranked") >= least)
+    posted = ws.save(ranked.select("rep", F.explode(F.expr(f"slice(ranked, 1, size(ranked) - {least - 1})").getField("token")).alias("token")), "posted")
     lists = posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token", F.expr(f"cast(ceil(n / {_BLOCK.format(n='n')}) as int)").alias("blocks"))
     dealt = posted.join(lists, "token").join(nodes.select("rep", "signature"), "rep")
     dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("token", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "rep", "signature")
     dealt = dealt.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "rep")
-    grouped = components(dealt.mapInArrow(_matches, "a long, b long"), ws)
+    grouped = components(dealt.mapInArrow(_matches(least), "a long, b long"), ws)
 
     members = grouped.join(nodes.select(F.col("rep").alias("id"), "n"), "id")
     sizes = members.groupBy("component").agg(F.sum("n").alias("weight"), F.count("*").alias("rows"))

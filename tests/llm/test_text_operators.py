@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -99,6 +100,28 @@ def test_near_duplicates_of_a_large_group_are_dealt_in_blocks(spark):
     assert {i: r["component_id"] for i, r in got.items()} == label
 
 
+def test_candidates_follow_the_similarity_sought():
+    miss = lambda percent, t: sum(math.comb(32, k) * (percent / 100) ** k * (1 - percent / 100) ** (32 - k) for k in range(t))
+    assert minhash.agreeing(85) == 16
+    for percent in (36, 50, 80, 85, 99):
+        t = minhash.agreeing(percent)
+        assert miss(percent, t) <= 1e-6 < miss(percent, t + 1)
+    for percent in (0, 35, 101):
+        with pytest.raises(ValueError, match="minima"):
+            minhash.agreeing(percent)
+
+
+def test_pairs_at_fifty_percent_are_found(spark):
+    rows = []
+    for k in range(12):  # 66 of 126 shingles are shared
+        own = [f"p{k}w{j}" for j in range(100)]
+        rows += [(2 * k, " ".join(own), "en", "s", 1), (2 * k + 1, " ".join([*own[:70], *(f"q{k}w{j}" for j in range(30))]), "en", "s", 1)]
+    _, label = components(rows, 50)
+    assert label[1] == 0
+    got = collected(minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), percent=50))
+    assert {i: r["component_id"] for i, r in got.items()} == label
+
+
 def test_null_ids_and_repeated_rows(spark):
     rows = [(None, "a b c d e f", "x", "y", 1), (None, "a b c d e f", "x", "y", 1), (1, "a b c d e f", "x", "y", 1), (1, "a b c d e f", "x", "y", 1), (2, "A B c d e f", "x", "y", 1)]
     docs = spark.createDataFrame(rows, SCHEMA)
