@@ -12,25 +12,32 @@ from .store import Workspace
 def components(edges: DataFrame, ws: Workspace) -> DataFrame:
     """(id, component) of every id in ``edges(a, b)``; component is the smallest id reachable.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014).  Each round is two
-    aggregations with map-side combine and two joins that adaptive execution can split on hubs;
-    a round's links are a written table, and only their count and hash sum reach the driver.
+    Alternating large-star and small-star steps (Kiveris et al. 2014).  In the large star a link (u, v),
+    v < u, becomes (u, least neighbour of v); only an end with a smaller neighbour has one, so the hub of a
+    group, its smallest id, is on neither side of a join's keys with a partner and its rows are never grouped by it.
+    Each round is two aggregations with map-side combine and two joins.  The lookup tables of both are
+    written, so that adaptive execution may broadcast them or split a hub's rows; a round's links are a
+    written table, and only their count and hash sum reach the driver.
     """
     links = ws.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    before = None
+
+    def state(table: DataFrame) -> tuple:
+        return tuple(table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    before = state(links)
     while True:
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = ws.save(links.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = links.join(least.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        large = ws.save(large, "large")
+        lowest = ws.save(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = ws.save(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
-        state = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        ws.drop(links)
+        now = state(after)
+        ws.drop(links, least, large, lowest)
         links = after
-        if state == before:
+        if now == before:
             break
-        before = state
+        before = now
     out = links.select(F.col("u").alias("id"), F.col("v").alias("component"))
     out = out.union(links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
     saved = ws.save(out, "components")

@@ -4,13 +4,18 @@
    with one set are one node from here on.
 2. Nodes are posted under their signature's coordinate values.  A pair at the similarity sought
    agrees in at least T coordinates except with probability up to ``MISS`` (binomial tail of K=32;
-   T=16 for 85 percent); such a pair shares one of each node's ``K-T+1`` rarest values, so only these are
-   posted (prefix), values held by one node are skipped, and so are nodes with under T shared values.
-3. Collisions are counted inside a posting list by comparing signatures; lists beyond a block's rows
-   are dealt out as pairs of blocks, so no task holds a hot list.  What leaves a block is a spanning
-   forest of its matches, never all of its pairs.
-4. The groups so connected are confirmed on full sets, again in pairs of blocks, by exact
-   intersection counts; the confirmed links' components are the result.
+   T=16 for 85 percent).  Such a pair shares one of each node's ``K-T+1`` rarest values, so only these
+   are merged (prefix); the T-1 most frequent are skipped and only probed in the signatures.  Values
+   held by one node are dropped, and so are nodes with under T shared values.
+3. The collisions of a posting list are counted against T.  What leaves a list is a spanning forest of
+   its matches, and a list whose nodes are connected is done: rows grow with a group, not its square.
+4. The groups so connected are confirmed the same way on full sets, by exact intersection counts; the
+   confirmed links' components are the result.
+
+Steps 3 and 4 treat a hot list or group alike (:func:`_linked`).  It is dealt into blocks of bounded
+size, each of which is linked inside; its members are then contracted to components, and only members
+outside the largest one, the stragglers, still meet all others, block by block.  Two members never
+meet only if they are in one component already, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -31,10 +36,10 @@ K = 32
 #: Most probable loss of a pair at the similarity sought.
 MISS = 1e-6
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(85)).integers(1, 1 << 62, K, dtype=np.uint64) * U64(2) + U64(1)
-#: Rows of a block, as a function of a group's rows: bounds a task's memory at any size of group.
-_BLOCK = "least(4096, greatest(128, {n} / 16))"
-#: Shingles of a block in the confirming step.
-_WEIGHT = 200_000
+#: Nodes of a posting list's block, and of one in which stragglers meet the others.
+_ROWS, _WIDE_ROWS = 512, 4096
+#: Shingles, and members, of a block in the confirming step.
+_WEIGHT, _MEMBERS = 200_000, 512
 
 
 def agreeing(percent: int) -> int:
@@ -95,60 +100,119 @@ def _signed(width: int):
     return run
 
 
-def _matches(least: int):
-    """Of rows (token, bi, bj, rep, signature), equal keys adjacent: a spanning forest of each list's matches, which agree in ``least`` coordinates."""
+_KEY = ("grp", "block", "part")
 
-    def run(batches):
-        held: list[pa.Table] = []
-
-        def forest(table: pa.Table):
-            table = table.combine_chunks()
-            n = table.num_rows
-            key = [table.column(c).to_numpy() for c in ("token", "bi", "bj")]
-            rep = table.column("rep").to_numpy()
-            signature = np.asarray(table.column("signature").combine_chunks().flatten().to_numpy()).reshape(n, K)
-            change = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in key], axis=0)]))
-            end = np.repeat(np.append(change[1:], n), np.diff(np.append(change, n)))
-            rows, left, right, d = np.arange(n), [], [], 1
-            while True:
-                rows = rows[rows + d < end[rows]]
-                if not len(rows):
-                    break
-                for at in range(0, len(rows), 16384):
-                    part = rows[at : at + 16384]
-                    hit = part[(signature[part] == signature[part + d]).sum(axis=1) >= least]
-                    left.append(hit)
-                    right.append(hit + d)
-                d += 1
-            if not left:
-                return None
-            label = block_components(n, np.concatenate(left), np.concatenate(right))
-            tied = np.flatnonzero(rep[label] != rep)
-            return pa.RecordBatch.from_arrays([pa.array(rep[tied]), pa.array(rep[label[tied]])], names=["a", "b"]) if len(tied) else None
-
-        def same(t: pa.Table, i: int, u: pa.Table, j: int) -> bool:
-            return all(t.column(c)[i].as_py() == u.column(c)[j].as_py() for c in ("token", "bi", "bj"))
 
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if not table.num_rows:
-                continue
-            key = [table.column(c).to_numpy() for c in ("token", "bi", "bj")]
-            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
-            cut = int(change[-1]) if len(change) else 0
-            if held and not same(held[0], 0, table, 0):
-                ready, held = pa.concat_tables(held + ([table.slice(0, cut)] if cut else [])), []
-            elif cut:
-                ready, held = pa.concat_tables([*held, table.slice(0, cut)]), []
-            else:
-                ready = None
-            held.append(table.slice(cut))
-            if ready is not None and (out := forest(ready)) is not None:
-                yield out
-        if held and (out := forest(pa.concat_tables(held))) is not None:
+def _grouped(batches, forest):
+    """Applies ``forest`` to tables of whole groups; rows come with equal keys adjacent."""
+    held: list[pa.Table] = []
+
+    def keys(t: pa.Table) -> list[np.ndarray]:
+        return [t.column(c).to_numpy() for c in _KEY]
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not table.num_rows:
+            continue
+        key = keys(table)
+        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+        cut = int(change[-1]) if len(change) else 0
+        ready = None
+        if held and any(k[0] != h[0] for k, h in zip(key, keys(held[0].slice(0, 1)), strict=True)):
+            ready, held = pa.concat_tables(held + ([table.slice(0, cut)] if cut else [])), []
+        elif cut:
+            ready, held = pa.concat_tables([*held, table.slice(0, cut)]), []
+        held.append(table.slice(cut))
+        if ready is not None and (out := forest(ready.combine_chunks())) is not None:
             yield out
+    if held and (out := forest(pa.concat_tables(held).combine_chunks())) is not None:
+        yield out
+
+
+def _tied(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch | None:
+    """Spanning forest of links between rows, each row tied to the smallest id it reaches; rows are sorted by id inside a group."""
+    label = block_components(len(ids), left, right)
+    tied = np.flatnonzero(ids[label] != ids)
+    return pa.RecordBatch.from_arrays([pa.array(ids[tied]), pa.array(ids[label[tied]])], names=["a", "b"]) if len(tied) else None
 
-    return run
+
+def _matches(least: int):
+    """Of grouped nodes with signatures: a forest of those that agree in ``least`` coordinates.
+
+    Rows with ``asks`` are stragglers, which meet the other rows of other components; without any, all meet.
+    """
+
+    def forest(table: pa.Table):
+        n = table.num_rows
+        ids, component, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "asks"))
+        signature = np.asarray(table.column("signature").combine_chunks().flatten().to_numpy()).reshape(n, K)
+        key = [table.column(c).to_numpy() for c in _KEY]
+        begin = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in key], axis=0)]))
+        until = np.append(begin[1:], n)
+        left, right = [], []
+        some = np.logical_or.reduceat(asks, begin)
+        end = np.repeat(np.where(some, begin, until), until - begin)
+        rows, d = np.arange(n), 1
+        while True:
+            rows = rows[rows + d < end[rows]]
+            if not len(rows):
+                break
+            for at in range(0, len(rows), 16384):
+                part = rows[at : at + 16384]
+                hit = part[(signature[part] == signature[part + d]).sum(axis=1) >= least]
+                left.append(hit)
+                right.append(hit + d)
+            d += 1
+        for a, b in zip(begin[some], until[some], strict=True):
+            home = a + np.flatnonzero(~asks[a:b])
+            for row in a + np.flatnonzero(asks[a:b]):
+                other = home[component[home] != component[row]]
+                hit = other[(signature[other] == signature[row]).sum(axis=1) >= least]
+                left.append(np.full(len(hit), row))
+                right.append(hit)
+        return _tied(ids, np.concatenate(left), np.concatenate(right)) if left else None
+
+    return lambda batches: _grouped(batches, forest)
+
+
+def _linked(members: DataFrame, nodes: DataFrame, match, most: str, wide: str, ws: Workspace, name: str) -> DataFrame:
+    """Components (id, component) of the links that ``match`` finds inside the groups of ``members(grp, id, weight)``.
+
+    ``nodes(id, ..)`` has what ``match`` reads.  ``most`` and ``wide`` are SQL for the number of blocks of a group of
+    ``n`` rows and ``weight``, in the first deal and where stragglers meet the others.
+    """
+    sizes = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).where("n > 1")
+    sizes = ws.save(sizes.select("grp", F.expr(f"cast({most} as int)").alias("blocks")), name + "-sizes")
+
+    def met(rows: DataFrame) -> DataFrame:
+        rows = rows.join(nodes, "id").repartition(*_KEY).sortWithinPartitions(*_KEY, "id")
+        return rows.mapInArrow(match, "a long, b long")
+
+    # A member has another block in each of its groups, so that blocks of one hot group are connected through the others.
+    block = F.expr("cast(pmod(xxhash64(id, grp), blocks) as int)")
+    dealt = members.join(sizes, "grp").select("grp", block.alias("block"), F.lit(0).alias("part"), "id", F.lit(0).cast("long").alias("component"), F.lit(False).alias("asks"))
+    first = ws.save(met(dealt).distinct(), name + "-forest")
+    known = components(first, ws)
+
+    hot = sizes.where("blocks > 1").select("grp")
+    at = members.join(hot, "grp").join(known, "id", "left").select("grp", "id", "weight", F.coalesce("component", "id").alias("component"))
+    parts = ws.save(at.groupBy("grp", "component").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")), name + "-parts")
+    held = parts.groupBy("grp").agg(F.count("*").alias("m"), F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.max(F.struct("n", "weight")).alias("top")).where("m > 1")
+    asked = held.select("grp", "main", F.expr(f"cast({wide} as int)").alias("blocks"), F.expr("n - top.n").alias("n"), F.expr("weight - top.weight").alias("weight"))
+    asked = ws.save(asked.select("grp", "main", "blocks", F.expr(f"cast({wide} as int)").alias("asking")), name + "-asked")
+    if asked.isEmpty():
+        ws.drop(sizes, first, parts, asked)
+        return known
+    left = at.join(asked, "grp")
+    here = F.expr("cast(pmod(xxhash64(id, 1), blocks) as int)")
+    home = left.withColumn("part", F.explode(F.expr("sequence(0, asking - 1)"))).select("grp", here.alias("block"), "part", "id", "component", F.lit(False).alias("asks"))
+    part = F.expr("cast(pmod(xxhash64(id, 2), asking) as int)")
+    asks = left.where("component <> main").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select("grp", "block", part.alias("part"), "id", "component", F.lit(True).alias("asks"))
+    more = met(home.union(asks)).distinct()
+    # A component's own links are known: its members need only its id.
+    whole = components(ws.save(more.union(known.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))), name + "-more"), ws)
+    ws.drop(sizes, first, parts, asked)
+    return whole
 
 
 def _sets(width: int):
@@ -184,18 +248,30 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _confirmed(percent: int):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")  # roots are smallest ids, the same in every pair of blocks
-        ids = table.column("id").to_numpy()
-        sets = [np.asarray(s.values.to_numpy()) for s in table.column("shingles").combine_chunks()]
+    """Of grouped nodes with shingles: a forest of the exact links; stragglers as in :func:`_matches`."""
+
+    def one(ids, component, asks, sets):
         sizes = np.array([len(s) for s in sets], np.int64)
         common = intersections(sets)
         linked = np.triu(100 * common >= percent * (sizes[:, None] + sizes[None, :] - common), 1)
-        label = block_components(len(ids), *np.nonzero(linked))
-        tied = np.flatnonzero(ids[label] != ids)
-        return pa.table({"a": ids[tied], "b": ids[label[tied]]})
-
-    return run
+        if asks.any():
+            linked &= (asks[:, None] != asks[None, :]) & (component[:, None] != component[None, :])
+        return np.nonzero(linked)
+
+    def forest(table: pa.Table):
+        ids, component, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "asks"))
+        column = table.column("shingles").combine_chunks()
+        values, offsets = np.asarray(column.values.to_numpy()), np.asarray(column.offsets.to_numpy())
+        key = [table.column(c).to_numpy() for c in _KEY]
+        begin = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in key], axis=0)]))
+        left, right = [], []
+        for a, b in zip(begin, np.append(begin[1:], len(ids)), strict=True):
+            x, y = one(ids[a:b], component[a:b], asks[a:b], [values[i:j] for i, j in zip(offsets[a:b], offsets[a + 1 : b + 1], strict=True)])
+            left.append(x + a)
+            right.append(y + a)
+        return _tied(ids, np.concatenate(left), np.concatenate(right))
+
+    return lambda batches: _grouped(batches, forest)
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
@@ -219,23 +295,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
     ranked = tokens.join(often, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("ranked")).where(F.size("ranked") >= least)
     posted = ws.save(ranked.select("rep", F.explode(F.expr(f"slice(ranked, 1, size(ranked) - {least - 1})").getField("token")).alias("token")), "posted")
-    lists = posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token", F.expr(f"cast(ceil(n / {_BLOCK.format(n='n')}) as int)").alias("blocks"))
-    dealt = posted.join(lists, "token").join(nodes.select("rep", "signature"), "rep")
-    dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("token", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "rep", "signature")
-    dealt = dealt.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "rep")
-    grouped = components(dealt.mapInArrow(_matches(least), "a long, b long"), ws)
-
-    members = grouped.join(nodes.select(F.col("rep").alias("id"), "n"), "id")
-    sizes = members.groupBy("component").agg(F.sum("n").alias("weight"), F.count("*").alias("rows"))
-    sizes = sizes.select("component", F.expr(f"cast(ceil(greatest(weight / {_WEIGHT}, rows / {_BLOCK.format(n='rows')})) as int)").alias("blocks"))
-    members = ws.save(grouped.join(sizes, "component"), "members")
-    sets = source.join(members, "id").mapInArrow(_sets(width), "id long, component long, blocks int, shingles array<long>")
-    sets = sets.withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    pairs = sets.select("component", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "id", "shingles")
-    links = pairs.groupBy("component", "bi", "bj").applyInArrow(_confirmed(percent), "a long, b long")
-    final = components(links, ws)
-    ws.drop(posted, grouped, members)
+    members = posted.select(F.col("token").alias("grp"), F.col("rep").alias("id"), F.lit(1).cast("long").alias("weight"))
+    rows = "ceil(n / {})"
+    grouped = _linked(members, nodes.select(F.col("rep").alias("id"), "signature"), _matches(least), rows.format(_ROWS), rows.format(_WIDE_ROWS), ws, "lists")
+
+    members = ws.save(grouped.join(nodes.select(F.col("rep").alias("id"), F.col("n").alias("weight")), "id").select(F.col("component").alias("grp"), "id", "weight"), "members")
+    sets = ws.save(source.join(members.select("id"), "id").mapInArrow(_sets(width), "id long, shingles array<long>"), "sets")
+    blocks = f"ceil(greatest(weight / {_WEIGHT}, n / {_MEMBERS}))"
+    final = _linked(members, sets, _confirmed(percent), blocks, blocks, ws, "sets")
+    ws.drop(posted, grouped, members, sets)
 
     owner = nodes.select("digest", "rep").join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     joined = signed.select("id", "n_shingles", "digest").join(owner, "digest", "left")
