@@ -1,26 +1,25 @@
 """Quality rules as a short-circuit cascade of native column expressions.
 
-Each rule is a Boolean expression that rejects a text.  On a bounded sample every rule is timed and
-its rejections counted; rules then run in the order of rejections per cost inside one CASE, so a
+Each rule is a Boolean expression that rejects a text, beside the work that it does on one: the characters
+or words that it reads.  On a bounded random sample every rule's work is averaged and its rejections are
+counted, in one aggregation; rules then run in the order of rejections per work inside one CASE, so a
 text pays only for the rules up to the one that rejects it.  The verdict does not depend on the
 order.  Everything is evaluated in the scan's own stage: no shuffle and no Python.
 
-A null text counts as empty.  Repeated rows are judged alike; other columns pass through unread.
+A null text counts as empty.  Repeated rows are judged alike, ties in the order keep the rules' own; null ids
+stay null; an empty table gives an empty one; other columns pass through unread, whatever their names.
 """
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import Workspace
-
 _WHITE = "\t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Rows of the sample on which rules are timed, at most; their texts pass through the driver.
+#: Rows of the sample on which rules are compared, on average.
 SAMPLE_ROWS = 1000
 
 
@@ -28,6 +27,8 @@ SAMPLE_ROWS = 1000
 class Rule:
     name: str
     rejects: Column
+    #: Units of work on one text, about one for a character that is read.
+    work: Column
 
 
 def _count(text: Column, characters: str) -> Column:
@@ -72,43 +73,34 @@ def counts() -> dict[str, Column]:
 def default_rules(c: dict[str, Column]) -> list[Rule]:
     """The rules over the given counts; ``_text`` and ``n_words`` are columns."""
     text, words = F.col("_text"), F.col("n_words")
+    read, one = F.length(text), F.lit(1)
     capitals = F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", ""))
     return [
-        Rule("too_short", words < 50),
-        Rule("repeated_phrases", 100 * c["n_repeat_words"] > 50 * words),
-        Rule("symbols", 10 * c["n_symbols"] > words),
-        Rule("word_length", (c["word_chars"] < 2 * words) | (c["word_chars"] > 14 * words)),
-        Rule("repeated_lines", 10 * c["n_dup_lines"] > 3 * c["n_lines"]),
-        Rule("exclamations", 10 * _count(text, "!") > words),
-        Rule("capitals", 10 * capitals > 3 * F.greatest(c["word_chars"], F.lit(1))),
-        Rule("digits", 10 * _count(text, "0123456789") > 3 * F.greatest(c["word_chars"], F.lit(1))),
+        Rule("too_short", words < 50, one),
+        # Three words are hashed for each window, and windows are sorted.
+        Rule("repeated_phrases", 100 * c["n_repeat_words"] > 50 * words, 3 * read + words * F.log2(words + 2)),
+        Rule("symbols", 10 * c["n_symbols"] > words, read),
+        Rule("word_length", (c["word_chars"] < 2 * words) | (c["word_chars"] > 14 * words), read),
+        # Lines are cut, looked through for a word, and compared.
+        Rule("repeated_lines", 10 * c["n_dup_lines"] > 3 * c["n_lines"], 3 * read),
+        Rule("exclamations", 10 * _count(text, "!") > words, read),
+        Rule("capitals", 10 * capitals > 3 * F.greatest(c["word_chars"], F.lit(1)), 2 * read),
+        Rule("digits", 10 * _count(text, "0123456789") > 3 * F.greatest(c["word_chars"], F.lit(1)), 2 * read),
     ]
 
 
 def sampled(docs: DataFrame, text: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``rows`` texts as a column ``_given``.
-
-    They are taken from the first partitions only; a limit inside a plan would instead shuffle as many
-    rows of every partition into one task.
-    """
-    drawn = docs.select(text).limit(rows).collect()
-    return docs.sparkSession.createDataFrame([(r[0],) for r in drawn], "_given string")
+    """About ``rows`` texts as a column ``_given``, drawn at random with a fixed seed; they stay on the executors."""
+    n = docs.count()
+    return docs.sample(min(1.0, rows / max(n, 1)), seed=85).select(text.alias("_given"))
 
 
 def ordered(sample: DataFrame, rules: list[Rule]) -> list[tuple[Rule, float, float]]:
-    """(rule, share rejected, seconds a row) in the order of rejections per cost on the rows of ``sample``."""
-    ws = Workspace(sample.sparkSession)
-    # Rows are written with their counts, as a rule meets them in the cascade.
-    sample = ws.save(sample, "sample")
-    measured = []
-    rows = 0
-    for rule in [Rule("nothing", F.lit(False)), *rules]:
-        began = time.perf_counter()
-        rows, rejected = sample.agg(F.count("*"), F.count_if(rule.rejects)).first()
-        measured.append((rule, rejected / max(rows, 1), time.perf_counter() - began))
-    idle = measured[0][2]
-    ws.drop(sample)
-    costed = [(rule, share, max(seconds - idle, 1e-3) / max(rows, 1)) for rule, share, seconds in measured[1:]]
+    """(rule, share rejected, work a row) in the order of rejections per work on the rows of ``sample``."""
+    columns = [x for rule in rules for x in (F.count_if(rule.rejects), F.sum(rule.work.cast("double")))]
+    rows, *found = sample.agg(F.count("*"), *columns).first()
+    rows = max(rows, 1)
+    costed = [(rule, rejected / rows, max(work or 0.0, 1e-9) / rows) for rule, rejected, work in zip(rules, found[::2], found[1::2], strict=True)]
     return sorted(costed, key=lambda x: -x[1] / x[2])
 
 
@@ -143,6 +135,6 @@ def judged(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 def keep_good(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows whose text no rule rejects, with their own columns only."""
     sample = with_words(sampled(docs, F.col(text_column)), F.col("_given"))
-    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    inner = docs.select(F.struct("*").alias("_row"))
     featured = with_words(inner, F.col("_row").getField(text_column))
     return cascade(featured, sample, default_rules(counts())).where(F.col("rejected_by").isNull()).select("_row.*")
