@@ -3,18 +3,26 @@
 An ARC stream opens with a ``filedesc:`` record whose body names the version and the fields of the
 header lines that follow; every record is one header line, a body of the length that line declares,
 and a newline.  The converter reads each version's own fields and synthesises what ARC lacks: record
-identifiers from (url, date, payload), ISO timestamps, record types and SHA-1 digests.  Archives are
+identifiers from (url, date, payload, place), ISO timestamps, record types, SHA-1 digests of payload and
+block, and the HTTP block that a response or revisit holds.  Archives are
 binary segments of bounded size in a table on the shared folder, written with Spark's commit protocol,
 so a lost executor loses nothing.  The id of a record's source row travels beside an ARC segment,
 in record order, and in an extension field of the WARC record.
 
-Null payloads are empty; null or blank urls read as ``urn:none``.  A record that is cut short, or whose header line has
+Which records revisit others is found from digests alone.  The few marks of a segment come back to it in a
+join of segments with marks, for which Spark broadcasts the marks' table only if its files are below the
+session's threshold; payloads are never shuffled one by one.
+
+Null payloads are empty; null or blank urls read as ``urn:none``; a date that is no date is kept in an extension
+field and read as 1970-01-01.  A null id is never referred to; an empty table gives an empty one; other columns
+are ignored, whatever their names.  A record that is cut short, or whose header line has
 another number of fields than its version, raises :class:`ArcError` with its offset.
 """
 
 from __future__ import annotations
 
 import base64
+import datetime
 import gzip
 import hashlib
 import re
@@ -22,6 +30,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,39 +94,59 @@ def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield dict(zip(names, parts, strict=True)), body
 
 
-def _iso(date: str) -> str:
-    d = (date if date.isdigit() else "").ljust(14, "0")
-    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+#: What a short ARC date leaves out: first month, first day, midnight.
+_REST = "00000101000000"
+
+
+def _iso(date: str) -> str | None:
+    """ISO form of an ARC date of 4 to 14 digits, an even number of them; None if it is no date."""
+    if not (date.isascii() and date.isdigit() and 4 <= len(date) <= 14 and len(date) % 2 == 0):
+        return None
+    try:
+        at = datetime.datetime.strptime(date + _REST[len(date) :], "%Y%m%d%H%M%S")
+    except ValueError:
+        return None
+    return at.strftime("%Y-%m-%dT%H:%M:%SZ").rjust(20, "0")
+
 
+def record_id(url: str, date: str, digest: str, source: int | None, place: str = "") -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{url} {date} {digest} {source} {place}')}>"
 
-def record_id(url: str, date: str, digest: str, source: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{url} {date} {digest} {source}')}>"
 
+def _sha1(data: bytes) -> str:
+    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
-def warc_record(fields: dict[str, str], body: bytes, source: int | None, refers: int | None) -> bytes:
-    """One gzip member; a revisit keeps the payload's digest and length but not its bytes."""
-    sha = hashlib.sha1(body)
-    url, date, length = fields["URL"], _iso(fields["Archive-date"]), len(body)
+
+def warc_record(fields: dict[str, str], body: bytes, source: int | None, refers: tuple[int, str] | None, place: str = "") -> bytes:
+    """One gzip member; a revisit, of (source id, record id), keeps the payload's digest and length but not its bytes."""
+    url, given, length = fields["URL"], fields["Archive-date"], len(body)
+    date, digest = _iso(given), _sha1(body)
+    status = fields.get("Result-code", "200")
+    block = f"HTTP/1.1 {status if status.isdigit() else '200'} OK\r\nContent-Type: {fields['Content-type']}\r\nContent-Length: {length}\r\n\r\n".encode()
+    if refers is None:
+        block += body
     head = [
         ("WARC-Type", "response" if refers is None else "revisit"),
-        ("WARC-Record-ID", record_id(url, date, sha.hexdigest(), source)),
-        ("WARC-Date", date),
+        ("WARC-Record-ID", record_id(url, given, digest, source, place)),
+        ("WARC-Date", date or "1970-01-01T00:00:00Z"),
         ("WARC-Target-URI", url),
         ("WARC-IP-Address", fields["IP-address"]),
-        ("WARC-Payload-Digest", "sha1:" + base64.b32encode(sha.digest()).decode()),
+        ("WARC-Payload-Digest", digest),
+        ("WARC-Block-Digest", _sha1(block)),
         ("X-Payload-Length", str(length)),
         ("X-Source-Id", "" if source is None else str(source)),
     ]
+    if date is None:
+        head.append(("X-Archive-Date", given))
     if refers is not None:
-        head += [("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("X-Refers-To-Source-Id", str(refers))]
-        body = b""
-    head += [("Content-Type", fields["Content-type"]), ("Content-Length", str(len(body)))]
+        head += [("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", refers[1]), ("X-Refers-To-Source-Id", str(refers[0]))]
+    head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     text = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n"
-    return gzip.compress(text.encode() + body + b"\r\n\r\n", 1, mtime=0)
+    return gzip.compress(text.encode() + block + b"\r\n\r\n", 1, mtime=0)
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, body) of each record of a gzip member stream or a plain one."""
+    """(header fields, payload) of each record of a gzip member stream or a plain one; an HTTP block's payload follows its own header."""
     data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
     at = 0
     while at < len(data):
@@ -127,16 +156,26 @@ def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ArcError(f"no WARC record at {at}")
         head = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
         length = int(head["Content-Length"])
-        body = data[end + 4 : end + 4 + length]
-        if len(body) != length:
+        block = data[end + 4 : end + 4 + length]
+        if len(block) != length:
             raise ArcError(f"the record at {at} is cut short")
-        yield head, body
+        if "WARC-Block-Digest" in head and head["WARC-Block-Digest"] != _sha1(block):
+            raise ArcError(f"the block at {at} differs from its digest")
+        if head.get("Content-Type", "").startswith("application/http"):
+            block = block.partition(b"\r\n\r\n")[2]
+        yield head, block
         at = end + 4 + length + 4
 
 
 def _to_arc(batches):
-    """(id, url, html) as ARC segments, of either version in turn, with the ids of their records."""
+    """(id, url, html) as numbered ARC segments, of either version in turn, with the ids of their records."""
+    context = TaskContext.get()
     turn, parts, ids, size = 0, [], [], 0
+
+    def segment():
+        number = ((context.partitionId() if context else 0) << 32) + turn
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([b"".join(parts)], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], names=["segment", "arc", "ids"])
+
     for batch in batches:
         for source, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
             version, name = 1 + turn % 2, f"part-{turn}.arc"
@@ -147,40 +186,46 @@ def _to_arc(batches):
             ids.append(source)
             size += len(parts[-1])
             if size >= SEGMENT_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], names=["arc", "ids"])
+                yield segment()
                 turn, parts, ids = turn + 1, [], []
     if parts:
-        yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], names=["arc", "ids"])
+        yield segment()
 
 
-def _digests(batches):
-    for batch in batches:
-        for data, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = [(i, hashlib.sha1(body).digest()) for i, (_, body) in zip(ids, arc_records(data), strict=True) if len(body) >= LEAST_BYTES]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["id", "sha1"])
+def _placed(batch):
+    """(segment, place in it, source id, fields, body) of every record."""
+    for number, data, ids in zip(*(batch.column(c) for c in ("segment", "arc", "ids")), strict=True):  # one segment in memory at a time
+        number, data, ids = number.as_py(), data.as_py(), ids.as_py()
+        for at, (source, (fields, body)) in enumerate(zip(ids, arc_records(data), strict=True)):
+            yield number, at, source, fields, body
 
 
-def _records(batches):
+def _digests(batches):
     for batch in batches:
-        for data, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows = [(i, fields, body) for i, (fields, body) in zip(ids, arc_records(data), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([list(r[1].items()) for r in rows], pa.map_(pa.string(), pa.string())), pa.array([r[2] for r in rows], pa.binary())],
-                names=["id", "fields", "body"],
-            )
+        rows = []
+        for number, at, source, fields, body in _placed(batch):
+            if source is not None and len(body) >= LEAST_BYTES:
+                rows.append((number, at, source, hashlib.sha1(body).digest(), record_id(fields["URL"], fields["Archive-date"], _sha1(body), source, f"{number}:{at}")))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["segment", "at", "id", "sha1", "record"])
 
 
 def _to_warc(batches):
-    parts, size = [], 0
+    """One WARC segment of every ARC segment and its marks (place, source id, record id)."""
     for batch in batches:
-        for source, fields, body, refers in zip(*(batch.column(c).to_pylist() for c in ("id", "fields", "body", "refers_to")), strict=True):
-            parts.append(warc_record(dict(fields), body, source, refers))
-            size += len(parts[-1])
-            if size >= SEGMENT_BYTES:
+        marks = {}
+        for number, own in zip(batch.column("segment").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+            for m in own or ():
+                marks[number, m["at"]] = (m["refers_to"], m["refers_record"])
+        parts, last = [], None
+        for number, at, source, fields, body in _placed(batch):
+            if parts and number != last:
                 yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["warc"])
-                parts, size = [], 0
-    if parts:
-        yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["warc"])
+                parts = []
+            last = number
+            parts.append(warc_record(fields, body, source, marks.get((number, at)), f"{number}:{at}"))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["warc"])
 
 
 def _read_back(batches):
@@ -198,23 +243,25 @@ def _read_back(batches):
 
 
 def to_arc(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> DataFrame:
-    """(arc binary, ids array<long>) segments of a page table."""
+    """(segment long, arc binary, ids array<long>) segments of a page table.
+
+    Segments are numbered by task: write them before they are read twice.
+    """
     source = pages.select(F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url"), F.col(payload_column).alias("html"))
-    return source.mapInArrow(_to_arc, "arc binary, ids array<long>")
+    return source.mapInArrow(_to_arc, "segment long, arc binary, ids array<long>")
 
 
 def to_warc(arcs: DataFrame, ws: Workspace) -> DataFrame:
-    """(warc binary) segments from (arc, ids) segments; equal long payloads are stored once, under the largest id.
+    """(warc binary) segments from written (segment, arc, ids) segments; equal long payloads are stored once, under the largest id.
 
-    Rows that repeat the response's id are responses too.  A null id is never referred to.
+    Rows that repeat the response's id are responses too; a revisit names the one with the largest record id.
     """
-    hashed = ws.save(arcs.mapInArrow(_digests, "id long, sha1 binary").where("id is not null"), "digests")
-    chosen = hashed.groupBy("sha1").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    refers = hashed.distinct().join(chosen, "sha1").where("id <> refers_to").select(F.col("id").alias("of"), "sha1", "refers_to")
-    records = arcs.mapInArrow(_records, "id long, fields map<string,string>, body binary")
-    records = records.withColumn("digest", F.unhex(F.sha1("body")))
-    joined = records.join(refers, (F.col("id") == F.col("of")) & (F.col("digest") == F.col("sha1")), "left")
-    return joined.select("id", "fields", "body", "refers_to").mapInArrow(_to_warc, "warc binary")
+    hashed = ws.save(arcs.mapInArrow(_digests, "segment long, at int, id long, sha1 binary, record string"), "digests")
+    chosen = hashed.groupBy("sha1").agg(F.max(F.struct("id", "record")).alias("to"), F.count("*").alias("n")).where("n > 1").select("sha1", F.col("to.id").alias("refers_to"), F.col("to.record").alias("refers_record"))
+    revisits = hashed.select("segment", "at", "id", "sha1").join(chosen, "sha1").where("id <> refers_to")
+    marks = ws.save(revisits.groupBy("segment").agg(F.collect_list(F.struct("at", "refers_to", "refers_record")).alias("marks")), "marks")
+    ws.drop(hashed)
+    return arcs.join(marks, "segment", "left").mapInArrow(_to_warc, "warc binary")
 
 
 def archived(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> DataFrame:
