@@ -1,12 +1,15 @@
 """Intermediate tables in the folder that driver and executors share.
 
-A table cuts lineage durably: it survives a lost executor.  The folder is the session's
-``spark.checkpoint.dir``; where a session has none (tests, one machine) a local one is made.
+A table cuts lineage durably: it survives a lost executor, so the shuffle files of the query that wrote
+it are removed with that query.  The folder is the session's ``spark.checkpoint.dir``; where a session has
+none (tests, one machine) a local one is made.  What an operator's result still reads stays until the
+driver's process ends.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -14,6 +17,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _leave(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # a session that was stopped before has no way to its folder
+        _delete(spark, path)
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Queries run inside leave no shuffle files behind; for those whose rows are written."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,10 +58,12 @@ class Workspace:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base = spark, f"{shared_folder(spark)}/ws-{uuid.uuid4().hex}"
+        atexit.register(_leave, spark, self.base)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "zstd").parquet(path)
+        with shuffles_removed(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._jointspark_path = path
         return out
@@ -45,5 +72,4 @@ class Workspace:
         for table in tables:
             path = getattr(table, "_jointspark_path", None)
             if path:
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                _delete(self.spark, path)
