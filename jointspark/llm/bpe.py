@@ -1,31 +1,47 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-A text is cut at ASCII white space, across which the tokenizer's rules never reach, so each distinct
-piece is encoded once per partition.  The new pieces of a batch are encoded together: an index holds the
-rank of the pair at every position.  Pieces do not touch, so ascending order within each of them is
-ascending order over all: in one pass the least active rank of every piece is applied at all its
-positions, from left to right, and the entries of the positions beside them are updated.
-
-The vocabulary file's normaliser, splitting rule and special tokens are honoured by the tokenizers
-library; merging and decoding are done here.  A null text is empty; repeated rows give equal rows.
+A text is cut into parts by the vocabulary file's own rules; merges never cross a part, and a distinct
+part is encoded once per worker.  The new parts of a batch are laid out one after another and merged
+together through an index from each pair's rank to all positions where that pair starts.  Ranks are taken
+in ascending order.  At a rank's positions, from left to right, the pair becomes one symbol; the pairs
+that start there and just before have changed, so these positions move to the lists of their new ranks.
+A position on an outdated list is recognised by its present rank.
+
+A text of ASCII and Latin letters is split by the file's pattern over the whole text.  Any other text is
+cut at white space, which the file's rules must drop, and its other words are normalised and split by the
+tokenizers library.  Merging and decoding are done here.
+
+A null text is empty; repeated rows give equal rows; an empty table gives an empty one; null ids stay null;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces remembered by one worker; beyond that it starts afresh (only a cache).
-REMEMBERED = 400_000
+#: Bytes and number of the parts that a worker remembers; beyond either it starts afresh (only a cache).
+REMEMBERED_BYTES, REMEMBERED = 32 << 20, 600_000
 _BITS, _NONE = 32, np.int64(1) << 40
-#: Printable ASCII and Latin letters: nothing that a library may take for a blank.
-_PLAIN = re.compile("[!-~\u00c0-\u024f]+")
+#: Characters of a text that needs no normalising but lower case, which stays among them: ASCII and composed Latin letters.
+_LATIN = [chr(c) for c in (*range(9, 14), *range(32, 127), *range(0xC0, 0x180)) if c != 0x130]
+_PLAIN = re.compile("[\t-\r -~\u00c0-\u012f\u0131-\u017f]*")
+_WORD = re.compile("[^\t-\r ]+")
+
+
+def _byte_marks() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else one from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return [chr(b) if b in printable else chr(256 + others.index(b)) for b in range(256)]
 
 
 class PairIndexEncoder:
@@ -45,11 +61,44 @@ class PairIndexEncoder:
         self.pairs, self.rank_of = pairs.astype(np.int64), first.astype(np.int64)
         self.merged = np.array([self.vocabulary[x + y] for x, y in merges] or [0], np.int64)
         self.tokens = {i: t for t, i in {**self.vocabulary, **self.special}.items()}
+        marks = _byte_marks()
+        self.inner = np.array([self.vocabulary.get(m, -1) for m in marks], np.int64)
+        self.last = np.array([self.vocabulary.get(m + self.suffix, -1) for m in marks], np.int64)
+        self.pattern = self._pattern(spec)
+        if [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str("a b")] != ["a", "b"]:
+            raise ValueError("the vocabulary's rules keep white space, at which texts are cut here")
+
+    @staticmethod
+    def _pattern(spec: dict) -> re.Pattern | None:
+        """The splitting rule over plain texts, as an expression over their alphabet; None if the file has rules of another form."""
+        kinds = [n.get("type") for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        rules = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if kinds != ["NFC", "Replace", "Lowercase"] or len(rules) != 2 or rules[0]["type"] != "Split" or rules[0]["behavior"] != "Removed" or not rules[0]["invert"]:
+            return None
+        if rules[1] | {"trim_offsets": True} != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}:
+            return None
+        text = rules[0]["pattern"].get("Regex", "")
+        for kind in "LN":
+            text = text.replace(f"\\p{{{kind}}}", "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == kind))
+        return re.compile(text) if text and "\\p" not in text else None
+
+    def parts(self, text: str) -> list[str]:
+        """The parts of a text as keys: a lower-cased part, or a blank and a word that the library has to split."""
+        plain = self.pattern is not None and not (self.splitter and self.splitter.search(text))
+        if plain and _PLAIN.fullmatch(text):
+            return self.pattern.findall(text.lower())
+        out = []
+        for word in _WORD.findall(text):
+            if plain and _PLAIN.fullmatch(word):
+                out += self.pattern.findall(word.lower())
+            else:
+                out.append(" " + word)
+        return out
 
-    def symbols(self, text: str) -> list[list[int]]:
-        """The initial symbols of each part that the splitting rule makes; a special token is a part by itself."""
+    def symbols(self, word: str) -> list[list[int]]:
+        """The initial symbols of each part that the library makes of a word; a special token is a part by itself."""
         out = []
-        for segment in self.splitter.split(text) if self.splitter else [text]:
+        for segment in self.splitter.split(word) if self.splitter else [word]:
             if segment in self.special:
                 out.append([self.special[segment]])
             elif segment:
@@ -60,109 +109,167 @@ class PairIndexEncoder:
                     out.append([i for i in map(self.vocabulary.get, marks) if i is not None])
         return out
 
-    def plain_symbols(self, texts: list[str]) -> list[list[list[int]]] | None:
-        """As :meth:`symbols` for pieces without blanks or special tokens, in one call of the library; None if that goes wrong."""
-        joined = " ".join(texts)
-        if self.library.normalizer is not None:
-            joined = self.library.normalizer.normalize_str(joined)
-        ends = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), np.uint32) == 32)
-        if len(ends) != len(texts) - 1:
-            return None
-        parts = self.library.pre_tokenizer.pre_tokenize_str(joined)
-        if any("\u0120" in part or " " in part for part, _ in parts):  # U+0120 is a byte-level blank
-            return None
-        out: list[list[list[int]]] = [[] for _ in texts]
-        known, suffix = self.vocabulary.get, self.suffix
-        for n, (part, _) in zip(np.searchsorted(ends, [at for _, (at, _) in parts]).tolist(), parts, strict=True):
-            if part:
-                out[n].append([i for i in map(known, [*part[:-1], part[-1] + suffix]) if i is not None])
-        return out
+    def _laid_out(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of all keys in order, whether one starts a part, and the first symbol of each key (with a last entry: all)."""
+        plain = [k for k in keys if k[0] != " "]
+        raw = [k.encode() for k in plain]
+        size = np.array([len(r) for r in raw], np.int64)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ids, ends = self.inner[data], np.cumsum(size)
+        ids[ends - 1] = self.last[data[ends - 1]]
+        start = np.zeros(len(ids), bool)
+        start[ends - size] = True
+        if len(plain) < len(keys):
+            whole, begins, at, sizes = [], [], 0, iter(size.tolist())
+            lengths = np.empty(len(keys), np.int64)
+            for n, key in enumerate(keys):
+                if key[0] != " ":
+                    lengths[n] = k = next(sizes)
+                    whole.append(ids[at : at + k])
+                    begins.append(start[at : at + k])
+                    at += k
+                    continue
+                own = [p for p in self.symbols(key[1:]) if p]
+                lengths[n] = sum(map(len, own))
+                whole.append(np.array([i for p in own for i in p], np.int64))
+                begins.append(np.array([j == 0 for p in own for j in range(len(p))], bool))
+            ids, start, size = np.concatenate(whole), np.concatenate(begins), lengths
+        known = ids >= 0
+        if not known.all():  # a byte that the vocabulary lacks is dropped
+            owner = np.repeat(np.arange(len(keys)), size)[known]
+            part = np.cumsum(start)[known]
+            ids, size = ids[known], np.bincount(owner, minlength=len(keys))
+            start = np.concatenate([[True], part[1:] != part[:-1]])[: len(ids)]
+        return ids, start, np.concatenate([[0], np.cumsum(size)])
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left << _BITS | right
         at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
         return np.where(self.pairs[at] == keys, self.rank_of[at], _NONE)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; all texts share one pair index, the rank of the pair that starts at each position."""
-        plain = [k for k, t in enumerate(texts) if _PLAIN.fullmatch(t) and not (self.splitter and self.splitter.search(t))]
-        quick = self.plain_symbols([texts[k] for k in plain]) if plain else []
-        found = dict(zip(plain, quick, strict=True)) if quick is not None else {}
-        parts, owners = [], []
-        for n, text in enumerate(texts):
-            for part in found[n] if n in found else self.symbols(text):
-                if part:
-                    parts.append(part)
-                    owners.append(n)
-        if not parts:
-            return [[] for _ in texts]
-        part_of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        ids = np.array([i for p in parts for i in p], np.int64)
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def index(at: np.ndarray) -> np.ndarray:
-            """Ranks of the pairs that start at the given positions; none across a part's end."""
-            after = np.minimum(at + 1, len(ids) - 1)
-            inside = (at + 1 < len(ids)) & (part_of[after] == part_of[at])
-            return np.where(inside, self._ranks(ids[at], ids[after]), _NONE)
-
-        ranks = index(np.arange(len(ids)))
-        while len(ids):
-            begin = np.flatnonzero(np.concatenate([[True], part_of[1:] != part_of[:-1]]))
-            least = np.repeat(np.minimum.reduceat(ranks, begin), np.diff(np.append(begin, len(ids))))
-            over = least == _NONE
-            if over.any():
-                done.append((part_of[over], ids[over]))
-                keep = ~over
-                ids, part_of, ranks, least = ids[keep], part_of[keep], ranks[keep], least[keep]
-                if not len(ids):
-                    break
-            hit = np.flatnonzero(ranks == least)
-            # Positions that follow one another overlap: from the left, every second one of such a run applies.
-            run = np.cumsum(np.concatenate([[True], np.diff(hit) != 1])) - 1
-            first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-            hit = hit[(np.arange(len(hit)) - first[run]) % 2 == 0]
-            ids[hit] = self.merged[ranks[hit]]
-            keep = np.ones(len(ids), bool)
-            keep[hit + 1] = False
-            moved = np.cumsum(keep) - 1
-            ids, part_of, ranks = ids[keep], part_of[keep], ranks[keep]
-            at = moved[hit]
-            changed = np.unique(np.concatenate([at, np.maximum(at - 1, 0)]))
-            ranks[changed] = index(changed)
-        part_of, ids = (np.concatenate([d[k] for d in done]) for k in range(2))
-        order = np.argsort(part_of, kind="stable")
-        cuts = np.searchsorted(np.array(owners)[part_of[order]], np.arange(len(texts) + 1)).tolist()
-        flat = ids[order].tolist()
+    def merge(self, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Merges ``ids`` in place, parts apart; returns which positions are left."""
+        n = len(ids)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        last = np.append(start[1:], True)[:n]
+        after[last], before[start] = -1, -1
+        rank = np.full(n, _NONE)
+        inside = np.flatnonzero(~last)
+        rank[inside] = self._ranks(ids[inside], ids[inside + 1])
+        active = inside[rank[inside] != _NONE]
+        left = np.ones(n, bool)
+
+        def listed(at: np.ndarray):
+            """(rank, positions) of each rank that occurs at the given positions."""
+            at = at[np.argsort(rank[at], kind="stable")]
+            own = rank[at]
+            cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            return zip(own[cut].tolist(), np.split(at, cut[1:]), strict=True)
+
+        index: dict[int, list[np.ndarray]] = {r: [at] for r, at in listed(active)} if len(active) else {}
+        order = list(index)  # ascending, so a heap already
+        while order:
+            r = heapq.heappop(order)
+            lists = index.pop(r)
+            at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            if len(at) > 1:
+                # Two positions of which the second follows the first overlap: from the left, every second one of such a run applies.
+                run = np.flatnonzero(np.concatenate([[True], after[at[:-1]] != at[1:]]))
+                if len(run) < len(at):
+                    at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+            gone = after[at]
+            further = after[gone]
+            ids[at] = self.merged[r]
+            after[at], left[gone], rank[gone] = further, False, _NONE
+            rank[at] = _NONE
+            has = further >= 0
+            before[further[has]] = at[has]
+            earlier = before[at]
+            changed = np.concatenate([at[has], earlier[earlier >= 0]])
+            if not len(changed):
+                continue
+            new = self._ranks(ids[changed], ids[after[changed]])
+            rank[changed] = new
+            for k, positions in listed(changed[new != _NONE]) if (new != _NONE).any() else ():
+                if k in index:
+                    index[k].append(positions)
+                else:
+                    index[k] = [positions]
+                    heapq.heappush(order, k)
+        return left
+
+    def encode(self, keys: list[str]) -> list[np.ndarray]:
+        """Ids of each part."""
+        if not keys:
+            return []
+        ids, start, first = self._laid_out(keys)
+        left = self.merge(ids, start)
+        cuts = np.concatenate([[0], np.cumsum(left)])[first].tolist()
+        flat = ids[left].astype("<u4")
         return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         """As the library does for a file without a decoder: the tokens' strings joined by spaces."""
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
 class Remembered:
-    """Ids and decoded text of every distinct piece met so far."""
+    """Ids and decoded text of every distinct part met so far."""
 
     def __init__(self, path: str):
-        self.encoder, self.known = PairIndexEncoder(path), {}
+        self.encoder = PairIndexEncoder(path)
+        self.tokens = {i: t.encode() for i, t in self.encoder.tokens.items()}
+        self._forget()
+
+    def _forget(self):
+        self.number: dict[str, int] = {}
+        self.ids: list[bytes] = []
+        self.decoded: list[bytes] = []
+        self.held = 0
 
-    def pieces(self, texts: list[bytes]) -> list[list[bytes]]:
-        """The pieces of each text, all of them known afterwards."""
-        split = [t.split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({p for words in split for p in words if p not in self.known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for piece, ids in zip(part, self.encoder.encode([p.decode("utf-8", "replace") for p in part]), strict=True):
-                self.known[piece] = (np.array(ids, "<u4").tobytes(), self.encoder.decode(ids).encode())
-        return split
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
+        """The parts of each text by their numbers, all of them known afterwards."""
+        if self.held > REMEMBERED_BYTES or len(self.number) > REMEMBERED:
+            self._forget()
+        number, out = self.number, []
+        for text in texts:
+            parts = self.encoder.parts(text)
+            for part in set(parts).difference(number):
+                number[part] = len(number)
+            out.append(np.fromiter(map(number.__getitem__, parts), np.int32, len(parts)))
+        new = list(number)[len(self.ids) :] if len(number) > len(self.ids) else []
+        flat = self.encoder.encode(new)
+        for part, ids in zip(new, flat, strict=True):
+            self.ids.append(ids.tobytes())
+            self.decoded.append(b" ".join([self.tokens[i] for i in ids.tolist()]))
+            self.held += len(part) + len(self.ids[-1]) + len(self.decoded[-1])
+        return out
 
 
 _workers: dict[str, Remembered] = {}
 
 
+#: Bytes of texts whose new parts share one index, unless a single text is longer.
+_INDEXED = 8 << 20
+
+
+def _spans(texts: pa.Array):
+    """Slices of rows of about ``_INDEXED`` bytes."""
+    size = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    at = 0
+    while at < len(texts):
+        until = min(max(at + 1, int(np.searchsorted(size, size[at] + _INDEXED, "right")) - 1), len(texts))
+        yield at, until
+        at = until
+
+
+def _strings(texts: pa.Array, at: int, until: int) -> list[str]:
+    return [(t or b"").decode("utf-8", "replace") for t in texts[at:until].to_pylist()]
+
+
 def digests(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every whole text."""
 
@@ -171,11 +278,11 @@ def digests(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_co
         for batch in batches:
             rows = []
             texts = batch.column(1).cast(pa.binary())
-            for at in range(0, len(texts), 512):
-                for words in worker.pieces([t or b"" for t in texts[at : at + 512].to_pylist()]):
-                    found = [worker.known[w] for w in words]
-                    ids = b"".join([f[0] for f in found])
-                    decoded = b" ".join([f[1] for f in found if f[0]])
+            for at, until in _spans(texts):
+                for numbers in worker.numbers(_strings(texts, at, until)):
+                    numbers = numbers.tolist()
+                    ids = b"".join(map(worker.ids.__getitem__, numbers))
+                    decoded = b" ".join(filter(None, map(worker.decoded.__getitem__, numbers)))
                     rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -191,8 +298,10 @@ def encoded(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_co
     def run(batches):
         worker = _workers.get(vocabulary) or _workers.setdefault(vocabulary, Remembered(vocabulary))
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            ids = [np.frombuffer(b"".join(worker.known[w][0] for w in words), "<u4").astype(np.int32) for words in worker.pieces(texts)]
+            texts, ids = batch.column(1).cast(pa.binary()), []
+            for at, until in _spans(texts):
+                for numbers in worker.numbers(_strings(texts, at, until)):
+                    ids.append(np.frombuffer(b"".join(map(worker.ids.__getitem__, numbers.tolist())), "<u4").astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
