@@ -10,7 +10,7 @@ distribution is smoothed by that of the next shorter one.
 Neither words nor tree are bounded, so no task and no driver holds them.  Contexts and their next
 symbols are hashes of one to DEPTH + 1 symbols: a context of d symbols with its next is also a context
 of d + 1.  Level by level, these are counted, joined with what their suffix predicts and tested per
-context.  For scoring, texts are dealt into blocks by id, each block asks for its distinct hashes, and
+context.  For scoring, texts are dealt into blocks, each block asks for its distinct hashes, and
 a join with the words, contexts and nexts answers it.
 
 A null text is empty: its one token is the end.  Rows with a null id are training rows.  Repeated
@@ -40,8 +40,8 @@ LEAST = 8
 LISTED = 2
 #: Strength of smoothing: tokens' worth of the shorter context's distribution.
 STRENGTH = 4.0
-#: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text in a block, and in a task that scores blocks.
+BLOCK_BYTES, TASK_BYTES = 8 << 20, 32 << 20
 _END = U64(0x454E44)
 _BITS = 15
 #: Bytes of text whose words are counted together before they are shuffled.
@@ -314,9 +314,10 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     counts = ws.save(words.mapInArrow(_counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "counts")
     tree, table = learned(words, counts, ws)
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     blocks = max(partitions, -(-size // BLOCK_BYTES))
-    dealt = source.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).repartition(partitions, "block")
+    # By id and text: rows that share an id, or have none, are no hot block.
+    dealt = source.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).repartition(partitions, "block")
     answers = dealt.mapInArrow(_asked, "block long, hash long").join(table, "hash").select("block", "hash", "n", "total", "rest")
     kind = docs.schema[id_column].dataType
     from pyspark.sql.pandas.types import to_arrow_type
