@@ -17,6 +17,52 @@ def binned(df: DataFrame, size: int = BIN) -> DataFrame:
     return df.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor(F.col("end") / size))))
 
 
+def in_bins(df: DataFrame, at: str = "start", size: int = BIN) -> DataFrame:
+    """Adds the bin in which a row starts."""
+    return df.withColumn("bin", F.floor(F.col(at) / size))
+
+
+def carried(df: DataFrame, order: list[str], column: Column, how, output: str, frame: str = "before") -> DataFrame:
+    """Adds ``how`` (F.sum, F.max) of ``column`` over a contig's rows before each row of ``df(contig, bin, ..)``, or up to it.
+
+    A window per (contig, bin) and one over the bins' totals, so that no task holds a contig's rows.  ``frame``: "before" is
+    all rows before in order, "below" those with a smaller value of the one order column, "upto" includes the row.
+    """
+    w = Window.partitionBy("contig", "bin").orderBy(*order)
+    inside = {"before": w.rowsBetween(Window.unboundedPreceding, -1), "below": w.rangeBetween(Window.unboundedPreceding, -1), "upto": w.rowsBetween(Window.unboundedPreceding, 0)}[frame]
+    df = df.withColumn("_value", column)
+    totals = df.groupBy("contig", "bin").agg(how("_value").alias("_total"))
+    carry = totals.select("contig", "bin", how("_total").over(Window.partitionBy("contig").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    out = df.join(carry, ["contig", "bin"]).withColumn("_inside", how("_value").over(inside))
+    both = F.greatest("_inside", "_carry") if how is F.max else F.coalesce("_inside", F.lit(0)) + F.coalesce("_carry", F.lit(0))
+    return out.withColumn(output, both).drop("_value", "_carry", "_inside")
+
+
+def with_following(df: DataFrame, at: str, output: str, size: int = BIN) -> DataFrame:
+    """Adds the next value of ``at`` on the contig, null after the last; rows have distinct values."""
+    df = in_bins(df, at, size)
+    firsts = df.groupBy("contig", "bin").agg(F.min(at).alias("_first"))
+    later = firsts.select("contig", "bin", F.lead("_first").over(Window.partitionBy("contig").orderBy("bin")).alias("_later"))
+    inside = F.lead(at).over(Window.partitionBy("contig", "bin").orderBy(at))
+    return df.join(later, ["contig", "bin"]).withColumn(output, F.coalesce(inside, "_later")).drop("bin", "_later")
+
+
+def coverage(sites: DataFrame, records: DataFrame, values: list[str], size: int = BIN) -> DataFrame:
+    """(contig, pos, n, values): number and sums of the records over each site, by steps at records' ends instead of pairs."""
+    up = records.select("contig", F.col("start").alias("pos"), F.lit(1).cast("long").alias("n"), *values, F.lit(False).alias("_site"))
+    down = records.select("contig", (F.col("end") + 1).alias("pos"), F.lit(-1).cast("long").alias("n"), *((-F.col(v)).alias(v) for v in values), F.lit(False).alias("_site"))
+    asked = sites.select("contig", "pos", F.lit(0).cast("long").alias("n"), *(F.lit(0).cast(records.schema[v].dataType).alias(v) for v in values), F.lit(True).alias("_site"))
+    sums = ["n", *values]
+    steps = up.union(down).union(asked).groupBy("contig", "pos").agg(*(F.sum(v).alias(v) for v in sums), F.max("_site").alias("_site"))
+    steps = in_bins(steps, "pos", size)
+    total = steps.groupBy("contig", "bin").agg(*(F.sum(v).alias(f"_{v}") for v in sums))
+    over = Window.partitionBy("contig").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    carry = total.select("contig", "bin", *(F.coalesce(F.sum(f"_{v}").over(over), F.lit(0)).alias(f"_{v}") for v in sums))
+    inside = Window.partitionBy("contig", "bin").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    out = steps.join(carry, ["contig", "bin"]).select("contig", "pos", "_site", *((F.sum(v).over(inside) + F.col(f"_{v}")).alias(v) for v in sums))
+    return out.where("_site").drop("_site")
+
+
 def _islands(df: DataFrame, keys: list[str], reach: int) -> DataFrame:
     """Merges rows of one key whose start is at most ``reach`` beyond every earlier end."""
     w = Window.partitionBy(*keys).orderBy("start", "end")
@@ -26,15 +72,24 @@ def _islands(df: DataFrame, keys: list[str], reach: int) -> DataFrame:
     return marked.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
+def _joined(local: DataFrame, reach: int, size: int) -> DataFrame:
+    """Islands of a contig from those of its bins; runs are numbered by bins' totals, not in one task per contig."""
+    local = in_bins(local.select("contig", "start", "end"), "start", size)
+    marked = carried(local, ["start", "end"], F.col("end"), F.max, "_before")
+    new = F.when(F.col("_before").isNull() | (F.col("start") > F.col("_before") + reach), 1).otherwise(0)
+    numbered = carried(marked.withColumn("_new", new).drop("_before"), ["start", "end"], F.col("_new"), F.sum, "_island", "upto")
+    return numbered.groupBy("contig", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+
+
 def merged(df: DataFrame, abutting: bool = True, size: int = BIN) -> DataFrame:
     """Maximal runs of overlapping (and abutting) intervals per contig."""
     if not abutting:
         # Clipping at bin edges would hide whether intervals overlap across them, so an interval stays whole in its first bin.
         local = _islands(df.select("contig", "start", "end", F.floor(F.col("start") / size).alias("bin")), ["contig", "bin"], 0)
-        return _islands(local.select("contig", "start", "end"), ["contig"], 0)
+        return _joined(local, 0, size)
     cut = binned(df.select("contig", "start", "end"), size)
     cut = cut.select("contig", "bin", F.greatest("start", F.col("bin") * size).alias("start"), F.least("end", F.col("bin") * size + size - 1).alias("end"))
-    return _islands(_islands(cut, ["contig", "bin"], 1).select("contig", "start", "end"), ["contig"], 1)
+    return _joined(_islands(cut, ["contig", "bin"], 1), 1, size)
 
 
 def swept(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -76,8 +131,7 @@ def padded(df: DataFrame, by: int, length: Column | int) -> DataFrame:
 def segments(df: DataFrame) -> DataFrame:
     """Minimal segments between all ends of possibly overlapping intervals (breakpoint combine)."""
     points = df.select("contig", F.col("start").alias("pos")).union(df.select("contig", F.col("end") + 1)).distinct()
-    w = Window.partitionBy("contig").orderBy("pos")
-    return points.select("contig", F.col("pos").alias("start"), (F.lead("pos").over(w) - 1).alias("end")).where("end is not null")
+    return with_following(points, "pos", "_next").where("_next is not null").select("contig", F.col("pos").alias("start"), (F.col("_next") - 1).alias("end"))
 
 
 def split_by_size(df: DataFrame, size: int) -> DataFrame:
@@ -93,18 +147,22 @@ def split_by_count(df: DataFrame, parts: int) -> DataFrame:
     return out.select("contig", "start", F.least(F.col("start") + F.col("_size") - 1, "end").alias("end"))
 
 
-def split_balanced(sites: DataFrame, parts: int, least: int, start: int, end: int) -> DataFrame:
-    """Windows over [start, end] that each end at every n-th site; what follows the last full one ends one past the last site.
+def split_balanced(sites: DataFrame, parts: int, least: int) -> DataFrame:
+    """Windows of n sites each, from a site to a site; a last one with fewer ends one past its last site.
 
     n = max(floor(sites / (0.98 parts)), least), per contig.
     """
-    by = Window.partitionBy("contig")
-    ranked = sites.select("contig", "pos", F.row_number().over(by.orderBy("pos")).alias("rank"), F.count("*").over(by).alias("total"))
-    ranked = ranked.withColumn("n", F.greatest(F.floor(F.col("total") / (0.98 * parts)), F.lit(least)))
-    cuts = ranked.where("rank % n = 0 or rank = total")
-    stop = F.when(F.col("rank") % F.col("n") == 0, F.col("pos")).otherwise(F.least(F.col("pos") + 1, F.lit(end)))
-    before = F.lag(stop).over(by.orderBy("pos"))
-    return cuts.select("contig", F.coalesce(before + 1, F.lit(start)).alias("start"), stop.alias("end"))
+    ranked = carried(in_bins(sites.select("contig", "pos"), "pos"), ["pos"], F.lit(1), F.sum, "rank")
+    totals = sites.groupBy("contig").agg(F.count("*").alias("_sites"))
+    n = F.greatest(F.floor(F.col("_sites") / (0.98 * parts)), F.lit(least))
+    dealt = ranked.join(totals, "contig").withColumn("_n", n).withColumn("_window", F.floor(F.col("rank") / F.col("_n")))
+    out = dealt.groupBy("contig", "_window", "_n").agg(F.min("pos").alias("start"), F.max("pos").alias("_last"), F.count("*").alias("_held"))
+    return out.select("contig", "start", F.when(F.col("_held") < F.col("_n"), F.col("_last") + 1).otherwise(F.col("_last")).alias("end"))
+
+
+def uncovered(sites: DataFrame, windows: DataFrame) -> DataFrame:
+    """Sites that no window holds, and windows' overlaps are :func:`disorder`: both are empty for a valid split."""
+    return coverage(sites, windows, []).where("n = 0").select("contig", "pos")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, size: int = BIN, how: str = "inner") -> DataFrame:
@@ -115,18 +173,19 @@ def overlap_join(left: DataFrame, right: DataFrame, size: int = BIN, how: str =
     r = right.select(*(F.col(c).alias(f"{c}_r") for c in right.columns))
     r = r.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start_r") / size), F.floor(F.col("end_r") / size))))
     l = left.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor(F.col("end") / size))))  # noqa: E741
-    if how == "left":
-        l = l.withColumn("_id", F.monotonically_increasing_id())  # noqa: E741
     meets = (F.col("start") <= F.col("end_r")) & (F.col("start_r") <= F.col("end"))
-    once = l["_bin"] == F.floor(F.greatest("start", "start_r") / size)
-    pairs = l.join(r, (F.col("contig") == F.col("contig_r")) & (l["_bin"] == r["_bin"]) & meets & once, "inner")
-    pairs = pairs.drop("_bin")
     if how == "inner":
-        return pairs
-    keep = left.columns
-    matched = pairs.drop("_id")
-    lonely = left.join(pairs.select(*keep).distinct(), keep, "left_anti")
-    return matched.unionByName(lonely, allowMissingColumns=True)
+        once = l["_bin"] == F.floor(F.greatest("start", "start_r") / size)
+        return l.join(r, (F.col("contig") == F.col("contig_r")) & (l["_bin"] == r["_bin"]) & meets & once).drop("_bin")
+    # A left row is one row for each of its bins: it is lonely if none of them met, which a flag summed per row tells.
+    every = left.withColumn("_id", F.monotonically_increasing_id())
+    l = every.withColumn("_lbin", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor(F.col("end") / size))))  # noqa: E741
+    once = F.col("_lbin") == F.floor(F.greatest("start", "start_r") / size)
+    joined = l.join(r.withColumnRenamed("_bin", "_rbin"), (F.col("contig") == F.col("contig_r")) & (F.col("_lbin") == F.col("_rbin")) & meets & once, "left")
+    met = F.max(F.col("_rbin").isNotNull()).over(Window.partitionBy("_id"))
+    first = F.col("_lbin") == F.floor(F.col("start") / size)
+    kept = joined.withColumn("_met", met).where(F.col("_rbin").isNotNull() | (~F.col("_met") & first))
+    return kept.drop("_id", "_lbin", "_rbin", "_met")
 
 
 def overlapping(left: DataFrame, right: DataFrame, size: int = BIN) -> DataFrame:
@@ -151,18 +210,22 @@ def overlap_map(keys: DataFrame, values: DataFrame) -> DataFrame:
 
 def disorder(df: DataFrame) -> DataFrame:
     """Intervals that overlap one before them in (start, end) order."""
-    w = Window.partitionBy("contig").orderBy("start", "end")
-    return df.withColumn("_before", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))).where("_before >= start").drop("_before")
+    return carried(in_bins(df), ["start", "end"], F.col("end"), F.max, "_before").where("_before >= start").drop("_before", "bin")
+
+
+def _offsets(sizes: DataFrame) -> DataFrame:
+    """(contig, covered, base, total): covered size before each contig and of all, from one row per contig."""
+    w = Window.orderBy("contig")
+    return sizes.withColumn("base", F.coalesce(F.sum("covered").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("covered").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
 
 
 def scattered(df: DataFrame, parts: int) -> DataFrame:
     """Each interval cut so that ``parts`` shares of equal covered size result; adds part (0-based)."""
-    w = Window.orderBy("contig", "start").rowsBetween(Window.unboundedPreceding, -1)
-    m = merged(df).withColumn("n", F.col("end") - F.col("start") + 1)
-    total = m.agg(F.sum("n").alias("total"))
-    m = m.withColumn("at", F.coalesce(F.sum("n").over(w), F.lit(0))).crossJoin(F.broadcast(total))  # one row
-    share = F.ceil(F.col("total") / parts)
-    m = m.withColumn("share", share).withColumn("part", F.explode(F.sequence(F.floor(F.col("at") / F.col("share")), F.floor((F.col("at") + F.col("n") - 1) / F.col("share")))))
+    m = in_bins(merged(df).withColumn("n", F.col("end") - F.col("start") + 1))
+    sizes = m.groupBy("contig").agg(F.sum("n").alias("covered"))
+    m = carried(m, ["start"], F.col("n"), F.sum, "_at").join(_offsets(sizes), "contig").withColumn("at", F.col("_at") + F.col("base"))
+    m = m.withColumn("share", F.ceil(F.col("total") / parts))
+    m = m.withColumn("part", F.explode(F.sequence(F.floor(F.col("at") / F.col("share")), F.floor((F.col("at") + F.col("n") - 1) / F.col("share")))))
     a = F.greatest(F.col("part") * F.col("share"), F.col("at"))
     b = F.least((F.col("part") + 1) * F.col("share"), F.col("at") + F.col("n"))
     return m.select("contig", (F.col("start") + a - F.col("at")).alias("start"), (F.col("start") + b - F.col("at") - 1).alias("end"), F.col("part").cast("long").alias("part"))
@@ -170,11 +233,8 @@ def scattered(df: DataFrame, parts: int) -> DataFrame:
 
 def scattered_by_contig(df: DataFrame, parts: int) -> DataFrame:
     """(contig, part): whole contigs dealt in order so that each part nears the ideal size."""
-    sizes = covered_size(df)
-    w = Window.orderBy("contig").rowsBetween(Window.unboundedPreceding, -1)
-    total = sizes.agg(F.sum("covered").alias("total"))
-    out = sizes.withColumn("at", F.coalesce(F.sum("covered").over(w), F.lit(0))).crossJoin(F.broadcast(total))  # one row
-    return out.select("contig", F.least(F.floor(F.col("at") * parts / F.col("total")), F.lit(parts - 1)).cast("long").alias("part"))
+    out = _offsets(covered_size(df))
+    return out.select("contig", F.least(F.floor(F.col("base") * parts / F.col("total")), F.lit(parts - 1)).cast("long").alias("part"))
 
 
 def break_points(df: DataFrame, multiple: int) -> DataFrame:
@@ -186,9 +246,9 @@ def break_points(df: DataFrame, multiple: int) -> DataFrame:
 
 def covered_upstream(df: DataFrame, length: str = "deleted") -> DataFrame:
     """Adds covered: whether a deletion that starts strictly earlier reaches a row's start."""
-    w = Window.partitionBy("contig").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
-    reach = F.max(F.when(F.col(length) > 0, F.col("start") + F.col(length))).over(w)
-    return df.withColumn("covered", F.coalesce(reach >= F.col("start"), F.lit(False)))
+    reach = F.when(F.col(length) > 0, F.col("start") + F.col(length))
+    out = carried(in_bins(df), ["start"], reach, F.max, "_reach", "below")
+    return out.withColumn("covered", F.coalesce(F.col("_reach") >= F.col("start"), F.lit(False))).drop("_reach", "bin")
 
 
 def bands(df: DataFrame, keys: list[str], order: list[str], value: str, edges: list[float]) -> DataFrame:

@@ -76,9 +76,9 @@ def segments(spark, d):
     return iv.segments(regions(spark, d))
 
 
-@query("q05_pad_merge", f"WITH {REG}, p AS (SELECT DISTINCT contig, unnest(range(greatest(start - 5, 1), least(stop + 5, {LENGTH}) + 1)) AS pos FROM reg WHERE start > 0) {ISLANDS}")
+@query("q05_pad_merge", f"WITH {REG}, p AS (SELECT DISTINCT contig, unnest(range(greatest(start - 5, 1), least(stop + 5, {LENGTH}) + 1)) AS pos FROM reg) {ISLANDS}")
 def pad_merge(spark, d):
-    return iv.padded(regions(spark, d).where("start > 0"), 5, LENGTH)
+    return iv.padded(regions(spark, d), 5, LENGTH)
 
 
 @query("q06_split_by_size", "SELECT c.c AS contig, s.s AS \"start\", least(s.s + 99, 2550) AS \"end\" FROM range(8) c(c), range(1, 2551, 100) s(s)")
@@ -95,15 +95,21 @@ def split_by_count(spark, d):
 
 @query(
     "q07_split_balanced",
-    f"""WITH {REC}, p AS (SELECT DISTINCT contig, unnest(range(start, stop + 1)) AS pos FROM rec WHERE n_allele > 2 AND start BETWEEN 1 AND 2500),
-  r AS (SELECT contig, pos, row_number() OVER (PARTITION BY contig ORDER BY pos) AS k, count(*) OVER (PARTITION BY contig) AS total FROM p),
-  n AS (SELECT *, greatest(CAST(floor(total / (0.98 * 6)) AS BIGINT), 10) AS n FROM r),
-  c AS (SELECT contig, pos, CASE WHEN k % n = 0 THEN pos ELSE least(pos + 1, {LENGTH}) END AS stop FROM n WHERE k % n = 0 OR k = total)
-SELECT contig, coalesce(lag(stop) OVER (PARTITION BY contig ORDER BY pos) + 1, 1) AS "start", stop AS "end" FROM c""",
+    f"""WITH {REC}, p AS (SELECT DISTINCT contig, unnest(range(start, stop + 1)) AS pos FROM rec WHERE n_allele > 2),
+  r AS (SELECT contig, pos, row_number() OVER (PARTITION BY contig ORDER BY pos) - 1 AS k, count(*) OVER (PARTITION BY contig) AS total FROM p),
+  n AS (SELECT *, greatest(CAST(floor(total / CAST(0.98 * 6 AS DOUBLE)) AS BIGINT), 10) AS n FROM r)
+SELECT contig, min(pos) AS "start", max(pos) + CASE WHEN count(*) < n THEN 1 ELSE 0 END AS "end" FROM n GROUP BY contig, n, k // n""",
 )
 def split_balanced(spark, d):
-    found = sites.variant_sites(records(spark, d).where("start between 1 and 2500"))
-    return iv.split_balanced(found, 6, 10, 1, LENGTH)
+    return iv.split_balanced(sites.variant_sites(records(spark, d)), 6, 10)
+
+
+@query("q07_split_is_valid", "SELECT CAST(0 AS BIGINT) AS n_overlapping, CAST(0 AS BIGINT) AS n_uncovered")
+def split_is_valid(spark, d):
+    found = sites.variant_sites(records(spark, d))
+    windows = iv.split_balanced(found, 6, 10)
+    wrong = iv.disorder(windows).select(F.lit(1).alias("o"), F.lit(0).alias("u")).union(iv.uncovered(found, windows).select(F.lit(0), F.lit(1)))
+    return wrong.agg(F.coalesce(F.sum("o"), F.lit(0)).cast("long").alias("n_overlapping"), F.coalesce(F.sum("u"), F.lit(0)).cast("long").alias("n_uncovered"))
 
 
 @query(
@@ -114,12 +120,17 @@ SELECT p.contig, count(*) AS n_pairs, CAST(sum(dp) AS BIGINT) AS sum_dp, count(D
 )
 def overlap_join(spark, d):
     rec = records(spark, d)
-    found = sites.variant_sites(rec).select("contig", F.col("pos").alias("start"), F.col("pos").alias("end"))
-    pairs = iv.overlap_join(rec.select("contig", "start", "end", "dp"), found, 64)
-    per_site = pairs.groupBy("contig", "start_r").agg(F.count("*").alias("n"), F.sum("dp").alias("dp"))
+    found = sites.variant_sites(rec)
+    per_site = iv.coverage(found, rec.select("contig", "start", "end", "dp"), ["dp"])
     return per_site.groupBy("contig").agg(F.sum("n").alias("n_pairs"), F.sum("dp").alias("sum_dp"), F.count("*").alias("n_sites"))
 
 
+@query("q08_overlap_pairs", f"WITH {REG} SELECT a.key AS key, count(*) AS n_pairs, CAST(sum(b.key) AS BIGINT) AS sum_key FROM reg a JOIN reg b ON a.contig = b.contig AND a.start <= b.stop AND b.start <= a.stop AND a.priority < '3' AND b.priority >= '3' GROUP BY a.key")
+def overlap_pairs(spark, d):
+    pairs = iv.overlap_join(*(s.select("contig", "start", "end", "key") for s in _sides(spark, d)))
+    return pairs.groupBy("key").agg(F.count("*").alias("n_pairs"), F.sum("key_r").alias("sum_key"))
+
+
 @query("q08_overlapping", f"WITH {REG} SELECT key, contig, start AS \"start\", stop AS \"end\" FROM reg r WHERE priority < '2' AND EXISTS (SELECT 1 FROM reg s WHERE s.priority >= '5' AND s.contig = r.contig AND s.start <= r.stop AND r.start <= s.stop)")
 def overlapping(spark, d):
     r = regions(spark, d)
@@ -178,8 +189,36 @@ SELECT contig, pos, count(*) AS n_samples, CAST(sum(dp) AS BIGINT) AS sum_dp, CA
 def latest_record(spark, d):
     rec = records(spark, d)
     found = sites.variant_sites(rec)
-    latest = sites.latest_per_sample(sites.at_sites(rec, found, 64), ["orderkey", "line", "dp"])
-    return latest.groupBy("contig", "pos").agg(F.count("*").alias("n_samples"), F.sum("dp").alias("sum_dp"), F.sum("start").alias("sum_start"))
+    rec = rec.withColumn("began", F.col("start"))
+    pieces = sites.latest_pieces(rec, ["orderkey", "line", "dp"]).select("contig", F.col("first").alias("start"), F.col("last").alias("end"), "dp", "began")
+    out = iv.coverage(found, pieces, ["dp", "began"])
+    return out.where("n > 0").select("contig", "pos", F.col("n").alias("n_samples"), F.col("dp").alias("sum_dp"), F.col("began").alias("sum_start"))
+
+
+@query(
+    "q11_latest_per_sample",
+    f"""WITH {REC}, s AS (SELECT contig, start AS pos, max(orderkey) AS k FROM rec WHERE n_allele > 2 GROUP BY ALL),
+  o AS (SELECT s.contig, s.pos, r.sample, r.start, r.dp, row_number() OVER (PARTITION BY s.contig, s.pos, r.sample ORDER BY r.start DESC, r.orderkey DESC, r.line DESC, r.dp DESC) AS k
+    FROM s JOIN rec r ON r.contig = s.contig AND s.pos BETWEEN r.start AND r.stop)
+SELECT contig, pos, count(*) AS n_samples, CAST(sum(dp * sample) AS BIGINT) AS mark FROM o WHERE k = 1 GROUP BY contig, pos""",
+)
+def latest_rows(spark, d):
+    rec = records(spark, d)
+    found = rec.where("n_allele > 2").select("contig", F.col("start").alias("pos")).distinct()
+    latest = sites.latest_per_sample(sites.at_sites(rec, found), ["orderkey", "line", "dp"])
+    return latest.groupBy("contig", "pos").agg(F.count("*").alias("n_samples"), F.sum(F.col("dp") * F.col("sample")).alias("mark"))
+
+
+@query(
+    "q08_preserve_all_sites",
+    f"""WITH {REG}, {REC}, s AS (SELECT DISTINCT contig, start AS pos FROM reg), v AS (SELECT * FROM rec WHERE n_allele > 2 AND sample % 10 = line)
+SELECT s.contig, s.pos, count(v.start) AS n, CAST(coalesce(sum(v.dp), 0) AS BIGINT) AS sum_dp FROM s LEFT JOIN v ON v.contig = s.contig AND s.pos BETWEEN v.start AND v.stop GROUP BY s.contig, s.pos""",
+)
+def preserve_all_sites(spark, d):
+    points = regions(spark, d).select("contig", "start").distinct().withColumn("end", F.col("start"))
+    rare = records(spark, d).where("n_allele > 2 and sample % 10 = line").select("contig", "start", "end", "dp")
+    joined = iv.overlap_join(points, rare, how="left")
+    return joined.groupBy("contig", F.col("start").alias("pos")).agg(F.count("start_r").alias("n"), F.coalesce(F.sum("dp_r"), F.lit(0)).alias("sum_dp"))
 
 
 @query("q35_upstream_deletion", f"WITH {REC}, v AS (SELECT contig, start, orderkey, line, CASE WHEN line >= 6 THEN dp // 5 ELSE 0 END AS deleted, dp FROM rec), w AS (SELECT *, max(CASE WHEN deleted > 0 THEN start + deleted END) OVER (PARTITION BY contig ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v) SELECT contig, start AS \"start\", count(*) AS n, CAST(sum(CAST(coalesce(reach >= start, false) AS INT)) AS BIGINT) AS n_covered FROM w GROUP BY contig, start")
@@ -200,9 +239,9 @@ def banding(spark, d):
     return runs.select("user_id", F.col("band").cast("long").alias("band"), F.col("run").cast("long").alias("run"), "n", rounded(F.col("least")).alias("least"))
 
 
-@query("q38_break_bands", f"WITH {REG} SELECT key, unnest(range(((start + 1) // 4 + 1) * 4 - 1, stop + 1, 4)) AS stop FROM reg WHERE start >= 0")
+@query("q38_break_bands", f"WITH {REG} SELECT key, unnest(range(((start + 1) // 4 + 1) * 4 - 1, stop + 1, 4)) AS stop FROM reg")
 def break_bands(spark, d):
-    return iv.break_points(regions(spark, d).where("start >= 0"), 4).select("key", "stop")
+    return iv.break_points(regions(spark, d), 4).select("key", "stop")
 
 
 @query("q44_validate_order", f"WITH {REG}, w AS (SELECT *, max(stop) OVER (PARTITION BY contig ORDER BY start, stop, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM reg) SELECT contig, count(*) AS n_overlapping FROM w WHERE before >= start GROUP BY contig")
@@ -224,11 +263,22 @@ def sorted_merge(spark, d):
     return out.select("rank", "contig", "start", "key", F.col("file").cast("long").alias("file"))
 
 
-@query("q49_scatter", None)
+SHARES = "s AS (SELECT contig, pos, row_number() OVER (ORDER BY contig, pos) - 1 AS k, count(*) OVER () AS total FROM a), t AS (SELECT contig, pos, k // CAST(ceil(CAST(total AS DOUBLE) / {parts}) AS BIGINT) AS part FROM s)"
+
+
+@query(
+    "q49_scatter",
+    f"""WITH {REG}, {BASES_A}, {SHARES.format(parts=5)}, g AS (SELECT *, pos - row_number() OVER (PARTITION BY contig, part ORDER BY pos) AS island FROM t)
+SELECT contig, min(pos) AS "start", max(pos) AS "end", CAST(part AS BIGINT) AS part FROM g GROUP BY contig, part, island""",
+)
 def scatter(spark, d):
     return iv.scattered(_sides(spark, d)[0], 5)
 
 
-@query("q49_scatter_by_contig", None)
+@query(
+    "q49_scatter_by_contig",
+    f"""WITH {REG}, {BASES_A}, c AS (SELECT contig, count(*) AS n FROM a GROUP BY 1), o AS (SELECT contig, coalesce(sum(n) OVER (ORDER BY contig ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, sum(n) OVER () AS total FROM c)
+SELECT contig, CAST(least(base * 3 // total, 2) AS BIGINT) AS part FROM o""",
+)
 def scatter_by_contig(spark, d):
     return iv.scattered_by_contig(_sides(spark, d)[0], 3)
