@@ -11,7 +11,10 @@ Neither words nor tree are bounded, so no task and no driver holds them.  Contex
 symbols are hashes of one to DEPTH + 1 symbols: a context of d symbols with its next is also a context
 of d + 1.  Level by level, these are counted, joined with what their suffix predicts and tested per
 context.  For scoring, texts are dealt into blocks, each block asks for its distinct hashes, and
-a join with the words, contexts and nexts answers it.
+a join with the words, contexts and nexts answers it.  Two filters of a fixed greatest size spare rows that
+could not matter: next symbols are counted only under contexts that may have enough occurrences, and a block asks
+only for what may be a retained context or a next symbol of one.  A filter lets some others pass, and more of them
+once a corpus outgrows it; what passes is tested exactly, so the result does not depend on it.
 
 A null text is empty: its one token is the end.  Rows with a null id are training rows.  Repeated
 rows count and are scored each on their own.
@@ -20,9 +23,11 @@ rows count and are scored each on their own.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +51,31 @@ _END = U64(0x454E44)
 _BITS = 15
 #: Bytes of text whose words are counted together before they are shuffled.
 _GATHER = 16 << 20
+#: Bits of a filter for each hash, and at most (64 MB).
+FILTER_BITS, FILTER_MOST = 12, 1 << 29
+#: Pairs of symbols, which no filter thins, are counted in so many rounds, each with a share of the contexts.
+ROUNDS = 2
+_SHIFTS = (0, 17, 35)
+
+
+def _filter(hashes: DataFrame) -> Broadcast:
+    """A Bloom filter of the one column ``hash``, made by an aggregation into 64-bit words."""
+    n = hashes.count()
+    bits = min(FILTER_MOST, 1 << max(6, (FILTER_BITS * n - 1).bit_length() if n else 0))
+    at = F.explode(F.array(*(F.expr(f"shiftrightunsigned(hash, {s}) & {bits - 1}L") for s in _SHIFTS)))
+    words = hashes.select(at.alias("at")).select(F.expr("at div 64").alias("word"), F.expr("shiftleft(1L, cast(at & 63L as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
+    return hashes.sparkSession.sparkContext.broadcast(out)
+
+
+def _passes(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    out = np.ones(len(hashes), bool)
+    for s in _SHIFTS:
+        at = (hashes >> U64(s)) & U64(len(words) * 64 - 1)
+        out &= (words[at >> U64(6)] >> (at & U64(63))) & U64(1) > 0
+    return out
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,16 +211,16 @@ class Tree:
         assert depth == len(self.levels)
 
 
-def _pairs(length: int):
-    """(hash, context, suffix, n) of the training tokens' last ``length`` symbols."""
+def _pairs(length: int, contexts: Broadcast | None = None, rounds: int = 1, turn: int = 0):
+    """(hash, context, suffix, n) of the training tokens' last ``length`` symbols whose context passes the filter and belongs to the round."""
 
     def run(batches):
         held, size = [], 0
 
         def out():
-            hashes, contexts, suffixes = (np.concatenate(x) for x in zip(*held, strict=True))
+            hashes, before, suffixes = (np.concatenate(x) for x in zip(*held, strict=True))
             unique, at, n = np.unique(hashes, return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([_long(unique), _long(contexts[at]), _long(suffixes[at]), _long(n)], names=["hash", "context", "suffix", "n"])
+            return pa.RecordBatch.from_arrays([_long(unique), _long(before[at]), _long(suffixes[at]), _long(n)], names=["hash", "context", "suffix", "n"])
 
         for batch in batches:
             train = ~np.asarray(batch.column("held_out").to_numpy(zero_copy_only=False), bool)
@@ -199,6 +229,10 @@ def _pairs(length: int):
                 grams = _grams(tokens, np.repeat(first[:-1], np.diff(first)))
                 (hashes, inside), (shorter, _) = grams[length - 1], grams[length - 2]
                 rows = np.flatnonzero(inside & np.repeat(train[lo:hi], np.diff(first)))
+                if rounds > 1:
+                    rows = rows[(shorter[rows - 1] >> U64(8)) % U64(rounds) == U64(turn)]
+                if contexts is not None:
+                    rows = rows[_passes(contexts.value, shorter[rows - 1])]
                 held.append((hashes[rows], shorter[rows - 1], shorter[rows]))
                 size += len(data)
                 if size >= _GATHER:
@@ -225,11 +259,15 @@ def learned(source: DataFrame, counts: DataFrame, ws: Workspace) -> tuple[Tree,
         return tree, table
     least, listed = min(LEAST, max(2, P_MIN * tokens)), min(LISTED, max(1, Q_MIN * tokens))
     known = counts.where("n > 0").select("hash", "n", ((F.col("n") - discount) / tokens).alias("p"))
+    contexts = None
     for length in range(2, DEPTH + 2):
-        found = source.mapInArrow(_pairs(length), "hash long, context long, suffix long, n long")
-        found = found.groupBy("hash").agg(F.sum("n").alias("n"), F.min("context").alias("context"), F.min("suffix").alias("suffix")).where(F.col("n") >= listed)
-        # A suffix occurs as often at least, so it is among the known ones.
-        found = ws.save(found.join(known.select(F.col("hash").alias("suffix"), "p"), "suffix").drop("suffix"), "nexts")
+        parts, rounds = [], 1 if contexts else ROUNDS
+        for turn in range(rounds):
+            part = source.mapInArrow(_pairs(length, contexts, rounds, turn), "hash long, context long, suffix long, n long")
+            parts.append(ws.save(part.groupBy("hash").agg(F.sum("n").alias("n"), F.min("context").alias("context"), F.min("suffix").alias("suffix")).where(F.col("n") >= listed), "grams"))
+        # A suffix occurs as often at least, and so does its context, so it is among the known ones.
+        found = ws.save(reduce(DataFrame.union, parts).join(known.select(F.col("hash").alias("suffix"), "p"), "suffix").drop("suffix"), "nexts")
+        ws.drop(*parts)
         # Each occurrence of a context has a next symbol: its total is its own count.
         total = known.where(F.col("n") >= least).select(F.col("hash").alias("context"), F.col("n").alias("total"))
         seen = found.groupBy("context").agg(F.sum("n").alias("seen"), F.count("*").alias("freedom"), F.sum("p").alias("share"), F.sum(F.expr("n * ln(n / p)")).alias("gain"))
@@ -240,22 +278,34 @@ def learned(source: DataFrame, counts: DataFrame, ws: Workspace) -> tuple[Tree,
         p = F.when(F.col("total").isNull(), F.col("p")).otherwise((F.col("n") + (STRENGTH + F.col("rest")) * F.col("p")) / (F.col("total") + STRENGTH))
         known = ws.save(joined.select("hash", "n", p.alias("p"), F.col("total").isNotNull().alias("state")), "level")
         ws.drop(found)
+        contexts = _filter(known.where(F.col("n") >= least).select("hash"))
         table = table.union(known.where("state").select("hash", "n", *none)).union(kept.select("context", F.lit(None).cast("long"), "total", "rest"))
     return tree, table
 
 
-def _asked(batches):
-    for batch in batches:
-        blocks = batch.column("block").to_numpy()
-        for lo, hi, data, offsets in pieces(batch.column("text"), 4 << 20):
-            tokens, first = _tokens(data, offsets)
-            block = np.repeat(blocks[lo:hi], np.diff(first))
-            grams = _grams(tokens, np.repeat(first[:-1], np.diff(first)))
-            for b in np.unique(block):
-                own = block == b
-                for hashes, inside in grams:
-                    unique = np.unique(hashes[own & inside])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unique), b), pa.int64()), _long(unique)], names=["block", "hash"])
+def _asked(states: Broadcast):
+    """(block, hash) of every word, and of the longer grams that may be retained contexts or end under one."""
+
+    def run(batches):
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            for lo, hi, data, offsets in pieces(batch.column("text"), 4 << 20):
+                tokens, first = _tokens(data, offsets)
+                block = np.repeat(blocks[lo:hi], np.diff(first))
+                grams = _grams(tokens, np.repeat(first[:-1], np.diff(first)))
+                asked = [inside for _, inside in grams]
+                state = [_passes(states.value, hashes) for hashes, _ in grams]
+                for k in range(1, len(grams)):
+                    under = np.zeros(len(tokens), bool)
+                    under[1:] = state[k - 1][:-1]
+                    asked[k] = asked[k] & (under | state[k])
+                for b in np.unique(block):
+                    own = block == b
+                    for (hashes, _), which in zip(grams, asked, strict=True):
+                        unique = np.unique(hashes[own & which])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unique), b), pa.int64()), _long(unique)], names=["block", "hash"])
+
+    return run
 
 
 class _Lookup:
@@ -318,7 +368,8 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     blocks = max(partitions, -(-size // BLOCK_BYTES))
     # By id and text: rows that share an id, or have none, are no hot block.
     dealt = source.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).repartition(partitions, "block")
-    answers = dealt.mapInArrow(_asked, "block long, hash long").join(table, "hash").select("block", "hash", "n", "total", "rest")
+    states = _filter(table.where("total is not null").select("hash"))
+    answers = dealt.mapInArrow(_asked(states), "block long, hash long").join(table, "hash").select("block", "hash", "n", "total", "rest")
     kind = docs.schema[id_column].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
