@@ -3,17 +3,21 @@
 Patterns with checks (parts of an address, Luhn sum, digit counts) give the base spans.  They also
 label the windows that the network learns from: at most ``SAMPLE_WINDOWS`` distinct windows, those
 with the smallest hashes.  All four kinds hold a digit or an ``@``, so the network reads every stretch of
-every whole text within ``REACH`` characters of one, as windows that overlap by half; a span is taken
-from the window in whose core its middle lies, and spans that overlap a base span, or an earlier one,
-are dropped.  Base spans always stay.
+every whole text within ``REACH`` characters of one, as windows that overlap by half.  The scores that
+overlapping windows give to a character are averaged, weighted by how much of its surroundings a window sees,
+and one best path of tags is decoded over a whole stretch, so a span may be longer than a window.  Spans that
+overlap a base span, or an earlier one, are dropped.  Base spans always stay.
 
-A null text is empty and has no spans.  Repeated rows give equal rows.
+A null text is empty and has no spans.  Repeated rows give equal rows; of equal spans one stays; null ids stay
+null; an empty table gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -113,14 +117,15 @@ def windows(text: str, starts: list[int]) -> np.ndarray:
 
 
 def labels(spans: list[tuple[int, int, int]], starts: list[int]) -> np.ndarray:
+    """Tags of every window; of spans that overlap, the later one's, as far as it reaches."""
     out = np.zeros((len(starts), WIDTH), np.int8)
-    for row, at in enumerate(starts):
-        for s, kind, e in spans:
-            if s < at + WIDTH and e > at:
-                a, b = max(s - at, 0), min(e - at, WIDTH)
-                out[row, a:b] = 2 + 2 * kind
-                if s >= at:
-                    out[row, a] = 1 + 2 * kind
+    for s, kind, e in spans:
+        for row in range(bisect.bisect_right(starts, s - WIDTH), bisect.bisect_left(starts, e)):
+            at = starts[row]
+            a, b = max(s - at, 0), min(e - at, WIDTH)
+            out[row, a:b] = 2 + 2 * kind
+            if s >= at:
+                out[row, a] = 1 + 2 * kind
     return out
 
 
@@ -242,8 +247,11 @@ class Tagger:
         return loss
 
     def tags(self, x: np.ndarray) -> np.ndarray:
-        """Best tags of (window, position) classes."""
-        e = self.emissions(x.T.astype(np.int64))
+        """Best tags of (window, position) classes, each window by itself."""
+        return self.paths(self.emissions(x.T.astype(np.int64))).T
+
+    def paths(self, e: np.ndarray) -> np.ndarray:
+        """Best tags of (position, sequence, tag) scores."""
         moves = self.p["t"] + _forbidden()
         score, back = e[0], np.zeros(e.shape, np.int8)
         for t in range(1, len(e)):
@@ -254,7 +262,46 @@ class Tagger:
         out[-1] = score.argmax(axis=1)
         for t in range(len(e) - 1, 0, -1):
             out[t - 1] = back[t][np.arange(e.shape[1]), out[t]]
-        return out.T
+        return out
+
+
+#: Weight of a window's score at each of its positions: how far the nearer end is.
+_SEEN = (np.minimum(np.arange(WIDTH), np.arange(WIDTH)[::-1]) + 1.0)[:, None]
+#: Window positions that are scored together.
+_SCORED = 1 << 18
+
+
+def stretch_tags(tagger: Tagger, x: np.ndarray, starts: list[int]) -> list[tuple[int, np.ndarray]]:
+    """(first position, tags) of each stretch of windows that overlap or touch; stretches of like length are decoded together."""
+    e = np.concatenate([tagger.emissions(x[a : a + _SCORED // WIDTH].T.astype(np.int64)).transpose(1, 0, 2) for a in range(0, len(x), _SCORED // WIDTH)])
+    at = np.array(starts, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(at) > WIDTH]))
+    until = np.append(first[1:], len(at))
+    merged = []
+    for a, b in zip(first, until, strict=True):
+        n = int(at[b - 1] - at[a]) + WIDTH
+        total, weight = np.zeros((n, TAGS)), np.zeros((n, 1))
+        for k in range(a, b):
+            here = slice(int(at[k] - at[a]), int(at[k] - at[a]) + WIDTH)
+            total[here] += e[k] * _SEEN
+            weight[here] += _SEEN
+        merged.append(total / weight)
+    out: list = [None] * len(merged)
+    order = sorted(range(len(merged)), key=lambda k: len(merged[k]))
+    while order:
+        group, size = [], 0
+        while order and (not group or (len(merged[order[0]]) <= 2 * len(merged[group[0]]) and size + len(merged[order[0]]) <= _SCORED)):
+            size += len(merged[order[0]])
+            group.append(order.pop(0))
+        longest = len(merged[group[-1]])
+        scores = np.zeros((longest, len(group), TAGS))
+        scores[:, :, 1:] = -1e4  # beyond a stretch's end, only "outside" is possible
+        for j, k in enumerate(group):
+            scores[: len(merged[k]), j] = merged[k]
+        tags = tagger.paths(scores)
+        for j, k in enumerate(group):
+            out[k] = (int(at[first[k]]), tags[: len(merged[k]), j])
+    return out
 
 
 def _plausible(kind: int, part: str) -> bool:
@@ -262,34 +309,30 @@ def _plausible(kind: int, part: str) -> bool:
     return "@" in part[1:-1] if kind == 0 else part.count(".") == 3 and digits >= 4 if kind == 1 else digits >= 12 if kind == 2 else 7 <= digits <= 15
 
 
-def reconciled(text: str, starts: list[int], tags: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Base spans and the network's, each from the window that sees most around it."""
-    found = set()
-    have = set(starts)
-    for at, row in zip(starts, tags, strict=True):
-        low = at + (WIDTH - STRIDE) // 2 if at - STRIDE in have else at
-        high = at + (WIDTH + STRIDE) // 2 if at + STRIDE in have else at + WIDTH
-        i = 0
-        while i < WIDTH:
-            if row[i] % 2 == 1:
-                kind, j = (int(row[i]) - 1) // 2, i + 1
-                while j < WIDTH and row[j] == 2 + 2 * kind:
-                    j += 1
-                s, e = at + i, min(at + j, len(text))
-                while s < e and text[s].isspace():
-                    s += 1
-                while e > s and text[e - 1].isspace():
-                    e -= 1
-                if s < e and low <= (s + e) / 2 < high and _plausible(kind, text[s:e]):
-                    found.add((s, kind, e))
-                i = j
-            else:
-                i += 1
-    taken, out = [(s, e) for s, _, e in base], list(base)
-    for s, kind, e in sorted(found):
-        if all(e <= a or s >= b for a, b in taken):
-            taken.append((s, e))
-            out.append((s, kind, e))
+def reconciled(text: str, stretches: list[tuple[int, np.ndarray]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Base spans and those of the network that overlap none, in one sweep from the left."""
+    covered: list[list[int]] = []
+    for s, _, e in base:
+        if covered and s < covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
+    out, next_, free = list(base), 0, 0
+    for at, row in stretches:
+        for i in np.flatnonzero(row % 2 == 1).tolist():
+            kind, j = (int(row[i]) - 1) // 2, i + 1
+            while j < len(row) and row[j] == 2 + 2 * kind:
+                j += 1
+            s, e = at + i, min(at + j, len(text))
+            while s < e and text[s].isspace():
+                s += 1
+            while e > s and text[e - 1].isspace():
+                e -= 1
+            while next_ < len(covered) and covered[next_][1] <= s:
+                next_ += 1
+            if free <= s < e and (next_ == len(covered) or e <= covered[next_][0]) and _plausible(kind, text[s:e]):
+                out.append((s, kind, e))
+                free = e
     return sorted(out)
 
 
@@ -297,20 +340,21 @@ def tagged(texts: list[str], tagger: Tagger | None) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text; windows of all texts are tagged together in bounded batches."""
     base = [base_spans(t) for t in texts]
     starts = [window_starts(t) if tagger else [] for t in texts]
-    out, held, rows = [], [], 0
-    for k, text in enumerate(texts):
-        held.append(k)
-        rows += len(starts[k])
-        if rows >= 4096 or k == len(texts) - 1:
+    found: list[list] = [[] for _ in texts]
+    held, rows = [], 0
+    for k in range(len(texts)):
+        if starts[k]:
+            held.append(k)
+            rows += len(starts[k])
+        if held and (rows >= 4096 or k == len(texts) - 1):
+            # Texts are laid out far enough apart that no stretch reaches from one into the next.
+            shift = np.cumsum([0, *(starts[j][-1] + 4 * WIDTH for j in held)])
             x = np.concatenate([windows(texts[j], starts[j]) for j in held])
-            tags = np.concatenate([tagger.tags(x[a : a + 4096]) for a in range(0, len(x), 4096)]) if len(x) else np.zeros((0, WIDTH), np.int8)
-            at = 0
-            for j in held:
-                n = len(starts[j])
-                out.append((base[j], reconciled(texts[j], starts[j], tags[at : at + n], base[j]) if n else base[j]))
-                at += n
+            for at, tags in stretch_tags(tagger, x, [int(d) + s for j, d in zip(held, shift, strict=False) for s in starts[j]]):
+                own = int(np.searchsorted(shift, at, "right")) - 1
+                found[held[own]].append((at - int(shift[own]), tags))
             held, rows = [], 0
-    return out
+    return [(base[k], reconciled(text, found[k], base[k]) if found[k] else base[k]) for k, text in enumerate(texts)]
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
@@ -326,9 +370,25 @@ def _labelled(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in y], pa.binary())], names=["x", "y"])
 
 
+#: Bytes of text for which one window of the sample is drawn at least, where there are so many windows.
+_DRAWN = 4096
+
+
 def learned(docs: DataFrame, text_column: str, sample: int = SAMPLE_WINDOWS) -> Tagger | None:
-    """A tagger fitted on the sample's windows; None where no text has a digit or ``@``."""
-    found = docs.select(F.col(text_column).alias("text")).mapInArrow(_labelled, "x binary, y binary").dropDuplicates(["x"])
+    """A tagger fitted on the sample's windows, the same on every run; None where no text has a digit or ``@``.
+
+    A window is drawn by its hash in the task that finds it, so only a share that shrinks with the corpus leaves a task.
+    """
+    size = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
+    share = min(1.0, sample * _DRAWN / max(size, 1))
+
+    def drawn(batches):
+        for batch in _labelled(batches):
+            keep = [zlib.crc32(x) < share * 2**32 for x in batch.column(0).to_pylist()]
+            if any(keep):
+                yield batch.filter(pa.array(keep))
+
+    found = docs.select(F.col(text_column).alias("text")).mapInArrow(drawn, "x binary, y binary").groupBy("x").agg(F.min("y").alias("y"))
     rows = found.orderBy(F.xxhash64("x"), "x").limit(sample).collect()
     if not rows:
         return None
