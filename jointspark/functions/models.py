@@ -1,128 +1,209 @@
 """Allele-frequency models over a site's genotype likelihoods.
 
 Samples with equal likelihoods are counted together before the shuffle, so a site's group holds its
-distinct likelihood triples with their numbers, not its samples; the models weigh each triple.
+distinct likelihood tuples with their numbers, not its samples; the models weigh each tuple.  Samples
+whose likelihoods say nothing are left out.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations_with_replacement
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .statistics import LN10, _digamma, _lgamma, heterozygosity_prior
+from .groups import mapped
+from .statistics import LN10, _lgamma, heterozygosity_prior, informative, log10_sum
 
+#: log10 distance below the likeliest count at which further counts are left out.
+EARLY_STOP = 6.0
 
-def grouped(df: DataFrame, keys: list[str], pl: str = "pl") -> DataFrame:
-    """(keys, p0, p1, p2, n): distinct diploid biallelic triples and how many samples have them."""
-    triple = [F.get(pl, F.lit(k)).cast("double").alias(f"p{k}") for k in range(3)]
-    return df.select(*keys, *triple).groupBy(*keys, "p0", "p1", "p2").agg(F.count("*").alias("n"))
 
-
-def _schema(df: DataFrame, keys: list[str], rest: str) -> str:
-    return ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), rest])
-
-
-def _parts(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return pdf[["p0", "p1", "p2"]].to_numpy() / -10.0, pdf["n"].to_numpy(np.float64)
+def grouped(df: DataFrame, keys: list[str], pl: str = "pl", size: int = 3, all_samples: bool = False) -> DataFrame:
+    """(keys, p0, p1, .., n): distinct likelihood tuples of informative samples and how many samples have them."""
+    given = df if all_samples else df.where(informative(F.transform(F.col(pl), lambda x: x / -10.0)))
+    tuples = [F.get(pl, F.lit(k)).cast("double").alias(f"p{k}") for k in range(size)]
+    return given.select(*keys, *tuples).groupBy(*keys, *(f"p{k}" for k in range(size))).agg(F.count("*").alias("n"))
 
 
 def frequency(gl: np.ndarray, n: np.ndarray, most: int = 100) -> float:
     """Maximum-likelihood allele frequency by expectation maximisation from a half."""
     total, af = n.sum(), 0.5
     linear = 10.0 ** (gl - gl.max(axis=1, keepdims=True))
+    before = 0.0
     for _ in range(most):
         weight = linear * np.array([(1 - af) ** 2, 2 * af * (1 - af), af * af])
         share = weight / weight.sum(axis=1, keepdims=True)
-        new = float((n * (share[:, 1] + 2 * share[:, 2])).sum() / (2 * total))
-        moved, af = abs(new - af), new
-        if moved < 1 / (200 * total) or af < 1 / (10 * total):
+        af = float((n * (share[:, 1] + 2 * share[:, 2])).sum() / (2 * total))
+        if abs(af - before) < 1 / (200 * total) or af < 1 / (10 * total):
             break
+        before = af
     return af
 
 
 def frequencies(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, af)."""
-    rows = grouped(df, keys)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        gl, n = _parts(pdf)
-        return pd.DataFrame([(*key, int(n.sum()), frequency(gl, n))])
+    def run(p0, p1, p2, n):
+        return int(n.sum()), frequency(np.column_stack([p0, p1, p2]) / -10.0, n.astype(np.float64))
 
-    return rows.groupBy(*keys).applyInPandas(run, _schema(rows, keys, "n long, af double"))
+    return mapped(grouped(df, keys), keys, run, ["p0", "p1", "p2", "n"], "n long, af double", ["p0", "p1", "p2"])
 
 
-def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Convolution of two arrays of natural logarithms; no term underflows, however far from the peak."""
+def _times(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Convolution of two arrays of natural logarithms up to index ``most``; no term underflows, however far from the peak."""
     if len(a) < len(b):
         a, b = b, a
-    out = np.full(len(a) + len(b) - 1, -np.inf)
-    for k, x in enumerate(b):
+    size = min(len(a) + len(b) - 1, most + 1)
+    out = np.full(size, -np.inf)
+    for k, x in enumerate(b[:size]):
         part = out[k : k + len(a)]
-        np.logaddexp(part, a + x, out=part)
+        np.logaddexp(part, a[: len(part)] + x, out=part)
     return out
 
 
-def count_likelihoods(gl: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """log10 likelihood of every alternate allele count; equal samples are raised to their number by squaring."""
+def count_likelihoods(gl: np.ndarray, n: np.ndarray, most: int | None = None) -> np.ndarray:
+    """log10 likelihood of alternate allele counts up to ``most``; equal samples are raised to their number by squaring."""
+    copies = 2 * int(n.sum())
+    most = copies if most is None else min(most, copies)
     level: list[np.ndarray] = []
     for row, often in zip(gl, n.astype(int), strict=True):
         square, power = row * LN10 + np.array([0.0, math.log(2), 0.0]), None
         while often:
             if often & 1:
-                power = square if power is None else _times(power, square)
+                power = square if power is None else _times(power, square, most)
             often >>= 1
             if often:
-                square = _times(square, square)
+                square = _times(square, square, most)
         level.append(power)
     while len(level) > 1:
-        level = [_times(*level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-    values = level[0]
-    copies = len(values) - 1
-    lg, k = _lgamma(copies), np.arange(copies + 1)
+        level = [_times(*level[k : k + 2], most) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+    values = level[0][: most + 1]
+    lg, k = _lgamma(copies), np.arange(len(values))
     return (values - (lg[copies] - lg[k] - lg[copies - k])) / LN10
 
 
+def _sum10(x: np.ndarray) -> float:
+    top = float(x.max())
+    return top + math.log10(float(np.sum(10.0 ** (x - top)))) if top > -math.inf else top
+
+
+def exact_site(gl: np.ndarray, n: np.ndarray, theta: float) -> tuple[float, float, float, float, int]:
+    """(log10 likelihoods of no and of some alternate copy, log10 priors of both, likeliest count).
+
+    The expectation-maximisation estimate says how many counts are worth a first look; more are taken until one at
+    or above the likeliest lies ``EARLY_STOP`` below it.
+    """
+    copies = 2 * int(n.sum())
+    count = frequency(gl, n) * copies
+    most = min(copies, int(count + 6 * math.sqrt(copies) + 32))
+    while True:
+        likelihood = count_likelihoods(gl, n, most)
+        if most == copies or likelihood[-1] < likelihood.max() - EARLY_STOP:
+            break
+        most = min(copies, 2 * most)
+    mle = int(likelihood.argmax())
+    low = np.flatnonzero(likelihood[mle:] < likelihood[mle] - EARLY_STOP)
+    if len(low):
+        likelihood = likelihood[: mle + low[0] + 1]
+    prior = heterozygosity_prior(theta, copies)
+    return float(likelihood[0]), _sum10(likelihood[1:]) if len(likelihood) > 1 else -math.inf, float(prior[0]), _sum10(prior[1:]), mle
+
+
 def exact(df: DataFrame, keys: list[str], theta: float) -> DataFrame:
-    """(keys, n, qual, mle_ac): phred probability of no alternate allele, and the likeliest count."""
-    rows = grouped(df, keys)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        gl, n = _parts(pdf)
-        likelihood = count_likelihoods(gl, n)
-        prior = heterozygosity_prior(theta, len(likelihood) - 1)
-        top = likelihood[1:].max()
-        none = likelihood[0] + prior[0]
-        some = top + math.log10(np.sum(10.0 ** (likelihood[1:] - top))) + math.log10(np.sum(10.0 ** prior[1:]))
-        most = max(none, some)
-        both = most + math.log10(10.0 ** (none - most) + 10.0 ** (some - most))
-        return pd.DataFrame([(*key, int(n.sum()), -10 * (none - both), int(likelihood.argmax()))])
-
-    return rows.groupBy(*keys).applyInPandas(run, _schema(rows, keys, "n long, qual double, mle_ac long"))
-
-
-def dirichlet(df: DataFrame, keys: list[str], pseudo: list[float], most: int = 50) -> DataFrame:
-    """(keys, n, alt_count, qual) under a Dirichlet prior on the two alleles' frequencies, iterated until counts move by at most 0.1."""
-    rows, prior = grouped(df, keys), np.array(pseudo)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        gl, n = _parts(pdf)
-        double = np.array([0.0, math.log10(2), 0.0])
-        counts = np.zeros(2)
-        for _ in range(most):
-            w = (_digamma(prior + counts) - _digamma(np.array([(prior + counts).sum()]))) / LN10
-            post = gl + double + np.array([2 * w[0], w[0] + w[1], 2 * w[1]])
-            post = 10.0 ** (post - post.max(axis=1, keepdims=True))
-            post /= post.sum(axis=1, keepdims=True)
-            per = (n[:, None] * post).sum(axis=0)
-            new = np.array([2 * per[0] + per[1], per[1] + 2 * per[2]])
-            moved, counts = np.abs(new - counts).max(), new
-            if moved <= 0.1:
-                break
-        qual = -10 * (n * np.log10(np.maximum(post[:, 0], 1e-300))).sum()
-        return pd.DataFrame([(*key, int(n.sum()), float(counts[1]), float(qual))])
-
-    return rows.groupBy(*keys).applyInPandas(run, _schema(rows, keys, "n long, alt_count double, qual double"))
+    """(keys, n, l0, l1, prior0, prior1, mle_ac, qual): the site's exact model and the phred probability of no alternate allele."""
+
+    def run(p0, p1, p2, n):
+        return (int(n.sum()), *exact_site(np.column_stack([p0, p1, p2]) / -10.0, n.astype(np.float64), theta))
+
+    out = mapped(grouped(df, keys), keys, run, ["p0", "p1", "p2", "n"], "n long, l0 double, l1 double, prior0 double, prior1 double, mle_ac long", ["p0", "p1", "p2"])
+    return out.withColumn("qual", -10 * log10_none(*(F.col(c) for c in ("l0", "l1", "prior0", "prior1"))))
+
+
+def log10_none(l0: Column, l1: Column, prior0: Column, prior1: Column) -> Column:
+    """log10 posterior of no alternate copy, stable where it is far below -300."""
+    none, some = l0 + prior0, l1 + prior1
+    return none - log10_sum(F.array(none, some))
+
+
+def genotype_order(alleles: int, ploidy: int = 2) -> list[tuple[int, ...]]:
+    """Genotypes in likelihood order: by their largest allele, then the next."""
+    return sorted(combinations_with_replacement(range(alleles), ploidy), key=lambda g: g[::-1])
+
+
+def collapsed(pl: Column, alleles: int, allele: int | None) -> Column:
+    """Biallelic phred values of a diploid array: one alternate allele against all others, or with None REF against all alternates."""
+
+    def pooled(test) -> Column:
+        chosen = [F.get(pl, F.lit(k)) / -10.0 for k, g in enumerate(genotype_order(alleles)) if test(g)]
+        return -10 * (log10_sum(F.array(*chosen)) if len(chosen) > 1 else chosen[0])
+
+    has = (lambda g: sum(a == allele for a in g)) if allele is not None else (lambda g: sum(a > 0 for a in g))
+    return F.array(*(pooled(lambda g, k=k: has(g) == k) for k in range(3)))
+
+
+def independent(df: DataFrame, keys: list[str], alleles: int, theta: float, pl: str = "pl") -> DataFrame:
+    """(keys, allele, qual, mle_ac, log10_absent): each alternate allele against the rest, and the site's quality.
+
+    Alleles are sorted by the probability that they occur; the i-th one's prior is the i-th power of a single one's.
+    The site's quality is that of all alternate alleles together, under the single prior.
+    """
+    informed = df.where(informative(F.transform(F.col(pl), lambda x: x / -10.0)))
+    choices = [*range(1, alleles), None] if alleles > 2 else [1]
+    rows = informed.select(*keys, F.explode(F.array(*(F.struct(F.lit(c or 0).alias("allele"), collapsed(F.col(pl), alleles, c).alias("pl")) for c in choices))).alias("c")).select(*keys, "c.*")
+    found = exact(rows, [*keys, "allele"], theta)
+    none = log10_none(*(F.col(c) for c in ("l0", "l1", "prior0", "prior1")))
+    whole = found.where("allele = 0" if alleles > 2 else "allele = 1").select(*keys, "qual")
+    each = found.where("allele > 0").withColumn("_none", none).withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_none", "allele")))
+    prior1 = F.col("_rank") * (F.col("prior1") - log10_sum(F.array("prior0", "prior1")))
+    prior0 = F.log10(1 - F.pow(F.lit(10.0), prior1))
+    absent = log10_none(F.col("l0"), F.col("l1"), prior0, prior1) if alleles > 2 else F.col("_none")
+    return each.withColumn("log10_absent", absent).select(*keys, "allele", "mle_ac", "log10_absent").join(whole, keys)
+
+
+def plausible(log10_absent: Column, confidence: float = 30.0) -> Column:
+    """Whether an allele's absence is less probable than the confidence allows."""
+    return log10_absent + 1e-10 < -confidence / 10
+
+
+def dirichlet_site(gl: np.ndarray, n: np.ndarray, pseudo: np.ndarray, star: int | None = None, most: int = 1000) -> tuple[np.ndarray, float]:
+    """(allele counts, log10 probability of no variant) under a Dirichlet prior, from a flat start.
+
+    ``gl`` has a column for each diploid genotype.  Counts are expected under the mean weights and iterated until none
+    moves by more than 0.1.  Genotypes of REF and ``star``, the spanning deletion, alone are no variants.
+    """
+    alleles = len(pseudo)
+    order = genotype_order(alleles)
+    copies = np.array([[g.count(a) for a in range(alleles)] for g in order], float)
+    ways = np.log10([1 + (g[0] != g[1]) for g in order])
+    weights, counts = np.full(alleles, -math.log10(alleles)), np.zeros(alleles)
+    for _ in range(most):
+        post = gl + ways + copies @ weights
+        post = 10.0 ** (post - post.max(axis=1, keepdims=True))
+        post /= post.sum(axis=1, keepdims=True)
+        new = n @ post @ copies
+        moved, counts = np.abs(new - counts).max(), new
+        alpha = pseudo + counts
+        weights = np.log10(alpha) - math.log10(alpha.sum())
+        if moved <= 0.1:
+            break
+    final = gl + ways + copies @ weights
+    quiet = [k for k, g in enumerate(order) if set(g) <= {0, star}]
+    total = np.array([_sum10(row) for row in final])
+    none = np.array([_sum10(row) for row in final[:, quiet]])
+    return counts, float(n @ np.minimum(none - total, 0))
+
+
+def dirichlet(df: DataFrame, keys: list[str], pseudo: list[float], pl: str = "pl", star: int | None = None) -> DataFrame:
+    """(keys, n, alt_count, qual): samples, expected copies of all alternate alleles, phred probability of no variant."""
+    size = len(genotype_order(len(pseudo)))
+    names = [f"p{k}" for k in range(size)]
+
+    def run(*columns):
+        n = columns[-1].astype(np.float64)
+        counts, none = dirichlet_site(np.column_stack(columns[:-1]) / -10.0, n, np.array(pseudo), star)
+        return int(n.sum()), float(counts[1:].sum()), -10 * none
+
+    return mapped(grouped(df, keys, pl, size, all_samples=True), keys, run, [*names, "n"], "n long, alt_count double, qual double", names)

@@ -56,11 +56,10 @@ def strand_odds(rf: Column, rr: Column, af: Column, ar: Column) -> Column:
     return F.log(ratio + 1 / ratio) + F.log(F.least(a, b) / F.greatest(a, b)) - F.log(F.least(c, d) / F.greatest(c, d))
 
 
-def inbreeding(ref: Column, het: Column, hom: Column) -> Column:
-    """1 - observed over expected heterozygotes."""
-    n = ref + het + hom
-    p = (2 * ref + het) / (2 * n)
-    return 1 - het / (2 * p * (1 - p) * n)
+def inbreeding(ref: Column, het: Column, hom: Column, samples: Column) -> Column:
+    """1 - observed over expected heterozygotes, from soft counts and the number of samples."""
+    p = (2 * ref + het) / (2 * (ref + het + hom))
+    return 1 - het / (2 * p * (1 - p) * samples)
 
 
 def _lgamma(n: int) -> np.ndarray:
@@ -79,41 +78,79 @@ def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
     return float(min(1.0, p[p <= p[a - x[0]] * (1 + 1e-7)].sum()))
 
 
-def scaled_table(a: int, b: int, c: int, d: int, most: int = 400) -> tuple[int, int, int, int]:
-    """The table shrunk in proportion so that its sum is at most ``most``."""
+#: A strand table whose sum is over twice this is shrunk to about it.
+TABLE_SUM = 200.0
+
+
+def scaled_table(a: int, b: int, c: int, d: int) -> tuple[int, int, int, int]:
+    """The table, or if it sums to over twice ``TABLE_SUM`` its cells shrunk in proportion and cut to whole numbers."""
     n = a + b + c + d
-    return (a, b, c, d) if n <= most else tuple(int(x * most / n) for x in (a, b, c, d))
+    return (a, b, c, d) if n <= 2 * TABLE_SUM else tuple(int(x / (n / TABLE_SUM)) for x in (a, b, c, d))
+
+
+def fisher_tables(tables: np.ndarray) -> np.ndarray:
+    """Two-sided P of many tables (a, b, c, d) at once: every table's margins are laid out beside one another."""
+    a, b, c, d = tables.T.astype(np.int64)
+    n, r, k = a + b + c + d, a + b, a + c
+    low, high = np.maximum(0, r + k - n), np.minimum(r, k)
+    size = high - low + 1
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    row = np.repeat(np.arange(len(a)), size)
+    x = np.arange(size.sum()) - first[row] + low[row]
+    lg = _lgamma(int(n.max(initial=0)))
+    logs = (lg[r] + lg[n - r] + lg[k] + lg[n - k] - lg[n])[row] - lg[x] - lg[r[row] - x] - lg[k[row] - x] - lg[(n - r - k)[row] + x]
+    p = np.exp(logs)
+    own = p[first + a - low]
+    return np.minimum(1.0, np.bincount(row, np.where(p <= own[row] * (1 + 1e-7), p, 0.0), len(a)))
 
 
 @F.pandas_udf(T.DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    known: dict[tuple, float] = {}
-    out = []
-    for t in zip(a, b, c, d, strict=True):
-        if t not in known:
-            known[t] = fisher_two_sided(*scaled_table(*map(int, t)))
-        out.append(known[t])
-    return pd.Series(out)
+    """Two-sided P of strand tables after :func:`scaled_table`; distinct tables of a batch are computed once, in pieces of bounded size."""
+    table = np.column_stack([x.to_numpy(np.int64) for x in (a, b, c, d)])
+    n = table.sum(axis=1, keepdims=True)
+    table = np.where(n <= 2 * TABLE_SUM, table, (table / (np.maximum(n, 1) / TABLE_SUM)).astype(np.int64))
+    unique, back = np.unique(table, axis=0, return_inverse=True)
+    p = np.concatenate([fisher_tables(unique[k : k + 4096]) for k in range(0, len(unique), 4096)]) if len(unique) else np.zeros(0)
+    return pd.Series(p[back.reshape(-1)])
+
+
+#: Shares of the modal probability below this are dropped, and what has no probability left is reported as this quality.
+EXCESS_CUT, EXCESS_MOST = 1e-16, 160.0
 
 
 def hardy_weinberg_excess(het: int, ref: int, hom: int) -> float:
-    """Mid-p of at least ``het`` heterozygotes under exact Hardy-Weinberg proportions."""
+    """Mid-p of at least ``het`` heterozygotes under exact Hardy-Weinberg proportions.
+
+    Counts of heterozygotes whose probability is under ``EXCESS_CUT`` times that near the mode count as impossible.
+    """
     n = het + ref + hom
     rare = 2 * min(ref, hom) + het
     if rare <= 1:
         return 0.5
     h = np.arange(rare % 2, rare + 1, 2)
-    lg = _lgamma(2 * n)
+    lg = _lgamma(n)
     low = (rare - h) // 2
-    logs = lg[n] - lg[low] - lg[h] - lg[n - h - low] + h * math.log(2)
-    p = np.exp(logs - logs.max())
-    p /= p.sum()
-    return float(p[h > het].sum() + p[h == het].sum() / 2)
+    logs = h * math.log(2) - lg[low] - lg[h] - lg[n - h - low]
+    middle = int(rare * (2.0 * n - rare) / (2.0 * n - 1.0))
+    middle = min(middle + (middle % 2 != rare % 2), rare)
+    p = np.exp(logs - logs[(middle - rare % 2) // 2])
+    p[p < EXCESS_CUT] = 0
+    return float((p[h > het].sum() + p[h == het].sum() / 2) / p.sum())
 
 
 @F.pandas_udf(T.DoubleType())
 def excess_het_p(het: pd.Series, ref: pd.Series, hom: pd.Series) -> pd.Series:
-    return pd.Series([hardy_weinberg_excess(*map(int, t)) for t in zip(het, ref, hom, strict=True)])
+    known: dict[tuple, float] = {}
+    rows = list(zip(map(int, het), map(int, ref), map(int, hom), strict=True))
+    for t in set(rows):
+        known[t] = hardy_weinberg_excess(*t)
+    return pd.Series([known[t] for t in rows])
+
+
+def excess_het(p: Column) -> Column:
+    """Phred quality of :data:`excess_het_p`."""
+    return F.when(p < 1e-59, EXCESS_MOST).otherwise(-10 * F.log10(p))
 
 
 def heterozygosity_prior(theta: float, copies: int) -> np.ndarray:

@@ -44,12 +44,26 @@ def hard_counts(df: DataFrame, keys: list[str], pl: str = "pl") -> DataFrame:
     return df.groupBy(*keys).agg(*(F.count_if(g == k).alias(n) for k, n in enumerate(("n_ref", "n_het", "n_hom"))))
 
 
+def rounded_counts(df: DataFrame, keys: list[str], pl: str = "pl") -> DataFrame:
+    """(keys, n_ref, n_het, n_hom, n): each genotype's share of a sample's likelihood, rounded; a sample that knows none counts in n only."""
+    shares = _shares(pl)
+    whole = lambda k: F.sum(F.floor(F.get(shares, F.lit(k)) + 0.5))
+    return df.groupBy(*keys).agg(*(whole(k).alias(c) for k, c in enumerate(("n_ref", "n_het", "n_hom"))), F.count("*").alias("n"))
+
+
+def _shares(pl: str) -> Column:
+    least = F.array_min(pl)
+    linear = F.transform(F.col(pl), lambda x: F.pow(F.lit(10.0), (least - x) / 10.0))
+    return F.transform(linear, lambda x: x / F.aggregate(linear, F.lit(0.0), lambda a, y: a + y))
+
+
 def soft_counts(df: DataFrame, keys: list[str], pl: str = "pl") -> DataFrame:
-    """(keys, ref, het, hom): summed shares of normalised linear likelihoods."""
+    """(keys, ref, het, hom, n): summed shares of normalised linear likelihoods, and samples."""
     least = F.array_min(pl)
     linear = F.transform(F.col(pl), lambda x: F.pow(F.lit(10.0), (least - x) / 10.0))
     total = F.aggregate(linear, F.lit(0.0), lambda a, x: a + x)
-    return df.withColumn("_l", linear).withColumn("_t", total).groupBy(*keys).agg(*(F.sum(F.get("_l", F.lit(k)) / F.col("_t")).alias(n) for k, n in enumerate(("ref", "het", "hom"))))
+    sums = (F.sum(F.get("_l", F.lit(k)) / F.col("_t")).alias(n) for k, n in enumerate(("ref", "het", "hom")))
+    return df.withColumn("_l", linear).withColumn("_t", total).groupBy(*keys).agg(*sums, F.count("*").alias("n"))
 
 
 def strand_table(df: DataFrame, keys: list[str], alternate: Column, reverse: Column) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..functions.groups import changes, whole
 from . import intervals
 
 
@@ -50,7 +50,7 @@ def latest_pieces(records: DataFrame, ties: list[str], size: int = intervals.BIN
 
     def painted(table: pa.Table):
         start, end, at = (table.column(c).to_numpy() for c in ("start", "end", "bin"))
-        bounds = np.append(_changes(table, keys), table.num_rows)
+        bounds = np.append(changes(table, keys), table.num_rows)
         low, high = np.maximum(start - at * size, 0), np.minimum(end - at * size, size - 1) + 1
         rows, first, last = [], [], []
         for a, b in zip(bounds, bounds[1:], strict=False):
@@ -68,41 +68,13 @@ def latest_pieces(records: DataFrame, ties: list[str], size: int = intervals.BIN
         return kept.append_column("first", pa.array(np.concatenate(first))).append_column("last", pa.array(np.concatenate(last)))
 
     def run(batches):
-        for table in _whole(batches, keys):
+        for table in whole(batches, keys):
             yield from painted(table).to_batches()
 
     schema = StructType([*records.schema.fields, StructField("first", LongType()), StructField("last", LongType())])
     return cut.mapInArrow(run, schema)
 
 
-def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:
-    """First row of every run of equal keys."""
-    new = np.zeros(table.num_rows, bool)
-    new[:1] = True
-    for c in keys:
-        column = table.column(c).combine_chunks()
-        later, earlier = column.slice(1), column.slice(0, table.num_rows - 1)
-        differ = pc.fill_null(pc.not_equal(later, earlier), False)
-        new[1:] |= pc.or_(differ, pc.xor(pc.is_null(later), pc.is_null(earlier))).to_numpy(zero_copy_only=False)
-    return np.flatnonzero(new)
-
-
-def _whole(batches, keys: list[str]):
-    """Tables that end where a run of equal keys does."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-        cut = int(_changes(held, keys)[-1])
-        if cut:
-            yield held.slice(0, cut)
-            held = held.slice(cut)
-    if held is not None:
-        yield held
-
-
 def all_sites(sites: DataFrame, per_site: DataFrame) -> DataFrame:
     """Every site, with nulls where no record lies."""
     return sites.join(per_site, ["contig", "pos"], "left")

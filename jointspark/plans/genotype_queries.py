@@ -95,12 +95,18 @@ def ac_an_af(spark, d):
     return gt.allele_counts(genotypes(spark, d), ["site"]).withColumn("af", rounded(F.col("af")))
 
 
-@query("q22_genotype_counts", f"WITH {GT}, {HARD} SELECT * FROM h")
+SOFT = "l AS (SELECT site, l_returnflag, pow(10, (least(p0, p1, p2) - p0) / 10.0) AS a, pow(10, (least(p0, p1, p2) - p1) / 10.0) AS b, pow(10, (least(p0, p1, p2) - p2) / 10.0) AS c FROM gt)"
+ROUNDED = f"{SOFT}, h AS (SELECT site, CAST(sum(floor(a / (a + b + c) + 0.5)) AS BIGINT) AS n_ref, CAST(sum(floor(b / (a + b + c) + 0.5)) AS BIGINT) AS n_het, CAST(sum(floor(c / (a + b + c) + 0.5)) AS BIGINT) AS n_hom, count(*) AS n_samples FROM l GROUP BY site)"
+
+
+@query("q22_genotype_counts", f"WITH {GT}, {ROUNDED} SELECT site, n_ref, n_het, n_hom FROM h")
 def genotype_counts(spark, d):
-    return gt.hard_counts(genotypes(spark, d), ["site"])
+    return gt.rounded_counts(genotypes(spark, d), ["site"]).drop("n")
 
 
-SOFT = "l AS (SELECT site, pow(10, (least(p0, p1, p2) - p0) / 10.0) AS a, pow(10, (least(p0, p1, p2) - p1) / 10.0) AS b, pow(10, (least(p0, p1, p2) - p2) / 10.0) AS c FROM gt)"
+@query("q22_likeliest_genotypes", f"WITH {GT}, {HARD} SELECT * FROM h")
+def likeliest_genotypes(spark, d):
+    return gt.hard_counts(genotypes(spark, d), ["site"])
 
 
 @query("q22_soft_counts", f"WITH {GT}, {SOFT} SELECT site, {r('sum(a / (a + b + c))')} AS ref, {r('sum(b / (a + b + c))')} AS het, {r('sum(c / (a + b + c))')} AS hom FROM l GROUP BY site")
@@ -108,20 +114,23 @@ def soft_counts(spark, d):
     return gt.soft_counts(genotypes(spark, d), ["site"]).select("site", *(rounded(F.col(c)).alias(c) for c in ("ref", "het", "hom")))
 
 
-INBRED = r("1 - n_het / (2 * ((2 * n_ref + n_het) / (2.0 * (n_ref + n_het + n_hom))) * (1 - (2 * n_ref + n_het) / (2.0 * (n_ref + n_het + n_hom))) * (n_ref + n_het + n_hom))")
-VARIES = "2 * n_ref + n_het > 0 AND 2 * n_hom + n_het > 0 AND n_ref + n_het + n_hom >= 10"
+#: 1 - het / (2 p q n) of summed shares, with the number of samples.
+INBRED = r("1 - het / (2 * ((2 * ref + het) / (2.0 * (ref + het + hom))) * (1 - (2 * ref + het) / (2.0 * (ref + het + hom))) * n)")
+SUMS = "h AS (SELECT {keys}, sum(a / (a + b + c)) AS ref, sum(b / (a + b + c)) AS het, sum(c / (a + b + c)) AS hom, count(*) AS n FROM l GROUP BY ALL)"
+
+
+def _inbreeding(h, *keys):
+    return h.where("n >= 10").select(*keys, rounded(st.inbreeding(*(F.col(c) for c in ("ref", "het", "hom")), F.col("n"))).alias("f"))
 
 
-@query("q23_inbreeding_coeff", f"WITH {GT}, {HARD} SELECT site, {INBRED} AS f FROM h WHERE {VARIES}")
+@query("q23_inbreeding_coeff", f"WITH {GT}, {SOFT}, {SUMS.format(keys='site')} SELECT site, {INBRED} AS f FROM h WHERE n >= 10")
 def inbreeding_coeff(spark, d):
-    h = gt.hard_counts(genotypes(spark, d), ["site"]).where(VARIES)
-    return h.select("site", rounded(st.inbreeding(*(F.col(c).cast("double") for c in ("n_ref", "n_het", "n_hom")))).alias("f"))
+    return _inbreeding(gt.soft_counts(genotypes(spark, d), ["site"]), "site")
 
 
-@query("q23_as_inbreeding", f"WITH {GT}, h AS (SELECT site, l_returnflag AS allele, count(*) FILTER ({BEST} = 0) AS n_ref, count(*) FILTER ({BEST} = 1) AS n_het, count(*) FILTER ({BEST} = 2) AS n_hom FROM gt GROUP BY ALL) SELECT site, allele, {INBRED} AS f FROM h WHERE {VARIES}")
+@query("q23_as_inbreeding", f"WITH {GT}, {SOFT}, {SUMS.format(keys='site, l_returnflag')} SELECT site, l_returnflag AS allele, {INBRED} AS f FROM h WHERE n >= 10")
 def as_inbreeding(spark, d):
-    h = gt.hard_counts(genotypes(spark, d).withColumnRenamed("l_returnflag", "allele"), ["site", "allele"]).where(VARIES)
-    return h.select("site", "allele", rounded(st.inbreeding(*(F.col(c).cast("double") for c in ("n_ref", "n_het", "n_hom")))).alias("f"))
+    return _inbreeding(gt.soft_counts(genotypes(spark, d).withColumnRenamed("l_returnflag", "allele"), ["site", "allele"]), "site", "allele")
 
 
 def _strands(spark, d, *keys):
@@ -150,8 +159,8 @@ def as_sor(spark, d):
 
 @query(
     "q25_fisher_strand",
-    f"""WITH {GT}, {STRANDS}, z AS (SELECT site, CASE WHEN rf + rr + af + ar > 400 THEN rf * 400 // (rf + rr + af + ar) ELSE rf END AS a, CASE WHEN rf + rr + af + ar > 400 THEN rr * 400 // (rf + rr + af + ar) ELSE rr END AS b,
-    CASE WHEN rf + rr + af + ar > 400 THEN af * 400 // (rf + rr + af + ar) ELSE af END AS c, CASE WHEN rf + rr + af + ar > 400 THEN ar * 400 // (rf + rr + af + ar) ELSE ar END AS d FROM s),
+    f"""WITH {GT}, {STRANDS}, y AS (SELECT *, greatest(CAST(rf + rr + af + ar AS DOUBLE) / 200, 1) AS shrink, rf + rr + af + ar > 400 AS large FROM s),
+  z AS (SELECT site, CASE WHEN large THEN CAST(floor(rf / shrink) AS BIGINT) ELSE rf END AS a, CASE WHEN large THEN CAST(floor(rr / shrink) AS BIGINT) ELSE rr END AS b, CASE WHEN large THEN CAST(floor(af / shrink) AS BIGINT) ELSE af END AS c, CASE WHEN large THEN CAST(floor(ar / shrink) AS BIGINT) ELSE ar END AS d FROM y),
   x AS (SELECT *, unnest(range(greatest(0, b * 0 + a + b + a + c - (a + b + c + d)), least(a + b, a + c) + 1)) AS x FROM z),
   l AS (SELECT *, exp(lgamma(a + b + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) + lgamma(c + d + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) - lgamma(a + b + c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1)) AS p FROM x),
   o AS (SELECT *, max(p) FILTER (x = a) OVER (PARTITION BY site) AS own FROM l)
@@ -164,17 +173,18 @@ def fisher_strand(spark, d):
 
 @query(
     "q26_excess_het",
-    f"""WITH {GT}, {HARD}, n AS (SELECT *, n_ref + n_het + n_hom AS n, 2 * least(n_ref, n_hom) + n_het AS rare FROM h),
-  x AS (SELECT *, unnest(range(rare % 2, rare + 1, 2)) AS x FROM n),
-  l AS (SELECT *, lgamma(n + 1) - lgamma((rare - x) // 2 + 1) - lgamma(x + 1) - lgamma(n - x - (rare - x) // 2 + 1) + x * ln(2) AS l FROM x),
-  p AS (SELECT *, exp(l - max(l) OVER (PARTITION BY site)) AS p FROM l),
+    f"""WITH {GT}, {ROUNDED}, n AS (SELECT *, n_ref + n_het + n_hom AS n, 2 * least(n_ref, n_hom) + n_het AS rare FROM h),
+  w AS (SELECT *, CASE WHEN n > 0 THEN CAST(floor(rare * (2.0 * n - rare) / (2.0 * n - 1.0)) AS BIGINT) ELSE 0 END AS middle FROM n),
+  x AS (SELECT *, least(middle + abs(middle - rare) % 2, rare) AS mode, unnest(range(rare % 2, rare + 1, 2)) AS x FROM w),
+  g AS (SELECT *, lgamma(n + 1) - lgamma((rare - x) // 2 + 1) - lgamma(x + 1) - lgamma(n - x - (rare - x) // 2 + 1) + x * ln(2) AS l FROM x),
+  e AS (SELECT *, exp(l - max(l) FILTER (x = mode) OVER (PARTITION BY site)) AS e FROM g), p AS (SELECT *, CASE WHEN e < 1e-16 THEN 0 ELSE e END AS p FROM e),
   m AS (SELECT site, any_value(rare) AS rare, (coalesce(sum(p) FILTER (x > n_het), 0) + coalesce(sum(p) FILTER (x = n_het), 0) / 2) / sum(p) AS mid FROM p GROUP BY site)
 SELECT site, CASE WHEN rare <= 1 THEN {r("-10 * log10(0.5)")} WHEN mid < 1e-59 THEN 160.0 ELSE {r("-10 * log10(mid)")} END AS excess_het FROM m""",
 )
 def excess_het(spark, d):
-    h = gt.hard_counts(genotypes(spark, d), ["site"])
+    h = gt.rounded_counts(genotypes(spark, d), ["site"])
     p = h.select("site", st.excess_het_p("n_het", "n_ref", "n_hom").alias("p"))
-    return p.select("site", F.when(F.col("p") < 1e-59, 160.0).otherwise(rounded(-10 * F.log10("p"))).alias("excess_het"))
+    return p.select("site", rounded(st.excess_het(F.col("p"))).alias("excess_het"))
 
 
 @query("q27_rms_mq", f"WITH {GT} SELECT site, {r('sqrt(CAST(sum(dp * dp) AS DOUBLE) / count(*))')} AS mq FROM gt GROUP BY site")
@@ -224,17 +234,70 @@ def gt_assign(spark, d):
     return g.groupBy("site", "genotype").agg(F.count("*").alias("n"), F.sum("gq").cast("long").alias("sum_gq"))
 
 
-@query("q32_em_af")
+GL = f"gl AS (SELECT site, -p0 / 10.0 AS g0, -p1 / 10.0 AS g1, -p2 / 10.0 AS g2, row_number() OVER (PARTITION BY site) AS k FROM gt WHERE {CALLED})"
+LINEAR = "lin AS (SELECT site, k, pow(10, g0) AS a, pow(10, g1) AS b, pow(10, g2) AS c FROM gl)"
+
+
+@query(
+    "q32_em_af",
+    f"""WITH RECURSIVE {GT}, {GL}, {LINEAR}, s AS (SELECT site, count(*) AS n FROM lin GROUP BY 1),
+  em(site, step, af, last) AS (SELECT site, 0, CAST(0.5 AS DOUBLE), CAST(0 AS DOUBLE) FROM s
+    UNION ALL SELECT em.site, em.step + 1, sum((b * 2 * af * (1 - af) + 2 * c * af * af) / (a * (1 - af) * (1 - af) + b * 2 * af * (1 - af) + c * af * af)) / (2 * any_value(n)), af
+    FROM em JOIN lin USING (site) JOIN s USING (site) WHERE step < 100 AND (step = 0 OR NOT (abs(af - last) < 1.0 / (200 * n) OR af < 1.0 / (10 * n))) GROUP BY em.site, em.step, em.af, em.last)
+SELECT site, n, {r('arg_max(af, step)')} AS af FROM em JOIN s USING (site) GROUP BY site, n""",
+)
 def em_af(spark, d):
     return models.frequencies(genotypes(spark, d), ["site"]).select("site", "n", rounded(F.col("af")).alias("af"))
 
 
-@query("q33_exact_af_qual")
+#: log10 likelihoods of no and some alternate copies by adding one sample at a time, values scaled by their largest.
+EXACT = """s AS (SELECT site, count(*) AS n, sum(g0) AS l0 FROM gl GROUP BY 1),
+  z(site, k, v, shift) AS (SELECT site, 0, [CAST(1 AS DOUBLE)], CAST(0 AS DOUBLE) FROM s
+    UNION ALL SELECT site, k, list_transform(w, lambda x: x / list_max(w)), shift + log10(list_max(w)) FROM (
+      SELECT z.site, z.k + 1 AS k, shift, [coalesce(v[i], 0) * a + CASE WHEN i > 1 THEN coalesce(v[i - 1], 0) * 2 * b ELSE 0 END + CASE WHEN i > 2 THEN v[i - 2] * c ELSE 0 END FOR i IN range(1, len(v) + 3)] AS w
+      FROM z JOIN lin ON lin.site = z.site AND lin.k = z.k + 1)),
+  f AS (SELECT z.site, n, l0, v, shift FROM z JOIN s ON s.site = z.site AND s.n = z.k),
+  c AS (SELECT site, n, l0, i, log10(v[i + 1]) + shift - (lgamma(2 * n + 1) - lgamma(i + 1) - lgamma(2 * n - i + 1)) / ln(10) AS l FROM (SELECT *, unnest(range(0, 2 * n + 1)) AS i FROM f) WHERE v[i + 1] > 0),
+  m AS (SELECT site, n, any_value(l0) AS l0, max(l) AS top, arg_max(i, l) AS mle FROM c GROUP BY site, n),
+  t AS (SELECT c.site, m.top + log10(sum(pow(10, c.l - m.top)) FILTER (c.i > 0)) AS l1 FROM c JOIN m USING (site) GROUP BY c.site, m.top),
+  p AS (SELECT m.site, m.n, m.l0, t.l1, m.mle, log10(1 - 0.001 * h) AS prior0, log10(0.001 * h) AS prior1 FROM m JOIN t USING (site) JOIN (SELECT n, sum(1.0 / CAST(j AS DOUBLE)) AS h FROM (SELECT n, unnest(range(1, 2 * n + 1)) AS j FROM (SELECT DISTINCT n FROM s)) GROUP BY n) USING (n))"""
+LOG_SUM = "greatest({0}, {1}) + log10(1 + pow(10, least({0}, {1}) - greatest({0}, {1})))"
+
+
+@query(
+    "q33_exact_af_qual",
+    f"""WITH RECURSIVE {GT}, {GL}, {LINEAR}, {EXACT} SELECT site, n, {r("-10 * (l0 + prior0 - (" + LOG_SUM.format("(l0 + prior0)", "(l1 + prior1)") + "))", 100)} AS qual, CAST(mle AS BIGINT) AS mle_ac FROM p""",
+)
 def exact_af_qual(spark, d):
     return models.exact(genotypes(spark, d), ["site"], 0.001).select("site", "n", rounded(F.col("qual"), 2).alias("qual"), "mle_ac")
 
 
-@query("q34_dirichlet_af")
+@query("q33_emitted_sites", f"WITH RECURSIVE {GT}, {GL}, {LINEAR}, {EXACT}, q AS (SELECT *, -10 * (l0 + prior0 - ({LOG_SUM.format('(l0 + prior0)', '(l1 + prior1)')})) AS qual FROM p) SELECT site, CASE WHEN qual < 1000 THEN 'LowQual' ELSE 'PASS' END AS filter FROM q WHERE mle > 0 AND qual >= 30")
+def emitted_sites(spark, d):
+    from ..operators import gates
+
+    called = models.exact(genotypes(spark, d), ["site"], 0.001)
+    return called.where(gates.emitted(F.col("qual"), F.col("mle_ac"))).select("site", F.coalesce(gates.low_quality(F.col("qual"), 1000.0), F.lit("PASS")).alias("filter"))
+
+
+@query("q33_independent_alleles")
+def independent_alleles(spark, d):
+    g = genotypes(spark, d).select("site", _pl6(F.col("pl")).alias("pl"))
+    out = models.independent(g, ["site"], 3, 0.001)
+    return out.select("site", F.col("allele").cast("long").alias("allele"), "mle_ac", rounded(F.col("qual"), 2).alias("qual"), models.plausible(F.col("log10_absent")).alias("plausible"))
+
+
+@query(
+    "q34_dirichlet_af",
+    f"""WITH RECURSIVE {GT}, g AS (SELECT site, -p0 / 10.0 AS g0, log10(2) - p1 / 10.0 AS g1, -p2 / 10.0 AS g2 FROM gt), s AS (SELECT site, count(*) AS n FROM g GROUP BY 1),
+  em(site, step, w0, w1, c0, c1, moved) AS (SELECT site, 0, log10(0.5), log10(0.5), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(1e9 AS DOUBLE) FROM s
+    UNION ALL SELECT site, step + 1, log10(10 + x) - log10(10.01 + x + y), log10(0.01 + y) - log10(10.01 + x + y), x, y, greatest(abs(x - c0), abs(y - c1)) FROM (
+      SELECT site, step, c0, c1, sum((2 * a + b) / (a + b + c)) AS x, sum((b + 2 * c) / (a + b + c)) AS y FROM (
+        SELECT em.site, step, c0, c1, pow(10, g0 + 2 * w0) AS a, pow(10, g1 + w0 + w1) AS b, pow(10, g2 + 2 * w1) AS c FROM em JOIN g USING (site) WHERE moved > 0.1)
+      GROUP BY site, step, c0, c1)),
+  f AS (SELECT site, arg_max(w0, step) AS w0, arg_max(w1, step) AS w1, arg_max(c1, step) AS alt FROM em GROUP BY site)
+SELECT site, count(*) AS n, {r('any_value(alt)', 1000)} AS alt_count, {r('sum(-10 * (g0 + 2 * w0 - log10(pow(10, g0 + 2 * w0) + pow(10, g1 + w0 + w1) + pow(10, g2 + 2 * w1))))', 100)} AS qual FROM f JOIN g USING (site) GROUP BY site""",
+)
 def dirichlet_af(spark, d):
     return models.dirichlet(genotypes(spark, d), ["site"], [10.0, 0.01]).select("site", "n", rounded(F.col("alt_count"), 3).alias("alt_count"), rounded(F.col("qual"), 2).alias("qual"))
 
