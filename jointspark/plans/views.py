@@ -60,3 +60,25 @@ def rounded(column, digits: int = 4):
     """Half up, as both engines do it on doubles."""
     scale = 10.0**digits
     return F.floor(column * scale + 0.5) / scale
+
+
+def dna(text, length):
+    """Bases made of a string's MD5."""
+    return F.translate(F.substring(F.md5(text), F.lit(1), length.cast("int") if hasattr(length, "cast") else F.lit(length)), "0123456789abcdef", "ACGTACGTACGTACGT")
+
+
+def allele_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with alleles: key, contig, pos, ref, alts (three, <NON_REF> last), size."""
+    p = table(spark, sf_dir, "part")
+    size = F.col("p_size")
+    second = F.when(size % 4 == 0, "*").when(size % 4 == 1, "<DEL>").otherwise(F.concat(F.lit("G"), dna("p_type", size % 3)))
+    return p.select(
+        F.col("p_partkey").alias("key"), (F.col("p_partkey") % CONTIGS).alias("contig"), F.floor(F.col("p_partkey") / 40).alias("pos"), F.concat(F.lit("A"), dna("p_name", size % 4)).alias("ref"),
+        F.array(F.concat(F.lit("T"), dna("p_brand", F.col("p_partkey") % 4)), second, F.lit("<NON_REF>")).alias("alts"), size.cast("long").alias("size"), F.col("p_brand").alias("brand"),
+    )
+
+
+DNA = "translate(substr(md5({0}), 1, CAST({1} AS INT)), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+AL = f"""al AS (SELECT p_partkey AS key, p_partkey % 8 AS contig, p_partkey // 40 AS pos, 'A' || {DNA.format('p_name', 'p_size % 4')} AS ref,
+    ['T' || {DNA.format('p_brand', 'p_partkey % 4')}, CASE WHEN p_size % 4 = 0 THEN '*' WHEN p_size % 4 = 1 THEN '<DEL>' ELSE 'G' || {DNA.format('p_type', 'p_size % 3')} END, '<NON_REF>'] AS alts, CAST(p_size AS BIGINT) AS size, p_brand AS brand
+  FROM part)"""
