@@ -139,3 +139,52 @@ def downsampled(df: DataFrame, keys: list[str], k: int, identity: list[str]) ->
     mark = F.md5(F.concat_ws("|", *identity))
     w = Window.partitionBy(*keys).orderBy("_mark", *identity)
     return df.withColumn("_mark", mark).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).drop("_k", "_mark")
+
+
+def mle_frequency(ac: Column, an: Column) -> Column:
+    """Likeliest frequency from the likeliest count, at most 1."""
+    return F.least(F.lit(1.0), ac / an)
+
+
+def allele_fractions(ad: Column) -> Column:
+    """Share of each alternate allele in the depth, an array without REF; null without depth."""
+    total = F.aggregate(ad, F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.when(total > 0, F.transform(F.slice(ad, F.lit(2), F.size(ad) - 1), lambda x: x / total))
+
+
+def summed_strands(df: DataFrame, keys: list[str], sb: str, least: int) -> DataFrame:
+    """(keys, rf, rr, af, ar) over samples whose four counts sum to more than ``least``; null where none does."""
+    total = F.aggregate(F.col(sb), F.lit(0).cast("long"), lambda a, x: a + x)
+    used = F.when(total > least, F.col(sb))
+    return df.groupBy(*keys).agg(*(F.sum(F.get(used, F.lit(k))).alias(c) for k, c in enumerate(("rf", "rr", "af", "ar"))))
+
+
+def quality_depth(df: DataFrame, keys: list[str], pl: str, ad: str, dp: str, has_reference: Column | None = None) -> DataFrame:
+    """(keys, depth): depth over variant samples, by alleles where known, else as given.
+
+    Samples with an alternate allele in more than one read (and REF, if so asked) are preferred where a site has any.
+    """
+    total = F.aggregate(F.col(ad), F.lit(0).cast("long"), lambda a, x: a + x)
+    supported = F.exists(F.slice(F.col(ad), F.lit(2), F.greatest(F.size(ad) - 1, F.lit(0))), lambda x: x > 1)
+    strict = F.sum(F.when(supported & (has_reference if has_reference is not None else F.lit(True)), total))
+    loose = F.sum(F.when(F.coalesce(total, F.lit(0)) != 0, total).otherwise(F.col(dp)))
+    out = df.where(best(F.col(pl)) > 0).groupBy(*keys).agg(strict.alias("_strict"), loose.alias("_loose"))
+    return out.select(*keys, F.when(F.coalesce("_strict", F.lit(0)) > 0, F.col("_strict")).otherwise(F.col("_loose")).alias("depth"))
+
+
+def allele_quality_by_depth(log10_absent: Column, own: Column, reference: Column) -> Column:
+    """An allele's quality over its depth and REF's."""
+    return -10 * log10_absent / (own + reference)
+
+
+def cleaned(df: DataFrame, alleles: int) -> DataFrame:
+    """Genotype rows (gt, dp, min_dp, pgt, ad, sb) as they are written.
+
+    A block's least depth becomes the depth, strand counts go, a phased heterozygous mark of a homozygous alternate call
+    is mended, and a missing depth by allele is all REF's.
+    """
+    depth = F.coalesce("min_dp", "dp")
+    hom = F.forall("gt", lambda a: (a > 0) & (a == F.get("gt", F.lit(0))))
+    pgt = F.when(hom & (F.col("pgt") == "0|1"), "1|1").otherwise(F.col("pgt"))
+    ad = F.coalesce(F.col("ad"), F.concat(F.array(depth.cast("long")), F.array_repeat(F.lit(0).cast("long"), alleles - 1)))
+    return df.withColumn("pgt", pgt).withColumn("ad", ad).withColumn("dp", depth).drop("min_dp", "sb")
