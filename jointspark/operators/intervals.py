@@ -261,3 +261,28 @@ def bands(df: DataFrame, keys: list[str], order: list[str], value: str, edges: l
     marked = marked.withColumn("_new", F.when(F.lag("band").over(w) == F.col("band"), 0).otherwise(1))
     marked = marked.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*keys, "band", "run").agg(F.count("*").alias("n"), F.min(value).alias("least"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
+
+
+def reference_blocks(df: DataFrame, ties: list[str], value: str, edges: list[float], depth: str, pl: str, size: int) -> DataFrame:
+    """Blocks (contig, sample, run, start, end, dp, min_dp, gq, pl) of a sample's hom-ref records that follow one another in one band.
+
+    A block has the least value of each of ``size`` likelihoods, the upper median and the least of the depths, and the
+    quality of its likelihoods.  A gap, another band or another number of likelihoods begins a new one.  Depths are gathered as counts.
+    """
+    from .genotypes import upper_median
+
+    band = F.lit(0)
+    for k, edge in enumerate(edges):
+        band = F.when(F.col(value) >= edge, k).otherwise(band)
+    keys = ["contig", "sample"]
+    w = Window.partitionBy(*keys).orderBy("start", "end", *ties)
+    marked = df.withColumn("_band", band).withColumn("_size", F.size(pl))
+    same = (F.lag("_band").over(w) == F.col("_band")) & (F.lag("_size").over(w) == F.col("_size")) & (F.lag("end").over(w) + 1 >= F.col("start"))
+    runs = marked.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    keys = [*keys, "run"]
+    least = [F.min(F.get(pl, F.lit(k))).alias(f"_p{k}") for k in range(size)]
+    out = runs.groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min(depth).alias("min_dp"), *least)
+    medians = upper_median(runs.select(*keys, depth), keys, depth).withColumnRenamed("median", "dp")
+    whole = F.array(*(F.col(f"_p{k}") for k in range(size)))
+    ranked = F.sort_array(whole)
+    return out.join(medians, keys).select(*keys, "start", "end", "dp", "min_dp", (F.get(ranked, F.lit(1)) - F.get(ranked, F.lit(0))).alias("gq"), whole.alias("pl"))
