@@ -19,9 +19,11 @@ def ordered(alts: Column) -> Column:
 
 
 def first_seen(df: DataFrame, keys: list[str], alts: str, order: list[str]) -> DataFrame:
-    """Union of ALT alleles per key in the order in which rows bring them."""
-    lists = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, alts))).alias("_rows"))
-    return lists.select(*keys, F.array_distinct(F.flatten(F.col(f"_rows.{alts}"))).alias(alts))
+    """Union of ALT alleles per key in the order in which rows bring them; what is gathered is one row for each allele."""
+    each = df.select(*keys, *order, F.posexplode(alts).alias("_at", "_a"))
+    least = each.groupBy(*keys, "_a").agg(F.min(F.struct(*order, "_at")).alias("_o"))
+    lists = least.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_o", "_a"))).alias("_rows"))
+    return lists.select(*keys, F.transform("_rows", lambda x: x["_a"]).alias(alts))
 
 
 def longest_ref(df: DataFrame, keys: list[str], ref: str) -> DataFrame:

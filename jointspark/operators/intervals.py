@@ -286,3 +286,19 @@ def reference_blocks(df: DataFrame, ties: list[str], value: str, edges: list[flo
     whole = F.array(*(F.col(f"_p{k}") for k in range(size)))
     ranked = F.sort_array(whole)
     return out.join(medians, keys).select(*keys, "start", "end", "dp", "min_dp", (F.get(ranked, F.lit(1)) - F.get(ranked, F.lit(0))).alias("gq"), whole.alias("pl"))
+
+
+def banded(records: DataFrame, values: list[str], multiple: int | None = None) -> DataFrame:
+    """(contig, start, end, n, values): stretches between all changes of the set of open records, with their number and sums.
+
+    With ``multiple``, stretches also end before each multiple of it.  Stretches that no record covers are left out.
+    """
+    cuts = records.select("contig", F.col("start").alias("pos")).union(records.select("contig", F.col("end") + 1))
+    if multiple:
+        whole = records.groupBy("contig").agg(F.min("start").alias("a"), F.max("end").alias("b"))
+        first = F.greatest(F.ceil(F.col("a") / multiple), F.lit(1)) * multiple
+        bands = whole.where(first <= F.col("b")).select("contig", F.explode(F.sequence(first, F.col("b"), F.lit(multiple).cast("long"))).alias("pos"))
+        cuts = cuts.union(bands)
+    points = with_following(cuts.distinct(), "pos", "_next").where("_next is not null")
+    sums = coverage(points.select("contig", "pos"), records, values).where("n > 0")
+    return sums.join(points, ["contig", "pos"]).select("contig", F.col("pos").alias("start"), (F.col("_next") - 1).alias("end"), "n", *values)

@@ -93,11 +93,6 @@ def split_multiallelic(spark, d):
     return al.biallelic(p).select("p_partkey", F.col("alt_no").cast("long").alias("alt_no"), "alt_ref", "alt")
 
 
-@query("q46_kmer_count", "WITH k AS (SELECT p_brand, substr(p_name, CAST(i AS INT), 5) AS kmer FROM part, unnest(range(1, length(p_name) - 3)) u(i)) SELECT p_brand, kmer, count(*) AS n FROM k GROUP BY ALL HAVING count(*) >= 2")
-def kmer_count(spark, d):
-    return an.kmers(table(spark, d, "part"), ["p_brand"], "p_name", 5, 2)
-
-
 @query("q46_kmer_count_documents", "WITH k AS (SELECT lang, substr(text, CAST(i AS INT), 5) AS kmer FROM documents, unnest(range(1, length(text) - 3)) u(i)) SELECT lang, kmer, count(*) AS n FROM k GROUP BY ALL HAVING count(*) >= 2")
 def kmer_count_documents(spark, d):
     return an.kmers(table(spark, d, "documents"), ["lang"], "text", 5, 2)
@@ -123,10 +118,11 @@ def region_parse(spark, d):
     return o.select(F.col("o_orderkey").alias("key"), region["contig"].alias("contig"), region["start"].alias("start"), region["end"].alias("end"))
 
 
-@query("q50_header_merge", "SELECT 'FORMAT' AS kind, role AS id, min(conv_id) AS first_file, count(DISTINCT conv_id) AS n_files FROM conversations GROUP BY role")
+@query("q50_header_merge", "WITH l AS (SELECT role AS id, conv_id AS file FROM conversations UNION ALL SELECT regexp_extract(url, '^([a-z]+):', 1), page_id FROM pages) SELECT 'FORMAT' AS kind, id, min(file) AS first_file, count(DISTINCT file) AS n_files FROM l GROUP BY id")
 def header_merge(spark, d):
     c = table(spark, d, "conversations").select(F.lit("FORMAT").alias("kind"), F.col("role").alias("id"), F.col("conv_id").alias("file"))
-    return headers.merged(c).select("kind", "id", "first_file", "n_files")
+    p = table(spark, d, "pages").select(F.lit("FORMAT"), F.regexp_extract("url", "^([a-z]+):", 1), "page_id")
+    return headers.merged(c.union(p)).select("kind", "id", "first_file", "n_files")
 
 
 @query("q50_sample_rename", "SELECT o_orderkey AS key, c.c_name || CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 1 THEN '-' || (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) ELSE '' END AS sample FROM orders JOIN customer c ON c_custkey = o_custkey")

@@ -87,9 +87,9 @@ def likelihood_round_trip(spark, d):
     return g.groupBy("site").agg(*(F.sum(F.get("pl", F.lit(k))).cast("long").alias(f"s{k}") for k in range(3)))
 
 
-@query("q56_mle_frequency", f"WITH {GT}, m AS (SELECT site, CAST(sum({BEST}) AS BIGINT) AS ac, count(*) AS n FROM gt WHERE line < 4 GROUP BY site) SELECT site, ac AS mleac, {r('least(1, ac / (1.5 * n))')} AS mleaf FROM m")
+@query("q56_mle_frequency", f"WITH {GT}, m AS (SELECT site, CAST(sum({BEST}) AS BIGINT) AS ac, count(*) AS n FROM gt GROUP BY site) SELECT site, ac AS mleac, {r('least(1, ac / (1.5 * n))')} AS mleaf FROM m")
 def mle_frequency(spark, d):
-    g = genotypes(spark, d).where("line < 4").groupBy("site").agg(F.sum(gt.copies(gt.best(F.col("pl")))).alias("mleac"), F.count("*").alias("n"))
+    g = genotypes(spark, d).groupBy("site").agg(F.sum(gt.copies(gt.best(F.col("pl")))).alias("mleac"), F.count("*").alias("n"))
     return g.select("site", "mleac", rounded(gt.mle_frequency(F.col("mleac"), 1.5 * F.col("n"))).alias("mleaf"))
 
 

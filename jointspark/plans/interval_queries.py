@@ -13,6 +13,7 @@ from .views import LENGTH, REC, REG, records, regions, rounded, table
 ISLANDS = "SELECT contig, min(pos) AS \"start\", max(pos) AS \"end\" FROM (SELECT contig, pos, pos - row_number() OVER (PARTITION BY contig ORDER BY pos) AS g FROM p) GROUP BY contig, g"
 BASES_A = "a AS (SELECT DISTINCT contig, unnest(range(start, stop + 1)) AS pos FROM reg WHERE priority < '3')"
 BASES_B = "b AS (SELECT DISTINCT contig, unnest(range(start, stop + 1)) AS pos FROM reg WHERE priority >= '3')"
+BASES_ALL = "a AS (SELECT DISTINCT contig, unnest(range(start, stop + 1)) AS pos FROM reg)"
 
 
 def _sides(spark, d):
@@ -66,9 +67,9 @@ def subtract(spark, d):
     return iv.subtraction(*_sides(spark, d))
 
 
-@query("q04_covered_size", f"WITH {REG}, {BASES_A} SELECT contig, count(*) AS covered FROM a GROUP BY contig")
+@query("q04_covered_size", f"WITH {REG}, {BASES_ALL} SELECT contig, count(*) AS covered FROM a GROUP BY contig")
 def covered_size(spark, d):
-    return iv.covered_size(_sides(spark, d)[0])
+    return iv.covered_size(regions(spark, d))
 
 
 @query("q04_segments", f"WITH {REG}, e AS (SELECT contig, start AS pos FROM reg UNION SELECT contig, stop + 1 FROM reg), s AS (SELECT contig, pos AS \"start\", lead(pos) OVER (PARTITION BY contig ORDER BY pos) - 1 AS \"end\" FROM e) SELECT * FROM s WHERE \"end\" IS NOT NULL")
@@ -131,32 +132,7 @@ def overlap_pairs(spark, d):
     return pairs.groupBy("key").agg(F.count("*").alias("n_pairs"), F.sum("key_r").alias("sum_key"))
 
 
-@query("q08_overlapping", f"WITH {REG} SELECT key, contig, start AS \"start\", stop AS \"end\" FROM reg r WHERE priority < '2' AND EXISTS (SELECT 1 FROM reg s WHERE s.priority >= '5' AND s.contig = r.contig AND s.start <= r.stop AND r.start <= s.stop)")
-def overlapping(spark, d):
-    r = regions(spark, d)
-    return iv.overlapping(r.where("priority < '2'").select("key", "contig", "start", "end"), r.where("priority >= '5'"))
-
-
-@query("q09_reciprocal_overlap", f"WITH {REG} SELECT a.key AS key, count(*) AS n_partners, min(b.key) AS least_partner FROM reg a JOIN reg b ON a.contig = b.contig AND a.priority < '2' AND b.priority >= '5' AND least(a.stop, b.stop) - greatest(a.start, b.start) + 1 >= 0.5 * greatest(a.stop - a.start + 1, b.stop - b.start + 1) GROUP BY a.key")
-def reciprocal(spark, d):
-    r = regions(spark, d)
-    pairs = iv.reciprocal(r.where("priority < '2'"), r.where("priority >= '5'"), 0.5)
-    return pairs.groupBy("key").agg(F.count("*").alias("n_partners"), F.min("key_r").alias("least_partner"))
-
-
-@query(
-    "q10_overlap_map",
-    f"""WITH {REG}, k AS (SELECT DISTINCT contig, start, stop FROM reg WHERE priority < '2'), v AS (SELECT DISTINCT contig, start, stop FROM reg WHERE priority >= '5')
-SELECT k.contig, k.start AS "start", k.stop AS "end", string_agg(v.start || '-' || v.stop, ',' ORDER BY v.start, v.stop) AS hits
-FROM k JOIN v ON v.contig = k.contig AND v.start <= k.stop AND k.start <= v.stop GROUP BY ALL""",
-)
-def overlap_map(spark, d):
-    r = regions(spark, d)
-    found = iv.overlap_map(r.where("priority < '2'"), r.where("priority >= '5'"))
-    return found.withColumn("hits", F.array_join(F.transform("hits", lambda h: F.concat_ws("-", h["start_r"].cast("string"), h["end_r"].cast("string"))), ","))
-
-
-@query("q08_overlapping_sides", f"WITH {REG} SELECT key, contig, start AS \"start\", stop AS \"end\" FROM reg r WHERE priority < '3' AND EXISTS (SELECT 1 FROM reg s WHERE s.priority >= '3' AND s.contig = r.contig AND s.start <= r.stop AND r.start <= s.stop)")
+@query("q08_overlapping", f"WITH {REG} SELECT key, contig, start AS \"start\", stop AS \"end\" FROM reg r WHERE priority < '3' AND EXISTS (SELECT 1 FROM reg s WHERE s.priority >= '3' AND s.contig = r.contig AND s.start <= r.stop AND r.start <= s.stop)")
 def overlapping_sides(spark, d):
     left, right = _sides(spark, d)
     return iv.overlapping(left.select("key", "contig", "start", "end"), right)
@@ -169,7 +145,7 @@ def reciprocal_all(spark, d):
 
 
 @query(
-    "q10_overlap_map_sides",
+    "q10_overlap_map",
     f"""WITH {REG}, k AS (SELECT DISTINCT contig, start, stop FROM reg WHERE priority < '3'), v AS (SELECT DISTINCT contig, start, stop FROM reg WHERE priority >= '3')
 SELECT k.contig, k.start AS "start", k.stop AS "end", string_agg(v.start || '-' || v.stop, ',' ORDER BY v.start, v.stop) AS hits
 FROM k JOIN v ON v.contig = k.contig AND v.start <= k.stop AND k.start <= v.stop GROUP BY ALL""",
@@ -211,13 +187,13 @@ def latest_rows(spark, d):
 
 @query(
     "q08_preserve_all_sites",
-    f"""WITH {REG}, {REC}, s AS (SELECT DISTINCT contig, start AS pos FROM reg), v AS (SELECT * FROM rec WHERE n_allele > 2 AND sample % 10 = line)
+    f"""WITH {REG}, {REC}, s AS (SELECT DISTINCT contig, start AS pos FROM reg), v AS (SELECT contig, start, start AS stop, dp FROM rec WHERE n_allele > 2)
 SELECT s.contig, s.pos, count(v.start) AS n, CAST(coalesce(sum(v.dp), 0) AS BIGINT) AS sum_dp FROM s LEFT JOIN v ON v.contig = s.contig AND s.pos BETWEEN v.start AND v.stop GROUP BY s.contig, s.pos""",
 )
 def preserve_all_sites(spark, d):
     points = regions(spark, d).select("contig", "start").distinct().withColumn("end", F.col("start"))
-    rare = records(spark, d).where("n_allele > 2 and sample % 10 = line").select("contig", "start", "end", "dp")
-    joined = iv.overlap_join(points, rare, how="left")
+    firsts = records(spark, d).where("n_allele > 2").select("contig", "start", F.col("start").alias("end"), "dp")
+    joined = iv.overlap_join(points, firsts, how="left")
     return joined.groupBy("contig", F.col("start").alias("pos")).agg(F.count("start_r").alias("n"), F.coalesce(F.sum("dp_r"), F.lit(0)).alias("sum_dp"))
 
 
@@ -268,17 +244,17 @@ SHARES = "s AS (SELECT contig, pos, row_number() OVER (ORDER BY contig, pos) - 1
 
 @query(
     "q49_scatter",
-    f"""WITH {REG}, {BASES_A}, {SHARES.format(parts=5)}, g AS (SELECT *, pos - row_number() OVER (PARTITION BY contig, part ORDER BY pos) AS island FROM t)
+    f"""WITH {REG}, {BASES_ALL}, {SHARES.format(parts=5)}, g AS (SELECT *, pos - row_number() OVER (PARTITION BY contig, part ORDER BY pos) AS island FROM t)
 SELECT contig, min(pos) AS "start", max(pos) AS "end", CAST(part AS BIGINT) AS part FROM g GROUP BY contig, part, island""",
 )
 def scatter(spark, d):
-    return iv.scattered(_sides(spark, d)[0], 5)
+    return iv.scattered(regions(spark, d), 5)
 
 
 @query(
     "q49_scatter_by_contig",
-    f"""WITH {REG}, {BASES_A}, c AS (SELECT contig, count(*) AS n FROM a GROUP BY 1), o AS (SELECT contig, coalesce(sum(n) OVER (ORDER BY contig ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, sum(n) OVER () AS total FROM c)
+    f"""WITH {REG}, {BASES_ALL}, c AS (SELECT contig, count(*) AS n FROM a GROUP BY 1), o AS (SELECT contig, coalesce(sum(n) OVER (ORDER BY contig ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, sum(n) OVER () AS total FROM c)
 SELECT contig, CAST(least(base * 3 // total, 2) AS BIGINT) AS part FROM o""",
 )
 def scatter_by_contig(spark, d):
-    return iv.scattered_by_contig(_sides(spark, d)[0], 3)
+    return iv.scattered_by_contig(regions(spark, d), 3)

@@ -42,7 +42,7 @@ def bases_at(chunks: DataFrame, regions: DataFrame, chunk: int = CHUNK) -> DataF
     part = F.substring("bases", (first + 1).cast("int"), (last - first + 1).cast("int"))
     parts = joined.select(*regions.columns, "_id", F.struct("chunk", part.alias("b")).alias("_p"))
     out = parts.groupBy("_id", *regions.columns).agg(F.sort_array(F.collect_list("_p")).alias("_p"))  # as many parts as a region has chunks
-    return out.select(*regions.columns, F.array_join("_p.b", "").alias("bases"))
+    return out.select(*regions.columns, F.array_join("_p.b", "").alias("bases")).where("bases <> ''")
 
 
 def intervals(spark: SparkSession, path: str) -> DataFrame:
