@@ -7,20 +7,28 @@ shuffles only what joins it:
 
 1. Content-defined chunks: paths of windows cut where the words themselves say so.  A chunk found in
    a smaller document is repeated as a whole, and the smallest one provides for all later copies,
-   so from here on a copy's windows are neither looked up nor offered (compaction of copies).
+   so from here on a copy's windows are neither looked up nor offered.
 2. Minimisers: each remaining window names the least of its 5-word hashes.  A repeated window's
    minimiser occurs in two documents; others are dropped after an aggregation with map-side combine.
 3. The windows left are aggregated to their least (document, position, check hash); a join brings
    these back.  A second hash at the source coordinates must agree, so a collision of the first one
    never removes words.
 
-Links (document, position, source, source position) that advance together are nonbranching paths;
-:func:`repeated_spans` compacts them.  A null text has no words; a row with a null id, or with fewer
-than K words, keeps all of them; rows that share an id never remove one another's words.
+Edges and chunks are then links (document, position, windows, source, source position).  Links that advance
+together through document and source are one nonbranching path, along which the sequence of words is the
+same in both; :func:`_compacted` orders a path's links and aggregates them to one span.
+The words that spans cover are removed, and :func:`repeated_spans` lists them.
+
+A null text has no words; a row with a null id, or with fewer
+than K words, keeps all of them; rows that share an id never remove one another's words, and each has spans of its
+own text; repeated rows lose the same words.  An empty table gives an empty one; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import hashlib
 import uuid
 
@@ -29,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Workspace
+from .store import Workspace, shuffles_removed
 from .words import _BASE, _INVERSE, U64, _power, mix, pieces, window_hashes, window_starts, word_hashes
 
 K = 13
@@ -37,6 +45,8 @@ K = 13
 M = 5
 #: A chunk ends, on average, after so many windows.
 CHUNK = 64
+#: Bytes of text of a bucket, from the size on at which the session's partitions are fewer.
+BUCKET_BYTES = 32 << 20
 _CHECK = U64(0xD6E8FEB86659FD93)
 
 
@@ -94,12 +104,18 @@ def _slices(batch):
         yield lo, hi, _Paths(data, offsets)
 
 
+#: A window or chunk as it is looked up; ``key`` tells the texts of one id apart.
+_LINK = ["hash", "id", "key", "position", "windows", "check"]
+_LINKS = ", ".join(f"{c} long" for c in _LINK)
+
+
 def _chunk_rows(batches):
     for batch in batches:
-        ids = batch.column("id").to_numpy()
+        ids, keys = batch.column("id").to_numpy(), batch.column("key").to_numpy()
         for lo, _, paths in _slices(batch):
             begin, hashes, check = paths.chunks()
-            yield pa.RecordBatch.from_arrays([_long(hashes), _long(ids[lo + paths.row[begin]]), _long(paths.position[begin]), _long(check)], names=["hash", "id", "position", "check"])
+            row, size = lo + paths.row[begin], np.diff(np.append(begin, len(paths.starts)))
+            yield pa.RecordBatch.from_arrays([_long(hashes), _long(ids[row]), _long(keys[row]), _long(paths.position[begin]), _long(size), _long(check)], names=_LINK)
 
 
 def _fresh(batch, lo: int, hi: int, paths: _Paths) -> np.ndarray:
@@ -132,7 +148,7 @@ def _anchor_rows(batches):
 
 def _window_rows(batches):
     for batch in batches:
-        ids = batch.column("id").to_numpy()
+        ids, keys = batch.column("id").to_numpy(), batch.column("key").to_numpy()
         column = batch.column("anchors")
         for lo, hi, paths in _slices(batch):
             fresh, least = _fresh(batch, lo, hi, paths), paths.minimisers()
@@ -147,13 +163,27 @@ def _window_rows(batches):
             keep = np.flatnonzero(fresh)
             if len(keep):
                 hashes, check = paths.windows(keep)
-                yield pa.RecordBatch.from_arrays([_long(hashes), _long(ids[lo + paths.row[keep]]), _long(paths.position[keep]), _long(check)], names=["hash", "id", "position", "check"])
+                row = lo + paths.row[keep]
+                yield pa.RecordBatch.from_arrays([_long(hashes), _long(ids[row]), _long(keys[row]), _long(paths.position[keep]), _long(np.ones(len(keep))), _long(check)], names=_LINK)
 
 
 def _repeats(rows: DataFrame) -> DataFrame:
-    """Rows (hash, id, position, check) whose hash also occurs under a smaller id, with their source's coordinates."""
+    """Rows (hash, id, key, position, windows) whose hash also occurs under a smaller id, with their source's coordinates."""
     least = rows.groupBy("hash").agg(F.min(F.struct("id", "position", "check")).alias("least"), F.max("id").alias("most")).where("least.id < most").drop("most")
-    return rows.join(least, "hash").where("least.id < id and least.check = check").select("hash", "id", "position", F.col("least.id").alias("source"), F.col("least.position").alias("source_position"))
+    found = rows.join(least, "hash").where("least.id < id and least.check = check")
+    return found.select("hash", "id", "key", "position", "windows", F.col("least.id").alias("source"), F.col("least.position").alias("source_position"))
+
+
+def _compacted(links: DataFrame) -> DataFrame:
+    """(id, key, start, windows, source, source_start): one row for each maximal path of links that advance together."""
+    path = ["id", "key", "source", "shift"]
+    links = links.withColumn("shift", F.col("position") - F.col("source_position"))
+    ordered = Window.partitionBy(*path).orderBy("position")
+    behind = F.max(F.col("position") + F.col("windows")).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    marked = links.withColumn("_new", F.when(behind >= F.col("position"), 0).otherwise(1))
+    marked = marked.withColumn("_path", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = marked.groupBy(*path, "_path").agg(F.min("position").alias("start"), F.max(F.col("position") + F.col("windows")).alias("_end"), F.min("source_position").alias("source_start"))
+    return spans.select("id", "key", "start", (F.col("_end") - F.col("start")).alias("windows"), "source", "source_start")
 
 
 class _Search:
@@ -162,75 +192,65 @@ class _Search:
     def __init__(self, docs: DataFrame, id_column: str, text_column: str):
         spark = docs.sparkSession
         self.ws = ws = Workspace(spark)
-        source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("key"))
+        size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
         name = f"texts_{uuid.uuid4().hex}"
         filled = source.where("id is not null")
-        filled.repartition(n, "id").write.bucketBy(n, "id").sortBy("id").option("compression", "zstd").option("path", f"{ws.base}/texts").saveAsTable(name)
+        with shuffles_removed(spark):
+            filled.repartition(n, "id").write.bucketBy(n, "id").sortBy("id").option("compression", "zstd").option("path", f"{ws.base}/texts").saveAsTable(name)
+        atexit.register(_forgotten, spark, name)
         texts = spark.table(name)
         self.unnamed, self.texts = source.where("id is null"), texts
 
-        chunks = texts.mapInArrow(_chunk_rows, "hash long, id long, position long, check long")
-        self.chunks = ws.save(_repeats(chunks), "chunks")
-        copied = self.chunks.groupBy("id").agg(F.collect_set("hash").alias("copied"))
+        chunks = ws.save(_repeats(texts.mapInArrow(_chunk_rows, _LINKS)), "chunks")
+        copied = chunks.groupBy("id").agg(F.collect_set("hash").alias("copied"))
         joined = texts.join(copied, "id", "left")
         anchors = joined.mapInArrow(_anchor_rows, "hash long, id long")
         often = anchors.groupBy("hash").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("hash")
         named = ws.save(anchors.join(often, "hash").groupBy("id").agg(F.collect_set("hash").alias("anchors")), "anchors")
-        windows = ws.save(joined.join(named, "id").mapInArrow(_window_rows, "hash long, id long, position long, check long"), "windows")
-        self.windows = ws.save(_repeats(windows), "repeats")
-        ws.drop(named, windows)
+        windows = ws.save(joined.join(named, "id").mapInArrow(_window_rows, _LINKS), "windows")
+        links = ws.save(_repeats(windows), "repeats")
+        self.spans = ws.save(_compacted(links.union(chunks)), "spans")
+        ws.drop(chunks, named, windows, links)
+
 
+def _forgotten(spark, name: str) -> None:
+    with contextlib.suppress(Exception):  # a session that was stopped before has no catalogue
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
-def _covered(n: int, singles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Mask of n words covered by the windows at ``singles`` and those from each start to before its end."""
+
+def _covered(n: int, starts: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Mask of n words covered by the spans of ``windows`` windows from each start."""
     step = np.zeros(n + 1, np.int64)
-    np.add.at(step, singles, 1)
-    np.add.at(step, np.minimum(singles + K, n), -1)
-    np.add.at(step, starts, 1)
-    np.add.at(step, np.minimum(ends + K - 1, n), -1)
+    np.add.at(step, np.minimum(starts, n), 1)
+    np.add.at(step, np.minimum(starts + windows + K - 1, n), -1)
     return np.cumsum(step[:-1]) > 0
 
 
 def _kept(batches):
-    """(n_words, n_removed, kept text) of each row of (id, text, copied positions, window positions)."""
+    """(n_words, n_removed, kept text) of each row of (id, text, key, spans)."""
     for batch in batches:
-        raw = batch.column("text").cast(pa.binary())
+        raw, keys, spans = batch.column("text").cast(pa.binary()), batch.column("key").to_numpy(), batch.column("spans")
         counts, removed, kept = [0] * batch.num_rows, [0] * batch.num_rows, [b""] * batch.num_rows
-        chunks, singles = batch.column("chunks"), batch.column("singles")
-        for lo, hi, data, offsets in pieces(batch.column("text")):
-            paths = None
-            for i in range(lo, hi):
-                words = (raw[i].as_py() or b"").split()
-                counts[i] = len(words)
-                has_chunks, has_singles = chunks[i].is_valid, singles[i].is_valid
-                if has_chunks or has_singles:
-                    if paths is None:
-                        paths = _Paths(data, offsets)
-                        begin = paths.chunks()[0]
-                        end = np.append(begin[1:], len(paths.starts))
-                        owner, first = paths.row[begin] if len(begin) else begin, paths.at
-                    mine = np.arange(*np.searchsorted(owner, [i - lo, i - lo + 1]))
-                    at = begin[mine] - first[i - lo]
-                    if has_chunks:
-                        hit = np.isin(at, np.asarray(chunks[i].values.to_numpy(zero_copy_only=False)))
-                        starts, ends = at[hit], (end[mine] - first[i - lo])[hit]
-                    else:
-                        starts = ends = np.zeros(0, np.int64)
-                    one = np.asarray(singles[i].values.to_numpy(zero_copy_only=False)) if has_singles else np.zeros(0, np.int64)
-                    gone = _covered(len(words), one, starts, ends)
-                    removed[i] = int(gone.sum())
-                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                kept[i] = b" ".join(words)
+        for i in range(batch.num_rows):
+            words = (raw[i].as_py() or b"").split()
+            counts[i] = len(words)
+            if spans[i].is_valid:
+                own = spans[i].values
+                key, start, windows = (np.asarray(own.field(c).to_numpy(zero_copy_only=False)) for c in ("key", "start", "windows"))
+                mine = key == keys[i]
+                gone = _covered(len(words), start[mine], windows[mine])
+                removed[i] = int(gone.sum())
+                words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+            kept[i] = b" ".join(words)
         yield batch, counts, removed, kept
 
 
 def _located(search: _Search) -> DataFrame:
-    chunks = search.chunks.groupBy("id").agg(F.collect_list("position").alias("chunks"))
-    singles = search.windows.groupBy("id").agg(F.collect_list("position").alias("singles"))
-    found = search.texts.join(chunks, "id", "left").join(singles, "id", "left")
-    none = F.lit(None).cast("array<bigint>")
-    return found.union(search.unnamed.select("id", "text", none, none))
+    spans = search.spans.groupBy("id").agg(F.collect_list(F.struct("key", "start", "windows")).alias("spans"))
+    found = search.texts.join(spans, "id", "left")
+    return found.union(search.unnamed.withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType)))
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -246,13 +266,12 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, start, windows, source, source_start): maximal paths of window links that advance together; chunk links are not expanded."""
-    search = _Search(docs, id_column, text_column)
-    ordered = Window.partitionBy("id", "source", "shift").orderBy("position")
-    links = search.windows.withColumn("shift", F.col("position") - F.col("source_position"))
-    marked = links.withColumn("island", F.col("position") - F.row_number().over(ordered))
-    paths = marked.groupBy("id", "source", "shift", "island").agg(F.min("position").alias("start"), F.count("*").alias("windows"), F.min("source_position").alias("source_start"))
-    return paths.select(F.col("id").alias(id_column), "start", "windows", "source", "source_start")
+    """(id, start, windows, source, source_start): maximal paths along which a document repeats a source's words.
+
+    A path of n windows covers n + K - 1 words.  Every window that also starts in a smaller document lies on one.
+    """
+    spans = _Search(docs, id_column, text_column).spans
+    return spans.select(F.col("id").alias(id_column), "start", "windows", "source", "source_start")
 
 
 def with_text_replaced(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -267,7 +286,7 @@ def with_text_replaced(docs: DataFrame, id_column: str = "doc_id", text_column:
                 names=["id", "digest", "text"],
             )
 
-    found = _located(_Search(docs, id_column, text_column)).where("chunks is not null or singles is not null")
+    found = _located(_Search(docs, id_column, text_column)).where("spans is not null")
     # Rows that share an id keep their own texts: the digest of the given text tells them apart.
     new = found.mapInArrow(run, "id long, digest binary, text string").distinct()
     new = new.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("text").alias("_text"))
