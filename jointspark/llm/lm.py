@@ -17,7 +17,8 @@ only for what may be a retained context or a next symbol of one.  A filter lets
 once a corpus outgrows it; what passes is tested exactly, so the result does not depend on it.
 
 A null text is empty: its one token is the end.  Rows with a null id are training rows.  Repeated
-rows count and are scored each on their own.
+rows count and are scored each on their own.  An empty table gives an empty one; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

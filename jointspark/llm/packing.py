@@ -8,7 +8,8 @@ new pattern.  Patterns are rounded down, the few remainders left over are packed
 every remainder gets its sequence from its rank in its class.  Ranks come from counts per class and
 partition, never from a global sort, and offsets are summed inside a sequence from true lengths.
 
-A null or empty text is its end id alone.  Repeated rows are packed each on their own.
+A null or empty text is its end id alone.  Repeated rows are packed each on their own, ties of length in any order;
+null ids stay null; an empty table gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

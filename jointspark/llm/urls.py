@@ -3,7 +3,9 @@
 The labelled URLs are those that a rule decides.  The trees are fitted on the driver from at most
 2 * ``SAMPLE_ROWS`` of them, drawn by hash, and become one column expression, so every
 URL is judged in the scan's own stage.  A URL without ``://``, or null, has an empty host and path
-and zero counts and is judged by the trees like any other.  Repeated rows are judged alike.
+and zero counts and is judged by the trees like any other.  Repeated rows are judged alike; of rules that fit with equal
+length one is left, since a host has one suffix of a length; null ids stay null; an empty table gives an empty one;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -153,8 +155,10 @@ def judged(pages: DataFrame, id_column: str = "page_id", url_column: str = "url"
         entry = rates.setdefault(r["_suffix"], [0.0, 0.0])
         entry[0] += r["y"]
         entry[1] += 1
+    # A fitting row sees the rate of its suffix among the other rows, or trees would read its own label from it.
+    others = [(rates[r["_suffix"]][0] - r["y"] + 10 * average) / (rates[r["_suffix"]][1] + 9) for r in sample]
     rates = {s: (n + 10 * average) / (m + 10) for s, (n, m) in rates.items()}
-    model = Trees.fit(np.column_stack([x, [rates[r["_suffix"]] for r in sample]]) if len(sample) else x, y)
+    model = Trees.fit(np.column_stack([x, others]) if len(sample) else x, y)
 
     table = spark.createDataFrame(list(rates.items()), "_suffix string, _rate double")
     scored = parts.join(F.broadcast(table), "_suffix", "left").withColumn("suffix_rate", F.coalesce("_rate", F.lit(average)))
