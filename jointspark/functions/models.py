@@ -29,15 +29,18 @@ def grouped(df: DataFrame, keys: list[str], pl: str = "pl", size: int = 3, all_s
 
 
 def frequency(gl: np.ndarray, n: np.ndarray, most: int = 100) -> float:
-    """Maximum-likelihood allele frequency by expectation maximisation from a half."""
-    total, af = n.sum(), 0.5
+    """Maximum-likelihood allele frequency by expectation maximisation from a half; a column for each number of copies."""
+    ploidy = gl.shape[1] - 1
+    total, af = n.sum() * ploidy, 0.5
     linear = 10.0 ** (gl - gl.max(axis=1, keepdims=True))
+    k = np.arange(ploidy + 1)
+    ways = np.array([math.comb(ploidy, int(j)) for j in k], float)
     before = 0.0
     for _ in range(most):
-        weight = linear * np.array([(1 - af) ** 2, 2 * af * (1 - af), af * af])
+        weight = linear * ways * af**k * (1 - af) ** (ploidy - k)
         share = weight / weight.sum(axis=1, keepdims=True)
-        af = float((n * (share[:, 1] + 2 * share[:, 2])).sum() / (2 * total))
-        if abs(af - before) < 1 / (200 * total) or af < 1 / (10 * total):
+        af = float((n * (share @ k)).sum() / total)
+        if abs(af - before) < 1 / (100 * total) or af < 1 / (5 * total):
             break
         before = af
     return af
@@ -65,12 +68,17 @@ def _times(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
 
 
 def count_likelihoods(gl: np.ndarray, n: np.ndarray, most: int | None = None) -> np.ndarray:
-    """log10 likelihood of alternate allele counts up to ``most``; equal samples are raised to their number by squaring."""
-    copies = 2 * int(n.sum())
+    """log10 likelihood of alternate allele counts up to ``most``; equal samples are raised to their number by squaring.
+
+    ``gl`` has a column for each number of alternate copies of a sample, three for diploid ones.
+    """
+    ploidy = gl.shape[1] - 1
+    ways = np.log([math.comb(ploidy, k) for k in range(ploidy + 1)])
+    copies = ploidy * int(n.sum())
     most = copies if most is None else min(most, copies)
     level: list[np.ndarray] = []
     for row, often in zip(gl, n.astype(int), strict=True):
-        square, power = row * LN10 + np.array([0.0, math.log(2), 0.0]), None
+        square, power = row * LN10 + ways, None
         while often:
             if often & 1:
                 power = square if power is None else _times(power, square, most)
@@ -96,7 +104,7 @@ def exact_site(gl: np.ndarray, n: np.ndarray, theta: float) -> tuple[float, floa
     The expectation-maximisation estimate says how many counts are worth a first look; more are taken until one at
     or above the likeliest lies ``EARLY_STOP`` below it.
     """
-    copies = 2 * int(n.sum())
+    copies = (gl.shape[1] - 1) * int(n.sum())
     count = frequency(gl, n) * copies
     most = min(copies, int(count + 6 * math.sqrt(copies) + 32))
     while True:
@@ -112,13 +120,18 @@ def exact_site(gl: np.ndarray, n: np.ndarray, theta: float) -> tuple[float, floa
     return float(likelihood[0]), _sum10(likelihood[1:]) if len(likelihood) > 1 else -math.inf, float(prior[0]), _sum10(prior[1:]), mle
 
 
-def exact(df: DataFrame, keys: list[str], theta: float) -> DataFrame:
-    """(keys, n, l0, l1, prior0, prior1, mle_ac, qual): the site's exact model and the phred probability of no alternate allele."""
+def exact(df: DataFrame, keys: list[str], theta: float, ploidy: int = 2) -> DataFrame:
+    """(keys, n, l0, l1, prior0, prior1, mle_ac, qual): the site's exact model and the phred probability of no alternate allele.
 
-    def run(p0, p1, p2, n):
-        return (int(n.sum()), *exact_site(np.column_stack([p0, p1, p2]) / -10.0, n.astype(np.float64), theta))
+    ``pl`` has a value for each number of alternate copies, so any ploidy of a biallelic site is served.
+    """
+    names = [f"p{k}" for k in range(ploidy + 1)]
+
+    def run(*columns):
+        n = columns[-1].astype(np.float64)
+        return (int(n.sum()), *exact_site(np.column_stack(columns[:-1]) / -10.0, n, theta))
 
-    out = mapped(grouped(df, keys), keys, run, ["p0", "p1", "p2", "n"], "n long, l0 double, l1 double, prior0 double, prior1 double, mle_ac long", ["p0", "p1", "p2"])
+    out = mapped(grouped(df, keys, size=ploidy + 1), keys, run, [*names, "n"], "n long, l0 double, l1 double, prior0 double, prior1 double, mle_ac long", names)
     return out.withColumn("qual", -10 * log10_none(*(F.col(c) for c in ("l0", "l1", "prior0", "prior1"))))
 
 

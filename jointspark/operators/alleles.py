@@ -105,3 +105,38 @@ def likeliest(df: DataFrame, keys: list[str], allele: str, score: str, most: int
     total = df.groupBy(*keys, allele).agg(F.sum(score).alias("score"))
     w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), allele)
     return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def best_alleles_kept(df: DataFrame, keys: list[str], pl: str, alleles: int, most: int) -> DataFrame:
+    """(keys, kept): numbers of the ``most`` likeliest alternates of diploid sites, in their own order.
+
+    An alternate scores what each sample's best genotype that holds it gains over the homozygous reference one; ties go to the
+    smaller number.  REF, and <NON_REF> where it is last, are kept by whoever applies the numbers.
+    """
+    best = F.array_position(pl, F.array_min(pl)) - 1
+    gain = (F.get(F.col(pl), F.lit(0)) - F.array_min(pl)) / 10.0
+    second = F.floor((F.sqrt(8.0 * F.col("_best") + 1) - 1) / 2)
+    pair = F.array_distinct(F.array((F.col("_best") - second * (second + 1) / 2).cast("int"), second.cast("int")))
+    rows = df.select(*keys, best.alias("_best"), gain.alias("_gain")).select(*keys, "_gain", F.explode(pair).alias("_a")).where("_a > 0")
+    sums = rows.groupBy(*keys, "_a").agg(F.sum("_gain").alias("_s"))
+    ranked = sums.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_s").desc(), "_a"))).where(F.col("_k") <= most)
+    return ranked.groupBy(*keys).agg(F.sort_array(F.collect_list("_a")).alias("kept"))
+
+
+def biallelic_calls(df: DataFrame, pl: str, ad: str, genotype: str, alternates: int) -> DataFrame:
+    """One row for each alternate (alt_no from 1) of diploid calls: likelihoods of REF and it alone, from 0, and their depths.
+
+    A genotype of two different alternates becomes a no-call (-1, -1); other alternates count as REF's place, 0.
+    """
+    index = lambda a, b: b * (b + 1) // 2 + a
+    two = F.size(F.array_distinct(F.filter(F.col(genotype), lambda a: a > 0))) > 1
+
+    def choice(k: int) -> Column:
+        own = F.array(*(F.get(F.col(pl), F.lit(index(*g))) for g in ((0, 0), (0, k), (k, k))))
+        call = F.transform(F.col(genotype), lambda a: F.when(a == k, 1).when(a < 0, -1).otherwise(0))
+        values = F.transform(own, lambda x: x - F.array_min(own))
+        depths = F.array(F.get(F.col(ad), F.lit(0)), F.get(F.col(ad), F.lit(k)))
+        return F.struct(F.lit(k).alias("alt_no"), values.alias("pl"), depths.alias("ad"), F.when(two, F.array(F.lit(-1), F.lit(-1))).otherwise(call).alias("gt"))
+
+    rest = [c for c in df.columns if c not in (pl, ad, genotype)]
+    return df.select(*rest, F.explode(F.array(*(choice(k) for k in range(1, alternates + 1)))).alias("_c")).select(*rest, "_c.*")

@@ -177,3 +177,13 @@ def near_filtered(df: DataFrame, keys: list[str], pos: str, filtered: Column, re
     before = F.max(at).over(w.rowsBetween(Window.unboundedPreceding, -1))
     behind = F.min(at).over(w.rowsBetween(1, Window.unboundedFollowing))
     return df.withColumn("near", F.coalesce(F.col(pos) - before <= reach, F.lit(False)) | F.coalesce(behind - F.col(pos) <= reach, F.lit(False)))
+
+
+def two_pass(calls: DataFrame, keys: list[str], posterior: str, rate: float) -> DataFrame:
+    """Calls with ``failed``, learned from all of them: those whose error posterior lies above their key's discovery threshold.
+
+    The first pass aggregates to one threshold per key, the second reads the calls again and joins it.
+    """
+    learned = false_discovery_threshold(calls, keys, posterior, rate).drop("n")
+    joined = calls.join(learned, keys, "left")
+    return joined.withColumn("failed", F.col("threshold").isNull() | (F.col(posterior) > F.col("threshold"))).drop("threshold")

@@ -188,3 +188,24 @@ def cleaned(df: DataFrame, alleles: int) -> DataFrame:
     pgt = F.when(hom & (F.col("pgt") == "0|1"), "1|1").otherwise(F.col("pgt"))
     ad = F.coalesce(F.col("ad"), F.concat(F.array(depth.cast("long")), F.array_repeat(F.lit(0).cast("long"), alleles - 1)))
     return df.withColumn("pgt", pgt).withColumn("ad", ad).withColumn("dp", depth).drop("min_dp", "sb")
+
+
+#: Qualities by depth from this on are drawn anew around the next, fixed values.
+QD_LIMIT, QD_MEAN, QD_SPREAD = 35.0, 30.0, 3.0
+
+
+def quality_by_depth(quality: Column, depth: Column, jitter: list[Column] | None = None) -> Column:
+    """Quality over depth; with ``jitter``, an implausibly high value is replaced by one near 30, drawn from a hash of the columns."""
+    value = quality / depth
+    if jitter is None:
+        return value
+    u, v = (F.pmod(F.xxhash64(*jitter, F.lit(k)), F.lit(1 << 30)) / float(1 << 30) for k in (1, 2))
+    normal = F.sqrt(-2 * F.log(F.greatest(u, F.lit(1e-12)))) * F.cos(v * 6.283185307179586)
+    return F.when(value < QD_LIMIT, value).otherwise(QD_MEAN + QD_SPREAD * normal)
+
+
+def root_mean_square_quality(df: DataFrame, keys: list[str], raw: str, older: str, depth: str, reference_depth: Column) -> DataFrame:
+    """(keys, mq): from [sum of squares, reads] where a record has them, else from the older sum over the depth without reference calls'."""
+    squares = F.sum(F.coalesce(F.get(F.col(raw), F.lit(0)), F.col(older)))
+    reads = F.sum(F.coalesce(F.get(F.col(raw), F.lit(1)), F.when(F.col(older).isNotNull(), F.col(depth) - reference_depth)))
+    return df.groupBy(*keys).agg(squares.alias("_s"), reads.alias("_n")).select(*keys, F.when(F.col("_n") > 0, F.sqrt(F.col("_s") / F.col("_n"))).alias("mq"))

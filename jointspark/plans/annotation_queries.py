@@ -219,3 +219,68 @@ def allele_fields(spark, d):
     text = F.concat(size.cast("string"), F.lit(",nan|"), (size / 4.0).cast("string"))
     v = table(spark, d, "part").select(F.col("p_partkey").alias("key"), strings.allele_fields(text).alias("v"))
     return v.select("key", strings.allele_text(F.col("v")).alias("again"), dist.array_sum(F.flatten("v")).alias("total"))
+
+
+PL6 = "six AS (SELECT site, sample, line, dp, p0, p1, p2, [p0, p1, p2, p0 + p1, p1 + p2, p0 + p2] AS pl FROM gt)"
+
+
+def _six(spark, d):
+    p = [F.get("pl", F.lit(k)) for k in range(3)]
+    return genotypes(spark, d).withColumn("pl", F.array(p[0], p[1], p[2], p[0] + p[1], p[1] + p[2], p[0] + p[2]))
+
+
+@query(
+    "q57_likeliest_alternates",
+    f"""WITH {GT}, {PL6}, b AS (SELECT site, list_position(pl, list_min(pl)) - 1 AS b, (pl[1] - list_min(pl)) / CAST(10 AS DOUBLE) AS gain FROM six),
+  e AS (SELECT site, gain, unnest(CASE b WHEN 0 THEN [0] WHEN 1 THEN [0, 1] WHEN 2 THEN [1] WHEN 3 THEN [0, 2] WHEN 4 THEN [1, 2] ELSE [2] END) AS a FROM b), s AS (SELECT site, a, sum(gain) AS s FROM e WHERE a > 0 GROUP BY ALL),
+  k AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY s DESC, a) AS k FROM s) SELECT site, string_agg(a, ',' ORDER BY a) AS kept FROM k WHERE k <= 1 GROUP BY site""",
+)
+def likeliest_alternates(spark, d):
+    from ..operators import alleles as al
+
+    return al.best_alleles_kept(_six(spark, d), ["site"], "pl", 3, 1).select("site", F.array_join("kept", ",").alias("kept"))
+
+
+@query(
+    "q57_biallelic_calls",
+    f"""WITH {GT}, {PL6}, c AS (SELECT *, [line % 3, sample % 3] AS g, k FROM six, (VALUES (1), (2)) t(k)), q AS (SELECT site, k, CASE k WHEN 1 THEN [pl[1], pl[2], pl[3]] ELSE [pl[1], pl[4], pl[6]] END AS pl, CASE k WHEN 1 THEN line ELSE dp END AS a, (g[1] = 0 OR g[2] = 0 OR g[1] = g[2]) AS called, CAST(g[1] = k AS INT) + CAST(g[2] = k AS INT) AS n FROM c)
+SELECT site, CAST(k AS BIGINT) AS alt_no, CAST(sum(pl[1] - list_min(pl)) AS BIGINT) AS s0, CAST(sum(pl[2] - list_min(pl)) AS BIGINT) AS s1, CAST(sum(pl[3] - list_min(pl)) AS BIGINT) AS s2, CAST(sum(a) AS BIGINT) AS ad, CAST(sum(CASE WHEN called THEN n ELSE -2 END) AS BIGINT) AS copies FROM q GROUP BY ALL""",
+)
+def biallelic_calls(spark, d):
+    from ..operators import alleles as al
+
+    rows = _six(spark, d).select("site", "pl", F.array(F.lit(0).cast("long"), "line", "dp").alias("ad"), F.array((F.col("line") % 3).cast("int"), (F.col("sample") % 3).cast("int")).alias("g"))
+    out = al.biallelic_calls(rows, "pl", "ad", "g", 2)
+    sums = [F.sum(F.get("pl", F.lit(k))).cast("long").alias(f"s{k}") for k in range(3)]
+    return out.groupBy("site", F.col("alt_no").cast("long").alias("alt_no")).agg(*sums, F.sum(F.get("ad", F.lit(1))).alias("ad"), F.sum(F.get("gt", F.lit(0)) + F.get("gt", F.lit(1))).cast("long").alias("copies"))
+
+
+@query("q56_rms_mq_older_field", f"WITH {GT}, s AS (SELECT site, sum(CASE WHEN line > 3 THEN dp * dp WHEN line > 1 THEN p2 * 60 END) AS s, sum(CASE WHEN line > 3 THEN line WHEN line > 1 THEN dp - dp // 2 END) AS n FROM gt GROUP BY site) SELECT site, {r('CASE WHEN n > 0 THEN sqrt(s / CAST(n AS DOUBLE)) END')} AS mq FROM s")
+def rms_mq_older_field(spark, d):
+    line, dp = F.col("line"), F.col("dp")
+    g = genotypes(spark, d).select("site", "dp", F.when(line > 3, F.array(dp * dp, line)).alias("raw"), F.when((line > 1) & (line <= 3), F.get("pl", F.lit(2)).cast("long") * 60).alias("older"))
+    out = gt.root_mean_square_quality(g, ["site"], "raw", "older", "dp", F.floor(dp / 2))
+    return out.select("site", rounded(F.col("mq")).alias("mq"))
+
+
+@query("q56_quality_by_depth_jitter", f"WITH {GT}, s AS (SELECT site, sum(p0 * dp) / CAST(sum(line) AS DOUBLE) AS qd FROM gt GROUP BY site) SELECT site, CASE WHEN qd < 35 THEN {r('qd')} ELSE -1 END AS qd, true AS plausible FROM s")
+def quality_by_depth_jitter(spark, d):
+    s = genotypes(spark, d).groupBy("site").agg(F.sum(F.get("pl", F.lit(0)) * F.col("dp")).alias("q"), F.sum("line").alias("n"))
+    qd, raw = gt.quality_by_depth(F.col("q"), F.col("n"), [F.col("site")]), F.col("q") / F.col("n")
+    return s.select("site", F.when(raw < 35, rounded(raw)).otherwise(-1.0).alias("qd"), ((qd > 0) & ((raw >= 35) | (qd == raw)) & (qd < 60)).alias("plausible"))
+
+
+@query("q60_two_pass_filter", f"WITH {GT}, c AS (SELECT site, p0, count(*) AS n FROM gt GROUP BY ALL), k AS (SELECT site, p0, sum(p0 * n) OVER w / CAST(sum(n) OVER w AS DOUBLE) AS mean FROM c WINDOW w AS (PARTITION BY site ORDER BY p0 ROWS UNBOUNDED PRECEDING)), t AS (SELECT site, max(p0) AS t FROM k WHERE mean <= 20 GROUP BY site) SELECT gt.site, count(*) FILTER (t IS NULL OR p0 > t) AS n_failed, count(*) AS n FROM gt LEFT JOIN t USING (site) GROUP BY gt.site")
+def two_pass_filter(spark, d):
+    from ..operators import filters
+
+    g = genotypes(spark, d).select("site", F.get("pl", F.lit(0)).cast("long").alias("v"))
+    return filters.two_pass(g, ["site"], "v", 20.0).groupBy("site").agg(F.count_if("failed").alias("n_failed"), F.count("*").alias("n"))
+
+
+@query("q33_tetraploid_model")
+def tetraploid_model(spark, d):
+    p = [F.get("pl", F.lit(k)) for k in range(3)]
+    g = genotypes(spark, d).select("site", F.array(p[0], p[1], p[2], p[1] + p[2], p[0] + p[2]).alias("pl"))
+    out = models.exact(g, ["site"], 0.001, 4)
+    return out.select("site", "n", rounded(F.col("qual"), 2).alias("qual"), "mle_ac")

@@ -228,3 +228,15 @@ def test_gates_and_filters(spark):
     assert spark.range(1).select(t.passed, (~t).passed, (t | ~t).passed, (t & ~t).passed).first()[:] == (False, True, True, False)
     reads = spark.createDataFrame([("r", 0, "c", 5, 0, "2S2M1D1M", "=", 0, 0, "ACGTA", "!!III", 8)], "name string, flags int, contig string, start long, mapq int, cigar string, mate_contig string, mate_start long, tlen int, seq string, qual string, end long")
     assert [tuple(r) for r in pileup.bases(reads).orderBy("pos").select("pos", "base", "quality").collect()] == [(5, "G", 40), (6, "T", 40), (7, "-", None), (8, "A", 40)]
+
+
+def test_any_ploidy_by_summing_all_genotypes():
+    rng = np.random.default_rng(7)
+    for ploidy in (1, 3, 4):
+        gl = -rng.integers(0, 40, (3, ploidy + 1)) / 10.0
+        want = np.zeros(3 * ploidy + 1)
+        for g in itertools.product(range(ploidy + 1), repeat=3):
+            want[sum(g)] += math.prod(math.comb(ploidy, k) * 10 ** gl[i, k] for i, k in enumerate(g))
+        want = np.log10(want) - np.log10([math.comb(3 * ploidy, k) for k in range(3 * ploidy + 1)])
+        assert models.count_likelihoods(gl, np.ones(3)) == pytest.approx(want)
+        assert models.exact_site(gl, np.ones(3), 0.001)[4] == want.argmax()
