@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,15 +78,58 @@ def coverage_outliers(df: DataFrame, total: str, low: float, high: float) -> Dat
     return df.crossJoin(F.broadcast(bounds)).where((F.col(total) > 0) & (F.col(total) > low * F.col("_median")) & (F.col(total) < high * F.col("_mean"))).drop("_median", "_mean")
 
 
-#: Starts of windows that one piece of a text holds: finding a character takes time in proportion to its place.
-_PIECE = 256
+#: Characters of texts whose windows are counted together before they are shuffled, unless one text is longer.
+_COUNTED = 1 << 20
+
+
+def _window_counts(texts: list[str], k: int) -> tuple[list[str], np.ndarray]:
+    """Distinct windows of ``k`` characters of all texts, and how often each occurs."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
+    ends = np.cumsum([len(t) for t in texts])
+    start = np.ones(max(len(points) - k + 1, 0), bool)
+    for back in range(1, k):  # no window reaches over a text's end
+        at = ends[:-1] - back
+        start[at[(at >= 0) & (at < len(start))]] = False
+    start = np.flatnonzero(start)
+    if not len(start):
+        return [], start
+    mark = np.zeros(len(start), np.uint64)
+    for j in range(k):
+        mark = (mark ^ points[start + j]) * np.uint64(0x9E3779B97F4A7C15)
+        mark ^= mark >> np.uint64(29)
+    order = np.argsort(mark, kind="stable")
+    mark, start = mark[order], start[order]
+    same = mark[1:] == mark[:-1]
+    for j in range(k):  # equal marks of other characters are told apart here
+        same &= points[start[1:] + j] == points[start[:-1] + j]
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    text = points[start[first][:, None] + np.arange(k)].astype("<u4").tobytes().decode("utf-32-le")
+    return [text[i : i + k] for i in range(0, len(text), k)], np.diff(np.append(first, len(start)))
 
 
 def kmers(df: DataFrame, keys: list[str], text: str, k: int, least: int = 1) -> DataFrame:
-    """(keys, kmer, n) of every window of ``k`` characters, counts under ``least`` dropped."""
-    at = F.expr(f"if(length(`{text}`) >= {k}, sequence(1, length(`{text}`) - {k - 1}, {_PIECE}), cast(array() as array<int>))")
-    piece = F.transform(at, lambda i: F.substring(F.col(text), i, F.lit(_PIECE + k - 1)))
-    pieces = df.select(*keys, F.explode(piece).alias("_piece"))
-    starts = F.sequence(F.lit(1), F.length("_piece") - k + 1)
-    exploded = pieces.select(*keys, F.explode(F.transform(starts, lambda i: F.substring(F.col("_piece"), i, F.lit(k)))).alias("kmer"))
-    return exploded.groupBy(*keys, "kmer").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    """(keys, kmer, n) of every window of ``k`` characters, counts under ``least`` dropped; a null text has none.
+
+    Windows are counted over about a million characters at a time in Arrow batches, so what is shuffled are partial counts.
+    """
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys), "kmer string, n long"])
+
+    def run(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).append_column("_row", pa.array(np.arange(batch.num_rows)))
+            groups = table.group_by(keys).aggregate([("_row", "list")]) if keys else None
+            rows = groups.column("_row_list").to_pylist() if keys else [list(range(batch.num_rows))]
+            column = batch.column(len(keys))
+            for g, own in enumerate(rows):
+                held, size = [], 0
+                for n, row in enumerate(own):
+                    held.append(column[row].as_py() or "")
+                    size += len(held[-1])
+                    if size >= _COUNTED or n == len(own) - 1:
+                        found, counts = _window_counts(held, k)
+                        given = [pa.array([groups.column(c)[g].as_py()] * len(found), batch.schema.field(c).type) for c in keys]
+                        yield pa.RecordBatch.from_arrays([*given, pa.array(found, pa.string()), pa.array(counts, pa.int64())], names=[*keys, "kmer", "n"])
+                        held, size = [], 0
+
+    partial = df.select(*keys, text).mapInArrow(run, schema)
+    return partial.groupBy(*keys, "kmer").agg(F.sum("n").alias("n")).where(F.col("n") >= least)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jointspark.functions import alignment, distributions, models
 from jointspark.functions import statistics as st
-from jointspark.operators import annotations, features, filters, gates, intervals, pileup, sites, somatic
+from jointspark.operators import annotate, annotations, features, filters, gates, intervals, pileup, sites, somatic
 from jointspark.plans import jobs
 from jointspark.sinks import tables as out_tables
 from jointspark.sinks import vcf as out
@@ -240,3 +240,14 @@ def test_any_ploidy_by_summing_all_genotypes():
         want = np.log10(want) - np.log10([math.comb(3 * ploidy, k) for k in range(3 * ploidy + 1)])
         assert models.count_likelihoods(gl, np.ones(3)) == pytest.approx(want)
         assert models.exact_site(gl, np.ones(3), 0.001)[4] == want.argmax()
+
+
+def test_kmers_of_texts_with_any_characters(spark):
+    import collections
+
+    texts = ["abcabc", "", None, "ab", "\x00\x00\x00a\x00\x00\x00a", "é日本😀é日本😀", "abc"]
+    df = spark.createDataFrame([(k % 2 if k != 3 else None, t) for k, t in enumerate(texts)], "g long, t string")
+    want = collections.Counter((k % 2 if k != 3 else None, t[i : i + 3]) for k, t in enumerate(texts) for i in range(len(t or "") - 2))
+    got = {(r["g"], r["kmer"]): r["n"] for r in annotate.kmers(df, ["g"], "t", 3).collect()}
+    assert got == dict(want)
+    assert {r["kmer"]: r["n"] for r in annotate.kmers(df, [], "t", 3, 2).collect()} == {"abc": 3, "\x00\x00\x00": 2, "\x00\x00a": 2, "é日本": 2, "日本😀": 2}
