@@ -55,42 +55,119 @@ def frequencies(df: DataFrame, keys: list[str]) -> DataFrame:
     return mapped(grouped(df, keys), keys, run, ["p0", "p1", "p2", "n"], "n long, af double", ["p0", "p1", "p2"])
 
 
-def _times(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Convolution of two arrays of natural logarithms up to index ``most``; no term underflows, however far from the peak."""
-    if len(a) < len(b):
-        a, b = b, a
-    size = min(len(a) + len(b) - 1, most + 1)
-    out = np.full(size, -np.inf)
-    for k, x in enumerate(b[:size]):
-        part = out[k : k + len(a)]
-        np.logaddexp(part, a[: len(part)] + x, out=part)
-    return out
+#: Length of a product of polynomials from which it is taken by Fourier transforms.
+_DIRECT = 8192
+#: Share of the largest coefficient above which one is trusted: plain products of positive numbers keep every digit, transforms do not.
+_TRUST, _TRUST_FOURIER = 1e-250, 1e-9
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    size = len(a) + len(b) - 1
+    if size < _DIRECT or min(len(a), len(b)) < 64:
+        return np.convolve(a, b)
+    n = 1 << (size - 1).bit_length()
+    return np.maximum(np.fft.irfft(np.fft.rfft(a, n) * np.fft.rfft(b, n), n)[:size], 0)
+
+
+class Counts:
+    """log10 likelihoods of alternate copies among samples, where they are asked for.
+
+    A sample's likelihoods, weighted by the frequency ``p`` of a copy, are a distribution of its copies, and those of all
+    samples convolved are one of the site's.  Around its mean the numbers are well inside what a double holds; other counts
+    are reached by the frequency whose mean they are.
+    """
+
+    def __init__(self, gl: np.ndarray, n: np.ndarray):
+        self.ploidy = gl.shape[1] - 1
+        self.n, self.samples = n.astype(np.int64), int(n.sum())
+        self.copies = self.ploidy * self.samples
+        self.k = np.arange(self.ploidy + 1)
+        self.top = gl.max(axis=1, keepdims=True)
+        self.linear = 10.0 ** (gl - self.top) * [math.comb(self.ploidy, int(j)) for j in self.k]
+        self.ends = float(gl[:, 0] @ n), float(gl[:, -1] @ n)
+        lg = _lgamma(self.copies)
+        self.ways = (lg[self.copies] - lg - lg[::-1]) / LN10
+
+    def _weighted(self, p: float) -> tuple[np.ndarray, np.ndarray]:
+        rows = self.linear * (p**self.k * (1 - p) ** (self.ploidy - self.k))
+        total = rows.sum(axis=1, keepdims=True)
+        return rows / total, total
+
+    def mean(self, p: float) -> float:
+        return float(self.n @ (self._weighted(p)[0] @ self.k))
+
+    def frequency_of(self, count: float) -> float:
+        """The frequency under which ``count`` copies are expected."""
+        low, high = -60.0, 60.0
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (middle, high) if self.mean(1 / (1 + math.exp(-middle))) < count else (low, middle)
+        return 1 / (1 + math.exp(-(low + high) / 2))
+
+    def around(self, p: float) -> tuple[int, np.ndarray]:
+        """(first count, log10 likelihoods) of the counts that are trusted under a frequency."""
+        rows, total = self._weighted(p)
+        level: list[np.ndarray] = []
+        for row, often in zip(rows, self.n.tolist(), strict=True):
+            square, power = row, None
+            while often:
+                if often & 1:
+                    power = square if power is None else _times(power, square)
+                often >>= 1
+                if often:
+                    square = _times(square, square)
+            level.append(power)
+        while len(level) > 1:
+            level.sort(key=len)
+            level = [_times(*level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+        values = level[0]
+        good = values > values.max() * (_TRUST if self.copies + 1 < _DIRECT else _TRUST_FOURIER)
+        peak = int(values.argmax())
+        a = peak - int(np.argmin(good[: peak + 1][::-1])) + 1 if not good[: peak + 1].all() else 0
+        b = peak + int(np.argmin(good[peak:])) if not good[peak:].all() else len(values)
+        k = np.arange(a, b)
+        scale = float(self.n @ (np.log10(total) + self.top)[:, 0])
+        z = np.log10(values[a:b]) + scale - k * math.log10(p) - (self.copies - k) * math.log1p(-p) / LN10
+        return a, z - self.ways[a:b]
+
+    def values(self, need) -> tuple[int, np.ndarray]:
+        """(first count, log10 likelihoods): from around the likeliest count outwards, while ``need(values, at the left end)`` asks for more."""
+        a, found = self.around(self.frequency_of(min(max(self._start(), 0.5), self.copies - 0.5)))
+        while a > 0 and need(found, True):
+            b, more = self.around(self.frequency_of(max(a - 0.5, 0.25)))
+            more = more[: a - b]
+            a, found = (b, np.concatenate([more, found])) if len(more) and b < a else (0, np.concatenate([[self.ends[0]], np.full(a - 1, -np.inf), found]))
+        while a + len(found) <= self.copies and need(found, False):
+            end = a + len(found)
+            b, more = self.around(self.frequency_of(min(end + 0.5, self.copies - 0.25)))
+            more = more[end - b :] if b <= end else more[:0]
+            found = np.concatenate([found, more]) if len(more) else np.concatenate([found, np.full(self.copies - end, -np.inf), [self.ends[1]]])
+        if a == 0:
+            found[0] = self.ends[0]
+        if a + len(found) == self.copies + 1:
+            found[-1] = self.ends[1]
+        return a, found
+
+    def _start(self) -> float:
+        """Expected copies at the frequency that expectation maximisation finds."""
+        af, before = 0.5, 0.0
+        for _ in range(100):
+            af = self.mean(af) / self.copies
+            if abs(af - before) < 1 / (100 * self.copies) or af < 1 / (5 * self.copies):
+                break
+            before = af
+        return af * self.copies
 
 
 def count_likelihoods(gl: np.ndarray, n: np.ndarray, most: int | None = None) -> np.ndarray:
-    """log10 likelihood of alternate allele counts up to ``most``; equal samples are raised to their number by squaring.
+    """log10 likelihood of alternate allele counts up to ``most``.
 
     ``gl`` has a column for each number of alternate copies of a sample, three for diploid ones.
     """
-    ploidy = gl.shape[1] - 1
-    ways = np.log([math.comb(ploidy, k) for k in range(ploidy + 1)])
-    copies = ploidy * int(n.sum())
-    most = copies if most is None else min(most, copies)
-    level: list[np.ndarray] = []
-    for row, often in zip(gl, n.astype(int), strict=True):
-        square, power = row * LN10 + ways, None
-        while often:
-            if often & 1:
-                power = square if power is None else _times(power, square, most)
-            often >>= 1
-            if often:
-                square = _times(square, square, most)
-        level.append(power)
-    while len(level) > 1:
-        level = [_times(*level[k : k + 2], most) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-    values = level[0][: most + 1]
-    lg, k = _lgamma(copies), np.arange(len(values))
-    return (values - (lg[copies] - lg[k] - lg[copies - k])) / LN10
+    counts = Counts(gl, n)
+    most = counts.copies if most is None else min(most, counts.copies)
+    a, found = counts.values(lambda _, left: True)
+    return found[: most + 1]
 
 
 def _sum10(x: np.ndarray) -> float:
@@ -101,23 +178,26 @@ def _sum10(x: np.ndarray) -> float:
 def exact_site(gl: np.ndarray, n: np.ndarray, theta: float) -> tuple[float, float, float, float, int]:
     """(log10 likelihoods of no and of some alternate copy, log10 priors of both, likeliest count).
 
-    The expectation-maximisation estimate says how many counts are worth a first look; more are taken until one at
-    or above the likeliest lies ``EARLY_STOP`` below it.
+    Counts are added up from the estimate of expectation maximisation outwards: to the right until one lies ``EARLY_STOP`` below
+    the likeliest, to the left until they no longer matter.
     """
-    copies = (gl.shape[1] - 1) * int(n.sum())
-    count = frequency(gl, n) * copies
-    most = min(copies, int(count + 6 * math.sqrt(copies) + 32))
-    while True:
-        likelihood = count_likelihoods(gl, n, most)
-        if most == copies or likelihood[-1] < likelihood.max() - EARLY_STOP:
-            break
-        most = min(copies, 2 * most)
+    counts = Counts(gl, n)
+
+    def need(found: np.ndarray, left: bool) -> bool:
+        top = found.max()
+        return found[0] > top - 14 if left else found[-1] >= top - EARLY_STOP
+
+    a, likelihood = counts.values(need)
     mle = int(likelihood.argmax())
     low = np.flatnonzero(likelihood[mle:] < likelihood[mle] - EARLY_STOP)
     if len(low):
         likelihood = likelihood[: mle + low[0] + 1]
-    prior = heterozygosity_prior(theta, copies)
-    return float(likelihood[0]), _sum10(likelihood[1:]) if len(likelihood) > 1 else -math.inf, float(prior[0]), _sum10(prior[1:]), mle
+    prior = heterozygosity_prior(theta, counts.copies)
+    some = likelihood[1:] if a == 0 else likelihood
+    mle = a + mle
+    if mle and counts.ends[0] > likelihood.max():
+        mle = 0
+    return counts.ends[0], _sum10(some) if len(some) else -math.inf, float(prior[0]), _sum10(prior[1:]), mle
 
 
 def exact(df: DataFrame, keys: list[str], theta: float, ploidy: int = 2) -> DataFrame:
