@@ -89,7 +89,11 @@ def merged(df: DataFrame, abutting: bool = True, size: int = BIN) -> DataFrame:
         return _joined(local, 0, size)
     cut = binned(df.select("contig", "start", "end"), size)
     cut = cut.select("contig", "bin", F.greatest("start", F.col("bin") * size).alias("start"), F.least("end", F.col("bin") * size + size - 1).alias("end"))
-    return _joined(_islands(cut, ["contig", "bin"], 1), 1, size)
+    local = _islands(cut, ["contig", "bin"], 1)
+    # Only what touches a bin's edge can go on in the next one: two runs a bin at most meet per contig.
+    touches = (F.col("start") == F.col("bin") * size) | (F.col("end") == F.col("bin") * size + size - 1)
+    inner = local.where(~touches).select("contig", "start", "end")
+    return inner.union(_islands(local.where(touches).select("contig", "start", "end"), ["contig"], 1))
 
 
 def swept(a: DataFrame, b: DataFrame) -> DataFrame:
