@@ -172,3 +172,31 @@ def _digamma(x: np.ndarray) -> np.ndarray:
         out[low] -= 1 / x[low]
         x[low] += 1
     return out + np.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+
+
+def normal_quantile(p: float) -> float:
+    """z below which a standard normal value lies with probability ``p``."""
+    low, high = -40.0, 40.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if 0.5 * math.erfc(-middle / math.sqrt(2)) < p else (low, middle)
+    return (low + high) / 2
+
+
+def exact_rank_p(values: np.ndarray, first: np.ndarray) -> float:
+    """One-sided exact P of the first group's rank sum: all choices with less, and half of those with as much; nan if a group is empty.
+
+    Ranks of ties are their mean.  Choices are counted by size and doubled rank sum, one value at a time, so none is listed.
+    """
+    n, n1 = len(values), int(first.sum())
+    if not 0 < n1 < n:
+        return math.nan
+    _, back, often = np.unique(values, return_inverse=True, return_counts=True)
+    upto = np.cumsum(often)
+    doubled = (2 * upto - often + 1)[back.reshape(-1)]
+    ways = np.zeros((n1 + 1, int(doubled.sum()) + 1))
+    ways[0, 0] = 1
+    for d in doubled.tolist():
+        ways[1:, d:] += ways[:-1, : ways.shape[1] - d].copy()
+    own = int(doubled[first.astype(bool)].sum())
+    return float((ways[n1, :own].sum() + ways[n1, own] / 2) / ways[n1].sum())

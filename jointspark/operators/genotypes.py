@@ -209,3 +209,23 @@ def root_mean_square_quality(df: DataFrame, keys: list[str], raw: str, older: st
     squares = F.sum(F.coalesce(F.get(F.col(raw), F.lit(0)), F.col(older)))
     reads = F.sum(F.coalesce(F.get(F.col(raw), F.lit(1)), F.when(F.col(older).isNotNull(), F.col(depth) - reference_depth)))
     return df.groupBy(*keys).agg(squares.alias("_s"), reads.alias("_n")).select(*keys, F.when(F.col("_n") > 0, F.sqrt(F.col("_s") / F.col("_n"))).alias("mq"))
+
+
+#: Rows of either side from which the normal approximation is used.
+EXACT_BELOW = 10
+
+
+def small_rank_sums(df: DataFrame, keys: list[str], value: str, first: Column) -> DataFrame:
+    """(keys, n1, n2, p, z): the exact one-sided test of keys with fewer than ``EXACT_BELOW`` rows on either side."""
+    from ..functions.groups import mapped
+    from ..functions.statistics import exact_rank_p, normal_quantile
+
+    sizes = df.groupBy(*keys).agg(F.count_if(first).alias("_n1"), F.count_if(~first).alias("_n2"))
+    small = sizes.where((F.col("_n1") > 0) & (F.col("_n2") > 0) & (F.col("_n1") < EXACT_BELOW) & (F.col("_n2") < EXACT_BELOW)).select(*keys)
+    rows = df.withColumn("_first", first.cast("int")).withColumn("_value", F.col(value).cast("double")).join(small, keys, "left_semi")
+
+    def run(values, own):
+        p = exact_rank_p(values, own)
+        return int(own.sum()), int(len(own) - own.sum()), p, normal_quantile(p)
+
+    return mapped(rows, keys, run, ["_value", "_first"], "n1 long, n2 long, p double, z double", ["_value", "_first"])

@@ -315,6 +315,18 @@ def mann_whitney(spark, d):
     return out.select("site", "n1", "n2", rounded(F.col("z")).alias("z"))
 
 
+@query(
+    "q39_exact_rank_sums",
+    f"""WITH {GT}, g AS (SELECT DISTINCT site, dp % 10 AS k, count(*) FILTER (l_returnflag <> 'N') OVER w AS n1, count(*) FILTER (l_returnflag = 'N') OVER w AS n2 FROM gt WINDOW w AS (PARTITION BY site, dp % 10))
+SELECT site, k, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, true AS inside FROM g WHERE n1 BETWEEN 1 AND 9 AND n2 BETWEEN 1 AND 9""",
+)
+def exact_rank_sums(spark, d):
+    """Small groups' exact tests; SQL says which groups and how large, a test by enumeration holds the probabilities."""
+    g = genotypes(spark, d).select("site", (F.col("dp") % 10).alias("k"), F.get("pl", F.lit(1)).alias("v"), "l_returnflag")
+    out = gt.small_rank_sums(g, ["site", "k"], "v", F.col("l_returnflag") != "N")
+    return out.select("site", "k", "n1", "n2", ((F.col("p") > 0) & (F.col("p") < 1) & F.abs("z").between(0, 40)).alias("inside"))
+
+
 @query("q40_gq_stats", f"WITH {GT} SELECT site, {r(f'avg({QUAL})')} AS gq_mean, {r(f'stddev_samp({QUAL})')} AS gq_stdev, count(*) FILTER (NOT ({CALLED})) AS n_no_call FROM gt GROUP BY site")
 def gq_stats(spark, d):
     pl = F.col("pl")

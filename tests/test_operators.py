@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jointspark.functions import alignment, distributions, models
 from jointspark.functions import statistics as st
-from jointspark.operators import annotate, annotations, features, filters, gates, intervals, pileup, sites, somatic
+from jointspark.operators import annotate, annotations, features, filters, gates, genotypes, intervals, pileup, sites, somatic
 from jointspark.plans import jobs
 from jointspark.sinks import tables as out_tables
 from jointspark.sinks import vcf as out
@@ -251,3 +251,19 @@ def test_kmers_of_texts_with_any_characters(spark):
     got = {(r["g"], r["kmer"]): r["n"] for r in annotate.kmers(df, ["g"], "t", 3).collect()}
     assert got == dict(want)
     assert {r["kmer"]: r["n"] for r in annotate.kmers(df, [], "t", 3, 2).collect()} == {"abc": 3, "\x00\x00\x00": 2, "\x00\x00a": 2, "é日本": 2, "日本😀": 2}
+
+
+def test_exact_rank_sums_by_enumeration(spark):
+    rng = np.random.default_rng(11)
+    for n, n1 in ((2, 1), (5, 2), (7, 3), (9, 6)):
+        values = rng.integers(0, 4, n).astype(float)
+        first = np.zeros(n, int)
+        first[rng.permutation(n)[:n1]] = 1
+        rank = np.array([(values < v).sum() + ((values == v).sum() + 1) / 2 for v in values])
+        own = rank[first == 1].sum()
+        sums = [sum(rank[k] for k in c) for c in itertools.combinations(range(n), n1)]
+        want = sum(1.0 if x < own - 1e-9 else 0.5 if abs(x - own) < 1e-9 else 0.0 for x in sums) / len(sums)
+        assert st.exact_rank_p(values, first) == pytest.approx(want)
+    assert math.isnan(st.exact_rank_p(np.array([1.0]), np.array([1]))) and st.normal_quantile(0.975) == pytest.approx(1.959964, abs=1e-6)
+    df = spark.createDataFrame([("a", 1, True), ("a", 2, False), ("b", 1, True), *[("c", k, k % 2 == 0) for k in range(40)]], "g string, v int, f boolean")
+    assert rows(genotypes.small_rank_sums(df, ["g"], "v", F.col("f")).select("g", "n1", "n2", "p")) == [("a", 1, 1, 0.25)]
