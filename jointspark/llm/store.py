@@ -68,6 +68,22 @@ class Workspace:
         out._jointspark_path = path
         return out
 
+    def split(self, df: DataFrame, name: str, column: str, n: int) -> list[DataFrame]:
+        """Tables of the rows whose ``column`` is 0 to n - 1, without it, written together and dropped each on its own."""
+        path = f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
+        with shuffles_removed(self.spark):
+            df.write.option("compression", "zstd").partitionBy(column).parquet(path)
+        out = []
+        for k in range(n):
+            own = f"{path}/{column}={k}"
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(own)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(p)
+            # Without basePath the folder's name would be read as a column.
+            table = self.spark.read.option("basePath", own).schema(df.drop(column).schema).parquet(own)
+            table._jointspark_path = own
+            out.append(table)
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             path = getattr(table, "_jointspark_path", None)

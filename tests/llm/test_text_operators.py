@@ -1,9 +1,12 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing names."""
 
 import collections
+import contextlib
 import hashlib
 import math
+import os
 import re
+import threading
 import zlib
 
 import numpy as np
@@ -12,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from jointspark.llm import bpe, lm, media, minhash, packing, pii, quality, substring, urls, warc
+from jointspark.llm import bpe, lm, media, minhash, packing, pii, quality, store, substring, urls, warc
 from jointspark.llm.queries import QUERIES, SQL
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -256,6 +259,51 @@ def test_tree_grows_with_the_corpus(spark):
     assert [got[i]["score"] for i in range(len(texts))] == pytest.approx(want)
 
 
+def test_blocks_and_turns_do_not_change_scores(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.4, rng.integers(0, 200)) % 100) for _ in range(120)]
+    tokens = [[*words(t), None] for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    want, states = suffix_tree_scores([t for t, h in zip(tokens, held, strict=True) if not h], tokens)
+    assert {len(s) for s in states} == {1, 2, 3}
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(lm, "PART_TOKENS", 500)
+    got = collected(lm.scored(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)))
+    assert [got[i]["score"] for i in range(len(texts))] == pytest.approx(want)
+
+
+def test_language_model_leaves_little_on_disk_at_once(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 1000) % 30_000), "en", "s", 1) for i in range(600)], SCHEMA)
+    docs.coalesce(4).write.parquet(str(tmp_path / "docs"))
+    folders = [*(str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()), store.shared_folder(spark).removeprefix("file://")]
+
+    def used():
+        return sum(e.stat().st_size for top in folders for d, _, names in os.walk(top) for e in os.scandir(d) if e.name in names)
+
+    def rows():
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    floor, shuffled, peaks, over = used(), rows(), [0], threading.Event()
+
+    def watch():
+        while not over.is_set():
+            with contextlib.suppress(OSError):  # a file may go meanwhile
+                peaks.append(used())
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        lm.scored(spark.read.parquet(str(tmp_path / "docs"))).write.format("noop").mode("overwrite").save()
+    finally:
+        over.set()
+        watcher.join()
+    size = sum(p.stat().st_size for p in (tmp_path / "docs").glob("*.parquet"))
+    assert rows() - shuffled < 600_000 / 10  # texts and parts, not grams
+    assert max(peaks) - floor < 6 * size  # 4.5 as measured; 11.2 and 1,034,946 rows when grams were rows
+
+
 def test_bpe_equals_the_library(docs, rows):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
