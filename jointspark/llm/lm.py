@@ -51,11 +51,11 @@ STRENGTH = 4.0
 BLOCK_BYTES = 8 << 20
 #: Tokens for each part that keys are dealt into.
 PART_TOKENS = 2 << 20
-#: Pairs of symbols, the most numerous grams, are counted in so many rounds, each with a share of the parts.
+#: Questions are answered in so many rounds, each with a share of the parts; in a small corpus only those about pairs of symbols.
 ROUNDS = 3
 #: Blocks take their answers in so many turns, which bounds what is shuffled at once; 2**32 % TURNS is 1, so that a task's blocks fall into all.
 TURNS = 3
-#: Without effect: grams are thinned by exact counts, not by a filter. Kept for callers that set it.
+#: Without effect: grams are thinned by exact counts, not by a filter. Kept as a test sets it.
 FILTER_MOST = 1 << 29
 _END = U64(0x454E44)
 _BITS = 15
@@ -484,18 +484,19 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     model.least, model.listed = min(LEAST, max(2, P_MIN * tokens)), min(LISTED, max(1, Q_MIN * tokens))
     last = _Block.take_words
     if tokens:
+        rounds = ROUNDS if len(states) > 1 else 1
         steps = [(_after_words, _counted, ROUNDS)]
         for depth in range(1, DEPTH + 1):
-            steps.append((_after_grams(depth), _tested, 1))
+            steps.append((_after_grams(depth), _tested, rounds))
             if depth < DEPTH:
-                steps.append((_after_contexts(depth), _counted, 1))
-        for step, of, rounds in steps:
+                steps.append((_after_contexts(depth), _counted, rounds))
+        for step, of, n in steps:
             done = [ws.split(joined(k).applyInArrow(_stepped(model, step), _COLUMNS), "steps", "kind", 2) for k in range(len(states))]
             ws.drop(*answers)
             for state, (own, _) in zip(states, done, strict=True):
                 state.append(own)
             asks = [a for _, a in done]
-            answers = answered(reduce(DataFrame.union, asks), of, sums if of is _counted else "", rounds)
+            answers = answered(reduce(DataFrame.union, asks), of, sums if of is _counted else "", n)
             ws.drop(*asks)
         last = _after_last
     columns = f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
