@@ -75,10 +75,27 @@ def grouped_on_start(records: DataFrame, keys: list[str], order: list[str]) -> D
 
 
 def rightmost(calls: DataFrame, features: DataFrame, order: list[str]) -> DataFrame:
-    """Each call with the feature that begins last among those that overlap it."""
-    hits = intervals.overlap_join(calls, features)
-    kept = [c for c in hits.columns if c.endswith("_r")]
-    return hits.groupBy(*calls.columns).agg(F.max_by(F.struct(*kept), F.struct("start_r", *(f"{c}_r" for c in order))).alias("feature"))
+    """Each call with the feature that begins last among those that overlap it, the largest by ``order`` of equal starts.
+
+    That is the last to start up to the call's end, or else the one on top where the call starts after all are painted in their
+    order; pairs are not made.  Rows whose end lies before their start are paired, as both tests have to hold for them.
+    """
+    from . import sites
+
+    plain = F.col("start") <= F.col("end")
+    whole = F.struct(F.col("start").alias("start_r"), *(F.col(c).alias(f"{c}_r") for c in [*order, *(c for c in features.columns if c not in ("start", *order))]))
+    # Of features on one interval the largest hides the others.
+    f = features.where(plain & F.col("contig").isNotNull()).groupBy("contig", "start", "end").agg(F.max(whole).alias("_f"))
+    pieces = sites.latest_pieces(f.withColumn("sample", F.lit(0)), ["_f"]).select("contig", F.col("first").alias("pos"), "last", "_f")
+    c = calls.where(plain)
+    c = intervals.last_before(c, "end", f.select("contig", F.col("start").alias("pos"), "_f"), F.col("_f"), "_by_end")
+    c = intervals.last_before(c, "start", pieces, F.struct("pos", "last", "_f"), "_by_start")
+    inside = F.when(F.col("_by_end.start_r") >= F.col("start"), F.col("_by_end"))
+    under = F.when(F.col("_by_start.last") >= F.col("start"), F.col("_by_start._f"))
+    found = c.select(*calls.columns, F.coalesce(inside, under).alias("feature")).where("feature is not null")
+    odd = intervals.overlap_join(calls.where(~plain), features).unionByName(intervals.overlap_join(calls.where(plain), features.where(~plain)))
+    odd = odd.select(*calls.columns, F.struct("start_r", *(f"{x}_r" for x in [*order, *(c for c in features.columns if c not in ("start", *order))])).alias("feature"))
+    return found.union(odd).groupBy(*calls.columns).agg(F.max("feature").alias("feature"))
 
 
 def spanning(df: DataFrame, keys: list[str]) -> DataFrame:

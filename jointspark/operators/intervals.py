@@ -6,6 +6,8 @@ equal keys are (contig, bin), and only what is left after merging inside bins me
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,15 @@ def carried(df: DataFrame, order: list[str], column: Column, how, output: str, f
     return out.withColumn(output, both).drop("_value", "_carry", "_inside")
 
 
+def last_before(points: DataFrame, at: str, events: DataFrame, value: Column, output: str) -> DataFrame:
+    """Adds the largest ``value`` of the events(contig, pos, ..) at or before a row's ``at`` on its contig, null if there is none."""
+    steps = events.select("contig", "pos", value.alias("_v")).groupBy("contig", "pos").agg(F.max("_v").alias("_v"))
+    asked = points.select("contig", F.col(at).alias("pos")).distinct().withColumn("_v", F.lit(None).cast(steps.schema["_v"].dataType))
+    both = in_bins(steps.union(asked).where("contig is not null and pos is not null").groupBy("contig", "pos").agg(F.max("_v").alias("_v")), "pos")
+    upto = carried(both, ["pos"], F.col("_v"), F.max, output, "upto").select("contig", F.col("pos").alias(at), output)
+    return points.join(upto, ["contig", at], "left")
+
+
 def with_following(df: DataFrame, at: str, output: str, size: int = BIN) -> DataFrame:
     """Adds the next value of ``at`` on the contig, null after the last; rows have distinct values."""
     df = in_bins(df, at, size)
@@ -169,10 +180,17 @@ def uncovered(sites: DataFrame, windows: DataFrame) -> DataFrame:
     return coverage(sites, windows, []).where("n = 0").select("contig", "pos")
 
 
+def fitting(df: DataFrame) -> int:
+    """A bin size near the mean length, so that intervals touch three bins at most on average, of whatever lengths they are."""
+    mean = df.agg(F.avg(F.abs(F.col("end") - F.col("start")) + 1)).first()[0]
+    return max(16, 1 << math.ceil(math.log2(mean or 1)))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, size: int = BIN, how: str = "inner") -> DataFrame:
     """Rows of ``left`` and ``right`` (columns suffixed _r) that share a position; each pair once.
 
-    A pair is taken in the first bin both sides touch.  ``left`` keeps unmatched rows if ``how`` is "left".
+    A pair is taken in the first bin both sides touch.  ``left`` keeps unmatched rows if ``how`` is "left".  What meets in a bin
+    grows with ``size``, the rows with what does not fit one; :func:`fitting` balances both.
     """
     r = right.select(*(F.col(c).alias(f"{c}_r") for c in right.columns))
     r = r.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start_r") / size), F.floor(F.col("end_r") / size))))
@@ -192,6 +210,34 @@ def overlap_join(left: DataFrame, right: DataFrame, size: int = BIN, how: str =
     return kept.drop("_id", "_lbin", "_rbin", "_met")
 
 
+def overlap_sums(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
+    """Rows of ``left`` that share a position with any of ``right``, with n and total: number and sum of ``value`` over those.
+
+    What overlaps is what starts up to a row's end without what ends before its start, so pairs are not made.  Only rows whose
+    end lies before their start are paired, as both tests have to hold for them.
+    """
+    plain = F.col("start") <= F.col("end")
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    r = right.where(plain & F.col("contig").isNotNull()).select("contig", "start", "end", F.coalesce(F.col(value), zero).alias("v"))
+    up = r.select("contig", F.col("start").alias("pos"), one.alias("up"), F.col("v").alias("vup"), zero.alias("down"), zero.alias("vdown"))
+    down = r.select("contig", (F.col("end") + 1).alias("pos"), zero, zero, one, F.col("v"))
+    l = left.where(plain & F.col("contig").isNotNull())  # noqa: E741
+    asked = l.select("contig", F.col("start").alias("pos"), zero, zero, zero, zero).union(l.select("contig", "end", zero, zero, zero, zero))
+    sums = ["up", "vup", "down", "vdown"]
+    steps = in_bins(up.union(down).union(asked).groupBy("contig", "pos").agg(*(F.sum(c).alias(c) for c in sums)), "pos")
+    total = steps.groupBy("contig", "bin").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
+    over = Window.partitionBy("contig").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    carry = total.select("contig", "bin", *(F.coalesce(F.sum(f"_{c}").over(over), F.lit(0)).alias(f"_{c}") for c in sums))
+    inside = Window.partitionBy("contig", "bin").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    upto = steps.join(carry, ["contig", "bin"]).select("contig", "pos", *((F.sum(c).over(inside) + F.col(f"_{c}")).alias(f"_{c}") for c in sums))
+    first = upto.select("contig", F.col("pos").alias("start"), "_down", "_vdown")
+    last = upto.select("contig", F.col("pos").alias("end"), "_up", "_vup")
+    found = l.join(first, ["contig", "start"]).join(last, ["contig", "end"])
+    found = found.select(*left.columns, (F.col("_up") - F.col("_down")).alias("n"), (F.col("_vup") - F.col("_vdown")).alias("total")).where("n > 0")
+    odd = overlap_join(left.where(~plain), right).unionByName(overlap_join(left.where(plain), right.where(~plain)))
+    return found.union(odd.select(*left.columns, one.alias("n"), F.coalesce(F.col(f"{value}_r"), zero).alias("total")))
+
+
 def overlapping(left: DataFrame, right: DataFrame, size: int = BIN) -> DataFrame:
     """Rows of ``left`` that share a position with any interval of ``right``."""
     cover = merged(right, size=size)
@@ -200,15 +246,30 @@ def overlapping(left: DataFrame, right: DataFrame, size: int = BIN) -> DataFrame
 
 
 def reciprocal(a: DataFrame, b: DataFrame, share: float) -> DataFrame:
-    """Pairs whose intersection is at least ``share`` of both lengths."""
-    pairs = overlap_join(a, b)
+    """Pairs (columns of ``b`` suffixed _r) whose intersection is at least ``share`` (in (0, 1]) of both lengths.
+
+    Lengths of a pair differ by ``share`` at most and starts by little more than the length, so rows meet by the power of two of
+    ``a``'s length and by starts in bins of that size: those that meet are nearly those that fit, at any mix of lengths.
+    """
+    length = F.col("end") - F.col("start") + 1
+    level = lambda n: F.floor(F.log2(n.cast("double"))).cast("int")
+    size = F.pow(F.lit(2.0), F.col("_level") + 1).cast("long")
+    low, near = share * (1 - 1e-9), (1 + 1e-9) / share
+    l = a.where(length > 0).withColumn("_level", level(length))  # noqa: E741
+    before, after = F.ceil(length * (near - 1)).cast("long") + 1, F.ceil(length * (1 - low)).cast("long") + 1
+    l = l.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("start") - before) / size), F.floor((F.col("start") + after) / size))))  # noqa: E741
+    r = b.where(length > 0).withColumn("_level", F.explode(F.sequence(F.greatest(level(length * low), F.lit(0)), level(length * near))))
+    r = r.withColumn("_bin", F.floor(F.col("start") / size)).select(*(F.col(c).alias(f"{c}_r") for c in b.columns), F.col("_level").alias("_level_r"), F.col("_bin").alias("_bin_r"))
     inter = F.least("end", "end_r") - F.greatest("start", "start_r") + 1
-    return pairs.where((inter >= share * (F.col("end") - F.col("start") + 1)) & (inter >= share * (F.col("end_r") - F.col("start_r") + 1)))
+    fits = (inter >= share * (F.col("end") - F.col("start") + 1)) & (inter >= share * (F.col("end_r") - F.col("start_r") + 1))
+    same = (F.col("contig") == F.col("contig_r")) & (F.col("_level") == F.col("_level_r")) & (F.col("_bin") == F.col("_bin_r"))
+    return l.join(r, same & fits).drop("_level", "_level_r", "_bin", "_bin_r")
 
 
 def overlap_map(keys: DataFrame, values: DataFrame) -> DataFrame:
     """Each key interval with the sorted list of intervals that overlap it."""
-    pairs = overlap_join(keys.select("contig", "start", "end").distinct(), values.select("contig", "start", "end").distinct())
+    keys, values = (x.select("contig", "start", "end").distinct() for x in (keys, values))
+    pairs = overlap_join(keys, values, max(fitting(keys), fitting(values)))
     return pairs.groupBy("contig", "start", "end").agg(F.sort_array(F.collect_list(F.struct(F.col("start_r"), F.col("end_r")))).alias("hits"))
 
 

@@ -128,8 +128,8 @@ def overlap_join(spark, d):
 
 @query("q08_overlap_pairs", f"WITH {REG} SELECT a.key AS key, count(*) AS n_pairs, CAST(sum(b.key) AS BIGINT) AS sum_key FROM reg a JOIN reg b ON a.contig = b.contig AND a.start <= b.stop AND b.start <= a.stop AND a.priority < '3' AND b.priority >= '3' GROUP BY a.key")
 def overlap_pairs(spark, d):
-    pairs = iv.overlap_join(*(s.select("contig", "start", "end", "key") for s in _sides(spark, d)))
-    return pairs.groupBy("key").agg(F.count("*").alias("n_pairs"), F.sum("key_r").alias("sum_key"))
+    found = iv.overlap_sums(*(s.select("contig", "start", "end", "key") for s in _sides(spark, d)), "key")
+    return found.groupBy("key").agg(F.sum("n").alias("n_pairs"), F.sum("total").alias("sum_key"))
 
 
 @query("q08_overlapping", f"WITH {REG} SELECT key, contig, start AS \"start\", stop AS \"end\" FROM reg r WHERE priority < '3' AND EXISTS (SELECT 1 FROM reg s WHERE s.priority >= '3' AND s.contig = r.contig AND s.start <= r.stop AND r.start <= s.stop)")
@@ -140,8 +140,12 @@ def overlapping_sides(spark, d):
 
 @query("q09_reciprocal_overlap_all", f"WITH {REG} SELECT a.key AS key, count(*) AS n_partners, min(b.key) AS least_partner FROM reg a JOIN reg b ON a.contig = b.contig AND least(a.stop, b.stop) - greatest(a.start, b.start) + 1 >= 0.5 * greatest(a.stop - a.start + 1, b.stop - b.start + 1) GROUP BY a.key")
 def reciprocal_all(spark, d):
-    pairs = iv.reciprocal(regions(spark, d), regions(spark, d), 0.5)
-    return pairs.groupBy("key").agg(F.count("*").alias("n_partners"), F.min("key_r").alias("least_partner"))
+    """Equal intervals have the same partners, so each distinct one is paired once with the number and the least key of others."""
+    own = ["contig", "start", "end"]
+    distinct = regions(spark, d).groupBy(*own).agg(F.count("*").alias("n"), F.min("key").alias("key"))
+    pairs = iv.reciprocal(distinct.select(*own), distinct, 0.5)
+    found = pairs.groupBy(*own).agg(F.sum("n_r").alias("_n"), F.min("key_r").alias("_least"))
+    return regions(spark, d).join(found, own).groupBy("key").agg(F.sum("_n").alias("n_partners"), F.min("_least").alias("least_partner"))
 
 
 @query(
