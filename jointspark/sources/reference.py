@@ -29,8 +29,10 @@ def fasta(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     name = F.regexp_extract("value", r"^(\S+)", 1)
     bases = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*[\r\n]+", ""), r"\s", ""))
     whole = rows.select(name.alias("contig"), bases.alias("b"))
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("b") / chunk) - 1, F.lit(0)).cast("int")), lambda k: F.struct(k.cast("long").alias("chunk"), F.substring("b", (k * chunk + 1).cast("int"), F.lit(chunk)).alias("bases")))
-    return whole.select("contig", F.explode(pieces).alias("p")).select("contig", "p.chunk", "p.bases")
+    # One pass over the text: a substring by its place would count from the text's start for each chunk.
+    pieces = F.regexp_extract_all("b", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
+    cut = whole.select("contig", F.posexplode(F.when(F.length("b") == 0, F.array(F.lit(""))).otherwise(pieces)).alias("chunk", "bases"))
+    return cut.select("contig", F.col("chunk").cast("long").alias("chunk"), "bases")
 
 
 def bases_at(chunks: DataFrame, regions: DataFrame, chunk: int = CHUNK) -> DataFrame:
