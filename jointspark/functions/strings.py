@@ -48,10 +48,16 @@ def tandem_repeat(ref: Column, alt: Column, after: Column) -> Column:
     ``after`` are the reference bases that follow REF.  Repeats are counted in the bases behind the shared one.
     """
     indel = (F.length(ref) != F.length(alt)) & (F.substring(ref, 1, 1) == F.substring(alt, 1, 1))
-    a, b = F.substring(ref, F.lit(2), F.length(ref)), F.substring(alt, F.lit(2), F.length(alt))
-    unit = repeat_unit(F.when(F.length(a) > F.length(b), a).otherwise(b))
-    out = F.struct(unit.alias("unit"), repeats_at(unit, F.concat(a, after)).alias("ref_repeats"), repeats_at(unit, F.concat(b, after)).alias("alt_repeats"))
-    return F.when(indel, out)
+    # Bound in turn, as an expression that stands inside another's lambda is evaluated again for each of its elements.
+    bound = lambda made, use: F.get(F.transform(F.array(made), use), F.lit(0))
+    texts = F.struct(F.substring(ref, F.lit(2), F.length(ref)).alias("a"), F.substring(alt, F.lit(2), F.length(alt)).alias("b"), after.alias("after"))
+
+    def counted(x: Column) -> Column:
+        unit = repeat_unit(F.when(F.length(x["a"]) > F.length(x["b"]), x["a"]).otherwise(x["b"]))
+        whole = F.struct(unit.alias("unit"), F.concat(x["a"], x["after"]).alias("a"), F.concat(x["b"], x["after"]).alias("b"))
+        return bound(whole, lambda y: F.struct(y["unit"].alias("unit"), repeats_at(y["unit"], y["a"]).alias("ref_repeats"), repeats_at(y["unit"], y["b"]).alias("alt_repeats")))
+
+    return F.when(indel, bound(texts, counted))
 
 
 def context(bases: Column, first: Column, pos: Column, flank: int) -> Column:

@@ -187,7 +187,7 @@ def mnp_primitives(spark, d):
 SELECT key, unit, (SELECT max(k) FROM unnest(range(0, 40)) t(k) WHERE length(a || after) >= k * length(unit) AND starts_with(a || after, repeat(unit, k))) AS ref_repeats, (SELECT max(k) FROM unnest(range(0, 40)) t(k) WHERE length(b || after) >= k * length(unit) AND starts_with(b || after, repeat(unit, k))) AS alt_repeats FROM u""",
 )
 def tandem_repeats(spark, d):
-    t = _pairs(spark, d).select("key", strings.tandem_repeat(F.col("ref"), F.col("alt"), F.col("after")).alias("t")).where("t is not null")
+    t = _pairs(spark, d).repartition("key").select("key", strings.tandem_repeat(F.col("ref"), F.col("alt"), F.col("after")).alias("t")).where("t is not null")
     return t.select("key", "t.unit", F.col("t.ref_repeats").cast("long").alias("ref_repeats"), F.col("t.alt_repeats").cast("long").alias("alt_repeats"))
 
 
