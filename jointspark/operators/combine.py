@@ -94,7 +94,7 @@ def sites_with_records(sites: DataFrame, records: DataFrame) -> DataFrame:
     from . import intervals
 
     points = sites.select("contig", F.col("pos").alias("start"), F.col("pos").alias("end"))
-    return intervals.overlap_join(points, records, how="left").withColumnRenamed("start", "pos").drop("end")
+    return intervals.overlap_join(points, records, intervals.fitting(records), how="left").withColumnRenamed("start", "pos").drop("end")
 
 
 def combined(sites: DataFrame, records: DataFrame) -> DataFrame:
