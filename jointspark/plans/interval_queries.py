@@ -167,12 +167,9 @@ def overlap_map_sides(spark, d):
 SELECT contig, pos, count(*) AS n_samples, CAST(sum(dp) AS BIGINT) AS sum_dp, CAST(sum(start) AS BIGINT) AS sum_start FROM o WHERE k = 1 GROUP BY contig, pos""",
 )
 def latest_record(spark, d):
-    rec = records(spark, d)
-    found = sites.variant_sites(rec)
-    rec = rec.withColumn("began", F.col("start"))
-    pieces = sites.latest_pieces(rec, ["orderkey", "line", "dp"]).select("contig", F.col("first").alias("start"), F.col("last").alias("end"), "dp", "began")
-    out = iv.coverage(found, pieces, ["dp", "began"])
-    return out.where("n > 0").select("contig", "pos", F.col("n").alias("n_samples"), F.col("dp").alias("sum_dp"), F.col("began").alias("sum_start"))
+    rec = records(spark, d).withColumn("true", F.col("n_allele") > 2).withColumn("began", F.col("start"))
+    out = sites.counted(rec, ["orderkey", "line", "dp"], "true", sums=["dp", "began"])
+    return out.select("contig", "pos", F.col("n").alias("n_samples"), F.col("dp").alias("sum_dp"), F.col("began").alias("sum_start"))
 
 
 @query(
@@ -183,10 +180,9 @@ def latest_record(spark, d):
 SELECT contig, pos, count(*) AS n_samples, CAST(sum(dp * sample) AS BIGINT) AS mark FROM o WHERE k = 1 GROUP BY contig, pos""",
 )
 def latest_rows(spark, d):
-    rec = records(spark, d)
-    found = rec.where("n_allele > 2").select("contig", F.col("start").alias("pos")).distinct()
-    latest = sites.latest_per_sample(sites.at_sites(rec, found), ["orderkey", "line", "dp"])
-    return latest.groupBy("contig", "pos").agg(F.count("*").alias("n_samples"), F.sum(F.col("dp") * F.col("sample")).alias("mark"))
+    rec = records(spark, d).withColumn("true", F.col("n_allele") > 2).withColumn("mark", F.col("dp") * F.col("sample"))
+    out = sites.counted(rec, ["orderkey", "line", "dp"], "true", sums=["mark"], starts_only=True)
+    return out.select("contig", "pos", F.col("n").alias("n_samples"), "mark")
 
 
 @query(
